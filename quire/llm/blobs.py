@@ -8,15 +8,20 @@ the shard answers with one bit per entry, in the order in which they were sent.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
+libc = ctypes.CDLL(None)
 GOLD = 0x9E3779B97F4A7C15
-BUCKET_BYTES = 2_500_000  # text in one bucket; numpy needs some 60 bytes for each
-MIN_BUCKETS = 64
+BUCKET_BYTES = 1_600_000  # text in one bucket; numpy needs some 100 bytes for each
+SHARD_BYTES = 16_000_000  # text for which there is one shard
+LEAST = 64  # buckets and shards
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,10 +45,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def n_buckets(docs: DataFrame, text: str, bucket_bytes: int = BUCKET_BYTES, least: int = MIN_BUCKETS) -> int:
-    """One partially aggregated pass over the text column."""
+def deal(docs: DataFrame, text: str) -> tuple[int, int]:
+    """How many buckets and shards: one partially aggregated pass over the text column."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(least, -(-total // bucket_bytes))
+    return max(LEAST, -(-total // BUCKET_BYTES)), max(LEAST, -(-total // SHARD_BYTES))
+
+
+def trim() -> None:
+    """Hand freed memory back: a worker lives through many groups and executors are small."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def bucketed(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
@@ -52,7 +64,7 @@ def bucketed(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
         F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n)).cast("int").alias("bucket"),
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
-    ).repartition(n if n < 64 else max(64, n // 4), "bucket")
+    ).repartition(max(LEAST, n // 4), "bucket")
 
 
 def pack(a: np.ndarray) -> bytes:

@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import sais
-from quire.llm.blobs import GOLD, U, bits, bucketed, byte_table, mix, n_buckets, pack, powers, shard_cuts, unbits, unpack
+from quire.llm.blobs import GOLD, U, bits, bucketed, byte_table, deal, mix, pack, powers, shard_cuts, trim, unbits, unpack
 from quire.runtime import ship
 
 LENGTH, GRAM = 50, 20
+PARTS = 32  # a shard's runs are sorted in so many parts, by gram, one after the other
 LEAST_ID = -(1 << 63)
 
 
@@ -176,7 +177,8 @@ def _with_candidates(docs: pa.Table, answers: pa.Table, length: int, gram: int,
 
 
 def _entry_cuts(b: _Bucket, shards: int) -> np.ndarray:
-    return shard_cuts(b.entry_gram, shards)
+    """Where each part of each shard begins."""
+    return shard_cuts(b.entry_gram, shards * PARTS)
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -187,9 +189,10 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _entries(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards: int) -> pa.Table:
     if not len(docs):
-        return pa.table({"shard": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary()), "size": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+        return pa.table({"shard": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary()), "size": pa.array([], pa.binary()), "ids": pa.array([], pa.binary()), "parts": pa.array([], pa.binary())})
     b = _with_candidates(docs, answers, length, gram, shards)
-    cut = _entry_cuts(b, shards)
+    fine = _entry_cuts(b, shards)
+    cut = fine[::PARTS]
     on = [k for k in range(shards) if cut[k] < cut[k + 1]]
     size = b.strings + length - 1
     data = [pack(b.data[_ranges(b.first[b.head[cut[k] : cut[k + 1]]], size[cut[k] : cut[k + 1]])]) for k in on]
@@ -199,15 +202,42 @@ def _entries(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards:
         "data": pa.array(data, pa.binary()),
         "size": pa.array([pack(size[cut[k] : cut[k + 1]].astype(np.int32)) for k in on], pa.binary()),
         "ids": pa.array([pack(b.entry_id[cut[k] : cut[k + 1]]) for k in on], pa.binary()),
+        "parts": pa.array([(fine[k * PARTS : (k + 1) * PARTS + 1] - cut[k]).astype(np.int32).tobytes() for k in on], pa.binary()),
     })
 
 
 def _suffixes(table: pa.Table, length: int) -> pa.Table:
     """One shard: sort the suffixes of its distinct runs; answer which strings an earlier document has."""
     sizes = [unpack(x, np.int32).astype(np.int64) for x in table["size"].to_pylist()]
-    ids = np.concatenate([unpack(x, np.int64) for x in table["ids"].to_pylist()])
-    data = np.concatenate([unpack(x, np.uint8) for x in table["data"].to_pylist()])
-    size = np.concatenate(sizes)
+    ids = [unpack(x, np.int64) for x in table["ids"].to_pylist()]
+    data = [unpack(x, np.uint8) for x in table["data"].to_pylist()]
+    parts = [np.frombuffer(x, np.int32) for x in table["parts"].to_pylist()]
+    ends = [np.concatenate([[0], np.cumsum(x)]) for x in sizes]
+    answers: list[list[np.ndarray]] = [[] for _ in sizes]
+    for k in range(PARTS):
+        on = [j for j, p in enumerate(parts) if p[k] < p[k + 1]]
+        if not on:
+            continue
+        size = [sizes[j][parts[j][k] : parts[j][k + 1]] for j in on]
+        found = _earlier(
+            np.concatenate([data[j][ends[j][parts[j][k]] : ends[j][parts[j][k + 1]]] for j in on]),
+            np.concatenate(size),
+            np.concatenate([ids[j][parts[j][k] : parts[j][k + 1]] for j in on]),
+            length,
+        )
+        cut = np.cumsum([0, *[int((x - length + 1).sum()) for x in size]])
+        for j, a, b in zip(on, cut[:-1], cut[1:], strict=True):
+            answers[j].append(found[a:b])
+    return pa.table({
+        "bucket": table["bucket"].cast(pa.int32()),
+        "shard": table["shard"].cast(pa.int32()),
+        "stage": pa.array([1] * len(sizes), pa.int32()),
+        "bits": pa.array([bits(np.concatenate(x)) for x in answers], pa.binary()),
+    })
+
+
+def _earlier(data: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """For each string of each run, in order: has a document with a smaller id this string?"""
     begin = np.cumsum(size) - size
     # equal runs of several buckets enter once, with their least doc_id
     sums = []
@@ -239,15 +269,7 @@ def _suffixes(table: pa.Table, length: int) -> pa.Table:
         low = np.minimum.reduceat(ids[head][entry[sa]], groups)
         least[sa] = np.repeat(low, np.diff(np.append(groups, len(sa))))
     strings = size - length + 1
-    place = _ranges(at[one], strings)
-    earlier = least[place] < np.repeat(ids, strings)
-    cut = np.cumsum([0, *[int((x - length + 1).sum()) for x in sizes]])
-    return pa.table({
-        "bucket": table["bucket"].cast(pa.int32()),
-        "shard": table["shard"].cast(pa.int32()),
-        "stage": pa.array([1] * len(sizes), pa.int32()),
-        "bits": pa.array([bits(earlier[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-    })
+    return least[_ranges(at[one], strings)] < np.repeat(ids, strings)
 
 
 OUT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -272,7 +294,7 @@ def _cover(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards: in
     if not len(docs):
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], SPAN), "kept": pa.array([], pa.binary())})
     b = _with_candidates(docs, answers, length, gram, shards)
-    cut = _entry_cuts(b, shards)
+    cut = _entry_cuts(b, shards)[::PARTS]
     before = np.concatenate([[0], np.cumsum(b.strings)])
     earlier = replies(answers, 1, before[cut])
     strings = b.strings[b.entry]
@@ -294,7 +316,7 @@ def _cover(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards: in
     })
 
 
-def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (removed byte ranges) and kept (remaining bytes).
 
     Null text: empty.  An empty table gives an empty table.  Other columns are not read.
@@ -302,20 +324,22 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not 8 <= gram < length:
         raise ValueError("gram must be at least 8 and smaller than length")
     ship(docs.sparkSession)
-    n = buckets or n_buckets(docs, text)
+    n, shards = deal(docs, text)
     own = bucketed(docs, n, doc_id, text)
     f = functools.partial
-    one = own.groupBy("bucket").applyInArrow(_wrap(f(_grams, length=length, gram=gram, shards=n)), "shard int, bucket int, keys binary, here binary")
+    one = own.groupBy("bucket").applyInArrow(_wrap(f(_grams, length=length, gram=gram, shards=shards)), "shard int, bucket int, keys binary, here binary")
     first = one.groupBy("shard").applyInArrow(_wrap(shared_keys), REPLY)
-    two = own.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(_wrap2(f(_entries, length=length, gram=gram, shards=n)), "shard int, bucket int, data binary, size binary, ids binary")
+    two = own.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(_wrap2(f(_entries, length=length, gram=gram, shards=shards)), "shard int, bucket int, data binary, size binary, ids binary, parts binary")
     second = two.groupBy("shard").applyInArrow(_wrap(f(_suffixes, length=length)), REPLY)
-    return own.groupBy("bucket").cogroup(first.unionByName(second).groupBy("bucket")).applyInArrow(_wrap2(f(_cover, length=length, gram=gram, shards=n)), OUT)
+    return own.groupBy("bucket").cogroup(first.unionByName(second).groupBy("bucket")).applyInArrow(_wrap2(f(_cover, length=length, gram=gram, shards=shards)), OUT)
 
 
 def _wrap(f):
     def one(table: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            return f(table)
+            out = f(table)
+        trim()
+        return out
 
     return one
 
@@ -323,7 +347,9 @@ def _wrap(f):
 def _wrap2(f):
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            return f(left, right)
+            out = f(left, right)
+        trim()
+        return out
 
     return two
 
