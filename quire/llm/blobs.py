@@ -9,6 +9,7 @@ the shard answers with one bit per entry, in the order in which they were sent.
 from __future__ import annotations
 
 import ctypes
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@functools.cache
 def byte_table(seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(np.arange(1, 257, dtype=U) * U(GOLD) + U(seed))
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, dtype=U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0 ... base ** n modulo 2 ** 64; the most that was asked for is kept."""
+    have = _powers.get(base)
+    if have is None or len(have) <= n:
+        have = np.full(n + 1, base, dtype=U)
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        _powers[base] = have
+    return have[: n + 1]
 
 
 def deal(docs: DataFrame, text: str) -> tuple[int, int]:

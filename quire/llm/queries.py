@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from quire.llm.recompression_dedup import op2_recompression_dedup
 from quire.llm.suffix_dedup import op1_suffix_dedup
 
 
 def queries():
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_recompression_dedup": op2_recompression_dedup,
     }
 
 
