@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quire.llm.language_id import op4_language_id
 from quire.llm.near_dedup import op10_minhash_near_dedup
 from quire.llm.recompression_dedup import op2_recompression_dedup
 from quire.llm.suffix_dedup import op1_suffix_dedup
@@ -11,6 +12,7 @@ def queries():
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_recompression_dedup": op2_recompression_dedup,
+        "op4_language_id": op4_language_id,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
