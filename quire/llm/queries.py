@@ -5,6 +5,7 @@ from __future__ import annotations
 from quire.llm.language_id import op4_language_id
 from quire.llm.matroska import op6_matroska
 from quire.llm.near_dedup import op10_minhash_near_dedup
+from quire.llm.pii import op3_pii_crf
 from quire.llm.recompression_dedup import op2_recompression_dedup
 from quire.llm.suffix_dedup import op1_suffix_dedup
 
@@ -13,6 +14,7 @@ def queries():
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_recompression_dedup": op2_recompression_dedup,
+        "op3_pii_crf": op3_pii_crf,
         "op4_language_id": op4_language_id,
         "op6_matroska": op6_matroska,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
