@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quire.llm.decontaminate import OP5_SQL, op5_template_decontamination
 from quire.llm.language_id import op4_language_id
 from quire.llm.matroska import op6_matroska
 from quire.llm.near_dedup import op10_minhash_near_dedup
@@ -16,10 +17,11 @@ def queries():
         "op2_recompression_dedup": op2_recompression_dedup,
         "op3_pii_crf": op3_pii_crf,
         "op4_language_id": op4_language_id,
+        "op5_template_decontamination": op5_template_decontamination,
         "op6_matroska": op6_matroska,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_template_decontamination": OP5_SQL}
