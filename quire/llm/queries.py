@@ -6,6 +6,7 @@ from quire.llm.decontaminate import OP5_SQL, op5_template_decontamination
 from quire.llm.language_id import op4_language_id
 from quire.llm.matroska import op6_matroska
 from quire.llm.near_dedup import op10_minhash_near_dedup
+from quire.llm.packing import op7_curve_packing
 from quire.llm.pii import op3_pii_crf
 from quire.llm.recompression_dedup import op2_recompression_dedup
 from quire.llm.suffix_dedup import op1_suffix_dedup
@@ -19,6 +20,7 @@ def queries():
         "op4_language_id": op4_language_id,
         "op5_template_decontamination": op5_template_decontamination,
         "op6_matroska": op6_matroska,
+        "op7_curve_packing": op7_curve_packing,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
