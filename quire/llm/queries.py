@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quire.llm.decontaminate import OP5_SQL, op5_template_decontamination
+from quire.llm.html_density import op8_html_density
 from quire.llm.language_id import op4_language_id
 from quire.llm.matroska import op6_matroska
 from quire.llm.near_dedup import op10_minhash_near_dedup
@@ -21,6 +22,7 @@ def queries():
         "op5_template_decontamination": op5_template_decontamination,
         "op6_matroska": op6_matroska,
         "op7_curve_packing": op7_curve_packing,
+        "op8_html_density": op8_html_density,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
