@@ -5,6 +5,7 @@ from __future__ import annotations
 from quire.llm.decontaminate import OP5_SQL, op5_template_decontamination
 from quire.llm.html_density import op8_html_density
 from quire.llm.language_id import op4_language_id
+from quire.llm.licenses import op9_license_scan, op9_sql
 from quire.llm.matroska import op6_matroska
 from quire.llm.near_dedup import op10_minhash_near_dedup
 from quire.llm.packing import op7_curve_packing
@@ -23,9 +24,10 @@ def queries():
         "op6_matroska": op6_matroska,
         "op7_curve_packing": op7_curve_packing,
         "op8_html_density": op8_html_density,
+        "op9_license_scan": op9_license_scan,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_template_decontamination": OP5_SQL}
+    return {"op5_template_decontamination": OP5_SQL, "op9_license_scan": op9_sql()}
