@@ -14,6 +14,12 @@ from quire.llm.recompression_dedup import op2_recompression_dedup
 from quire.llm.suffix_dedup import op1_suffix_dedup
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -26,6 +32,7 @@ def queries():
         "op8_html_density": op8_html_density,
         "op9_license_scan": op9_license_scan,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "pipeline": pipeline,
     }
 
 
