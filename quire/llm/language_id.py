@@ -4,11 +4,13 @@ Each language has a raw-content dictionary of ``dictionary_bytes``, filled from
 of labelled rows: those with the smallest hashes of doc_id, ``sample_rows`` for each language.
 A text is lower-cased, cut into chunks (the whole text, each byte in one chunk) and every chunk
 compressed alone with every dictionary, so that a long text does not outweigh the dictionary by
-its own repeats.  The language with the fewest bytes wins; ties go to the smaller name.
+its own repeats.  The language with the fewest bytes wins; ties go to the one with more labelled
+rows, then to the smaller name.
 
 score is how much smaller the best is than the second best (0 to 1; 1 if one language is known).
-Margins below ``margin`` are rejected: accepted is false.  Null texts and texts without a letter
-get `und`, score 0, and are rejected.  Nothing but the text is an input of a prediction.
+Margins below ``margin`` are rejected: accepted is false.  In texts of fewer than ``short`` bytes
+a single byte is more than that, so these are not rejected for their margin.  Null texts and
+texts without a letter get `und`, score 0, and are rejected.  Nothing but the text is an input of a prediction.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 
 from quire.runtime import ship
 
-SAMPLE_ROWS, DICTIONARY_BYTES, CHUNK, LEVEL, MARGIN = 160, 96_000, 4096, 3, 0.004
+SAMPLE_ROWS, DICTIONARY_BYTES, CHUNK, MARGIN, SHORT = 400, 110_000, 4096, 0.004, 64
+# Short matches and a short search: close languages differ in short words.
+SEARCH = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 2, "min_match": 4, "strategy": zstandard.STRATEGY_GREEDY}
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -41,7 +45,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     bound = reduce(lambda c, x: c.when(F.col(lang) == x[0], F.lit(min(1 << 40, (sample_rows << 40) // x[1]))), counts.items(), F)
     share = -(-dictionary_bytes // sample_rows) * 4
     picked = labelled.filter(place < bound).select(F.col(lang).alias("lang"), place.alias("place"), F.substring(F.col(text), 1, share).alias("text"))
-    parts: dict[str, list[bytes]] = {x: [] for x in sorted(counts)}
+    parts: dict[str, list[bytes]] = {x: [] for x in sorted(counts, key=lambda x: (-counts[x], x))}
     for r in sorted(picked.limit(4 * sample_rows * len(counts)).collect(), key=lambda r: (r["place"], r["text"])):
         parts[r["lang"]].append(r["text"].lower().encode())
     out = {}
@@ -53,15 +57,15 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return out
 
 
-def _classifier(dictionaries: dict[str, bytes], chunk: int, level: int, margin: float):
-    names = sorted(dictionaries)
+def _classifier(dictionaries: dict[str, bytes], chunk: int = CHUNK, margin: float = MARGIN, short: int = SHORT):
+    names = list(dictionaries)
 
     def run(batches):
-        tools = []
+        tools, how = [], zstandard.ZstdCompressionParameters(**SEARCH, write_content_size=0, write_checksum=0, write_dict_id=0)
         for name in names:
             d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            tools.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            d.precompute_compress(compression_params=how)
+            tools.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
         for batch in batches:
             lang, score, good = [], [], []
             for text in batch["text"].to_pylist():
@@ -74,7 +78,7 @@ def _classifier(dictionaries: dict[str, bytes], chunk: int, level: int, margin:
                 best = min(range(len(size)), key=size.__getitem__)
                 second = min((x for i, x in enumerate(size) if i != best), default=0)
                 by = (second - size[best]) / second if second else 1.0
-                lang.append(names[best]), score.append(by), good.append(by >= margin)
+                lang.append(names[best]), score.append(by), good.append(by >= margin or len(data) < short)
             columns = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "accepted": pa.array(good, pa.bool_())}
             rest = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), *columns.values()], [*rest, *columns])
@@ -82,12 +86,12 @@ def _classifier(dictionaries: dict[str, bytes], chunk: int, level: int, margin:
     return run
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: dict[str, Column], text: str = "text", chunk: int = CHUNK, level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: dict[str, Column], text: str = "text", chunk: int = CHUNK, margin: float = MARGIN) -> DataFrame:
     """The columns of keep, then lang_pred, score and accepted, one row per input row."""
     ship(docs.sparkSession)
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string, score double, accepted boolean"])
-    return rows.mapInArrow(_classifier(dictionaries, chunk, level, margin), schema)
+    return rows.mapInArrow(_classifier(dictionaries, chunk, margin), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,7 +113,7 @@ def keep_known(spark, docs: DataFrame) -> DataFrame:
     dictionaries = fit(docs)
     rows = docs.withColumn("quire_text", F.col("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    classify = _classifier(dictionaries, CHUNK, LEVEL, MARGIN)
+    classify = _classifier(dictionaries)
 
     def run(batches):
         for batch in batches:
