@@ -329,6 +329,9 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
             a += cut + 1
         while a < b and QUOTES[w.data[a]]:
             a += 1
+        close = w.data[a:b].tobytes().find(b'"')  # what follows a closing quote is not part of it
+        if close > 0:
+            b = a + close
         while a < b and QUOTES[w.data[b - 1]]:
             b -= 1
         if a < b:
