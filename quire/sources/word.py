@@ -49,7 +49,8 @@ class _Reader:
         rels = package.xml("word/_rels/document.xml.rels")
         self.rels = {r.get("Id"): r.get("Target") for r in (rels if rels is not None else ())}
         self.styles: dict[str, tuple[str, str]] = {}
-        for s in (package.xml("word/styles.xml") or ()) if "word/styles.xml" in package.names else ():
+        styles = package.xml("word/styles.xml")
+        for s in styles if styles is not None else ():
             if s.tag == W + "style":
                 self.styles[s.get(W + "styleId")] = ((_value(s, W + "name") or "").lower(), _value(s, W + "basedOn") or "")
         self.formats: dict[tuple[str, str], str] = {}
