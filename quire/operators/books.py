@@ -39,7 +39,7 @@ def asset_name(data: Column, extension: Column) -> Column:
 
 
 def data_uri(data: Column, media_type: Column) -> Column:
-    return F.concat(F.lit("data:"), media_type, F.lit(";base64,"), F.base64(data))
+    return F.concat(F.lit("data:"), media_type, F.lit(";base64,"), F.regexp_replace(F.base64(data), "[\\r\\n]", ""))
 
 
 def sniff_image(data: Column, content_type: Column) -> Column:
