@@ -10,6 +10,7 @@ verified by exact containment of its shingles.
 
 Before that, texts without any *trigger* word are passed over.  Triggers are chosen from the
 templates so that the shingles without one are too few for a match; the filter loses nothing.
+Windows without a shingle of any template hold no part of one and are not hashed.
 
 Null and empty texts match nothing.  Rows with the same doc_id count as one document; repeated
 templates are reported under their own ids.  Other columns are not read.  The templates are a
@@ -23,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, CONTAINMENT, BANDS, MOST_TEMPLATES = 5, 0.8, 16, 2_000
+SHINGLE, CONTAINMENT, BANDS, MOST_TEMPLATES = 5, 0.8, 16, 500
 # Wordings by which licenses are named, and the openings of some license texts.
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
@@ -89,9 +90,14 @@ def _mixed(shingles, k: int) -> Column:
     return F.transform(shingles, lambda x: F.xxhash64(x, F.lit(k)))
 
 
-def _slots(n_shingles: Column, wide: int, step: int) -> Column:
-    """Where windows of so many shingles begin; the last ones may be shorter."""
-    return F.when(n_shingles > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n_shingles - 1), F.lit(step))).otherwise(F.array().cast("array<int>"))
+def _once(rows: DataFrame, name: str, column: Column) -> DataFrame:
+    """A column that is computed once for each row: the optimizer doesn't copy it into what reads it."""
+    return rows.select("*", F.explode(F.array(column)).alias(name))
+
+
+def _starts(hits: Column, wide: int, step: int) -> Column:
+    """Windows (every step-th, so wide) that hold one of the hits."""
+    return F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence((F.greatest(F.lit(0), F.ceil((p - wide + 1) / step)) * step).cast("int"), (F.floor(p / step) * step).cast("int"), F.lit(step)))))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
@@ -126,17 +132,18 @@ def _scan(docs, own, doc_id, text, size, containment, bands, templates) -> DataF
     some = F.lit(False)
     for w in triggers(templates, size, containment):
         some = some | low.contains(w)
-    base = docs.filter(some).select(F.col(doc_id).alias("doc_id"), _shingles(_words(F.col(text)), size).alias("sh"))
-    mixed = base.select("doc_id", "sh", *[_mixed("sh", k).alias(f"m{k}") for k in range(bands)])
+    known = sorted({x for r in theirs.select("theirs").collect() for x in r[0]})
+    base = _once(docs.filter(some).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "words", _words(F.col("text"))).select("doc_id", "words")
+    base = _once(base, "sh", _shingles(F.col("words"), size)).select("doc_id", "sh")
+    at = F.when(F.size("sh") > 0, F.sequence(F.lit(0), F.size("sh") - 1)).otherwise(F.array().cast("array<int>"))
+    base = _once(base, "hits", F.filter(at, lambda i: F.array_contains(F.lit(known), F.get("sh", i)))).filter(F.size("hits") > 0)
 
     def windows(n: int) -> Column:
         wide, step = max(1, n + stride(n) - size), stride(n)
-        return F.transform(
-            _slots(F.size("sh"), wide, step),
-            lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.slice("sh", i + 1, wide).alias("held"), F.array(*[F.array_min(F.slice(f"m{k}", i + 1, wide)) for k in range(bands)]).alias("least")),
-        )
+        return F.transform(_starts(F.col("hits"), wide, step), lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.slice("sh", i + 1, wide).alias("held")))
 
-    each = mixed.select("doc_id", F.explode(F.flatten(F.array(*[windows(n) for n in classes]))).alias("w")).select("doc_id", "w.*")
+    each = base.select("doc_id", F.explode(F.flatten(F.array(*[windows(n) for n in classes]))).alias("w")).select("doc_id", "w.*")
+    each = _once(each, "least", F.array(*[F.array_min(_mixed("held", k)) for k in range(bands)]))
     met = each.select("doc_id", "n", "at", "held", F.posexplode("least").alias("band", "least")).join(F.broadcast(signed), ["n", "band", "least"])
     share = F.size(F.array_intersect("held", "theirs")) / F.size("theirs")
     found = met.select("doc_id", "license_id", "at", share.alias("containment")).filter(F.col("containment") >= containment)
