@@ -15,9 +15,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,40 +30,79 @@ from quire.llm.suffix_dedup import _ranges
 from quire.runtime import materialize, ship
 
 SIZE, END, WIDTH, DIMENSIONS, BITS = 4096, 2, 256, 4, 10
-CHUNK, KNOWN, RANGE_TOKENS = 1_500_000, 250_000, 4_000_000
+CHUNK, KNOWN, RANGE_TOKENS = 1_500_000, 300_000, 4_000_000
 #: Python's split() takes these as blanks, tokenizers do not.
 ODD = re.compile("[\x1c-\x1f]")
 
 
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
 class Tokens:
-    """Ids of texts.  The vocabulary drops white space and no token spans it, so words are looked up."""
+    """Ids of texts.  The vocabulary drops white space and no token spans it, so words are looked up.
+
+    A new word is cut where the tokenizer cuts it, into runs of letters, digits and marks, and
+    only pieces that are new go to the tokenizer.  Words whose lower case or normal form could
+    depend on more than each letter (beyond U+024F), and those with a special token's opening, go there whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tool = Tokenizer.from_file(path)
-        self._reset()
-
-    def _reset(self) -> None:
+        # pieces are in normal form and cut already, so the same model takes them without those steps
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces: dict[str, bytes] = {}
         self.known: dict[str, int] = {}
-        self.flat, self.ends = [np.zeros(0, np.uint16)], [0]
-        self.ids, self.begin, self.size = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.begin, self.size, self.uses = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words that came again."""
+        keep = np.flatnonzero(self.uses > 2)
+        words = list(self.known)
+        self.known = {words[i]: k for k, i in enumerate(keep)}
+        self.ids = self.ids[_ranges(self.begin[keep], self.size[keep])]
+        self.size = self.size[keep]
+        self.begin = np.cumsum(self.size) - self.size
+        self.uses = np.zeros(len(keep), np.int64)
+
+    @staticmethod
+    def cut(word: str) -> list[str] | None:
+        """The pieces of a word in lower case, or None if the tokenizer has to see it whole."""
+        if not word.isascii() and (max(word) > "\u024f" or "\u0130" in word) or "<|" in word:
+            return None
+        low = word.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return PIECE.findall(low)
 
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > KNOWN:
-            self._reset()
+            self._forget()
+        if len(self.pieces) > 2 * KNOWN:
+            self.pieces.clear()
         new = [x for x in words if x not in self.known]
         if not new:
             return
-        lists = [e.ids for e in self.tool.encode_batch(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        cuts = list(map(self.cut, new))
+        missing = list({p for c in cuts if c for p in c if p not in self.pieces})
+        for piece, e in zip(missing, self.bare.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            self.pieces[piece] = array("H", e.ids).tobytes()
+        whole = iter(self.tool.encode_batch_fast([x for x, c in zip(new, cuts, strict=True) if not c], add_special_tokens=False))
+        found = [b"".join([self.pieces[p] for p in c]) if c else array("H", next(whole).ids).tobytes() for c in cuts]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
         for x in new:
             self.known[x] = len(self.known)
         start = len(self.ids)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint16, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint16)])
         self.begin = np.concatenate([self.begin, start + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text with the end token."""
@@ -69,6 +110,7 @@ class Tokens:
         every = [w for x in words if x for w in x]
         self._learn(set(every))
         at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         size = self.size[at]
         ids = self.ids[_ranges(self.begin[at], size)] if len(at) else np.zeros(0, np.uint16)
         edge = np.concatenate([[0], np.cumsum(size)])
