@@ -30,7 +30,7 @@ from quire.llm.suffix_dedup import _ranges
 from quire.runtime import materialize, ship
 
 SIZE, END, WIDTH, DIMENSIONS, BITS = 4096, 2, 256, 4, 10
-CHUNK, KNOWN, RANGE_TOKENS = 1_500_000, 300_000, 4_000_000
+CHUNK, KNOWN, RANGE_TOKENS = 1_500_000, 500_000, 4_000_000
 #: Python's split() takes these as blanks, tokenizers do not.
 ODD = re.compile("[\x1c-\x1f]")
 
@@ -84,7 +84,7 @@ class Tokens:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > KNOWN:
             self._forget()
-        if len(self.pieces) > 2 * KNOWN:
+        if len(self.pieces) > KNOWN:
             self.pieces.clear()
         new = [x for x in words if x not in self.known]
         if not new:
@@ -113,15 +113,13 @@ class Tokens:
         self.uses += np.bincount(at, minlength=len(self.uses))
         size = self.size[at]
         ids = self.ids[_ranges(self.begin[at], size)] if len(at) else np.zeros(0, np.uint16)
-        edge = np.concatenate([[0], np.cumsum(size)])
-        out, k = [], 0
-        for text, x in zip(texts, words, strict=True):
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(x or ()) for x in words])] if words else np.zeros(0, np.int64)
+        ids = np.insert(ids, ends, np.uint16(END))
+        stop = ends + np.arange(1, len(ends) + 1)
+        out = [ids[i:j] for i, j in zip(np.concatenate([[0], stop[:-1]]), stop, strict=True)] if words else []
+        for k, x in enumerate(words):
             if x is None:
-                own = np.array(self.tool.encode(text, add_special_tokens=False).ids, np.uint16)
-            else:
-                own = ids[edge[k] : edge[k + len(x)]]
-                k += len(x)
-            out.append(np.append(own, np.uint16(END)))
+                out[k] = np.array([*self.tool.encode(texts[k], add_special_tokens=False).ids, END], np.uint16)
         return out
 
 
