@@ -9,8 +9,11 @@ is done (early termination).  Two registers agree with the probability Jaccard s
 Bands of registers put documents into buckets.  Inside a bucket documents are not paired with
 each other but with one centre, the member that shares most bands with others, so candidates
 grow with the members; each candidate is verified by the exact Jaccard similarity of its shingle
-sets.  Verified links form components; while a bucket still holds several components, the next
-rounds pair other members of them.  Texts of the same words and order enter as one document.
+sets.  Verified links form components; the next rounds pair a member of the largest component of a
+bucket with the members of its other components.  Then every pair that shares a bucket, lies in two
+components and was not compared is verified, unless its set sizes rule it out.  So no pair that
+banding finds is left out; only a bucket that keeps many components costs pairs by its square.
+Texts of the same words and order enter as one document.
 
 Nulls and texts without a word are nobody's duplicate.  Rows with the same doc_id count as one
 document if their texts are equal, else each text joins its own class and the id gets the
@@ -158,6 +161,30 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
+def _parts(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The members of buckets with the component of each; a document without a link is its own."""
+    if labels is None:
+        return shared.withColumn("part", F.col("doc_id"))
+    return shared.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("label", "doc_id")).drop("label")
+
+
+def _across(shared: DataFrame, labels: DataFrame | None, sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs a, b of a bucket that lie in two components and whose set sizes allow the similarity.
+
+    Only members outside the bucket's largest component are paired with its other members, so a
+    bucket that is one component makes no rows.
+    """
+    rows = _parts(shared, labels)
+    sizes = rows.groupBy("band", "part").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    rows = materialize(rows.join(several, "band").join(sets.select("doc_id", "size"), "doc_id").select("band", "doc_id", "part", "largest", "size"), "open-buckets")
+    one = rows.filter("part <> largest").select("band", F.col("doc_id").alias("a"), F.col("part").alias("part_a"), F.col("size").alias("size_a"))
+    two = rows.select("band", F.col("doc_id").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"), "largest")
+    near = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
+    once = (F.col("part_b") == F.col("largest")) | (F.col("a") < F.col("b"))
+    return one.join(two, "band").filter((F.col("part_a") != F.col("part_b")) & once & near).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id and class_id, the smallest doc_id of its class (null for a null doc_id)."""
     ship(docs.sparkSession)
@@ -174,22 +201,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = materialize(shared.select("doc_id", "band").join(degree, "doc_id"), "members-of-bands")
     wanted = shared.select("doc_id").distinct()
     # both sides by doc_id at every size: a broadcast of the ids would hold at small sizes only
-    sets = materialize(own.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set binary").groupBy("doc_id").agg(F.min("set").alias("set")), "sets")
+    sets = materialize(own.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set binary").groupBy("doc_id").agg(F.min("set").alias("set")).withColumn("size", F.length("set")), "sets")
 
     links, labels, tried = None, None, None
-    for k in range(rounds):
-        if labels is None:
+    for k in range(rounds + 1):
+        if k == rounds:  # what the rounds left out
+            pairs = _across(shared, labels, sets, similarity)
+        elif labels is None:
             rows_k = shared.withColumn("part", F.col("doc_id"))
             best = F.max_by("doc_id", F.struct("degree", -F.col("doc_id")))
             centre = rows_k.groupBy("band").agg(best.alias("a"))
             pairs = rows_k.join(centre, "band").select("a", F.col("doc_id").alias("b"))
         else:
-            known = labels.withColumnRenamed("id", "doc_id")
-            rows_k = shared.join(known, "doc_id", "left").withColumn("part", F.coalesce("label", "doc_id"))
+            rows_k = _parts(shared, labels)
             order = F.struct(F.xxhash64(F.col("doc_id"), F.lit(k)), "doc_id")
             heads_k = rows_k.groupBy("band", "part").agg(F.max_by("doc_id", order).alias("b"), F.count("*").alias("n"))
             centre = heads_k.groupBy("band").agg(F.max_by("b", F.struct("n", "b")).alias("a"), F.count("*").alias("parts")).filter("parts > 1")
-            # every member of the smaller parts against the centre of the largest, and the parts' heads among themselves
+            # every member of the smaller parts against the centre of the largest
             pairs = rows_k.join(centre, "band").join(labels.select(F.col("id").alias("a"), F.col("label").alias("centre")), "a", "left")
             pairs = pairs.filter(F.col("part") != F.coalesce("centre", "a")).select("a", F.col("doc_id").alias("b"))
         pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
@@ -198,13 +226,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = materialize(pairs, "pairs")
         copies_of = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
         salted = pairs.join(copies_of, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).select("a", "b", "salt")
-        left = copies_of.join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("set").alias("set_a"))
+        left = copies_of.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "set_a")
         right = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
         found = materialize(right.join(left, ["a", "salt"]).select("a", "b", "set_a", "set_b").mapInArrow(_verify(similarity), "a long, b long"), "links")
-        if k and not found.limit(1).count():
-            break
-        links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
+        if labels is not None and not found.limit(1).count():
+            continue
+        links = found if links is None else links.unionByName(found)
         labels = components(links)
     reps = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
     return signed.select("doc_id").join(reps, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

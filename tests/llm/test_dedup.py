@@ -145,6 +145,20 @@ def test_near_copies_of_many_sizes(spark):
     assert got == components(rows, 5, 0.8)
 
 
+def test_pairs_inside_a_template_family(spark):
+    """Pages of one template come in similar pairs, and two pages of different pairs are just under 0.8."""
+    from tests.llm.conftest import words
+
+    base, rows = words(260, 900), []
+    for k in range(80):
+        own = words(11, 1000 + k)
+        rows += [(i, f"{base} {own} {words(23, 2000 + i)}") for i in (2 * k, 2 * k + 1)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    assert all(0.75 < len(sets[0] & x) / len(sets[0] | x) < 0.8 for x in sets[2:])
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(rows, 5, 0.8) == {i: i - i % 2 for i, _ in rows}
+
+
 def test_shingles_of_short_texts():
     with np.errstate(over="ignore"):
         doc, name, count = shingles([b"", b"a b", b"a b", b"b a", b"a b c d e a b c d e a"], 5)
