@@ -6,7 +6,11 @@ window* is ``WINDOW`` consecutive words with slots reduced to their types.  Ever
 document is hash-joined to the windows of the benchmark.  A document holds an item when the
 windows it has cover ``COVERAGE`` of the item's words (and ``LEAST_WORDS`` of them), and, where
 the item has slots, the values fit: along the aligned windows, equal values of the item stand for equal
-values of the document, so a re-parameterised question is found and a chance frame is not.
+values of the document, so a re-parameterised question is found and a chance frame is not.  Where the
+values of all windows together don't fit (two versions of a question, two items on one template, a chance
+window elsewhere), one *occurrence* is enough that is covered and fits by itself, with only the slots
+inside its windows: the windows of one shift between document and item, or of neighbouring shifts, each
+at most NEAR words from the next.  n_covered always counts the windows of the whole document.
 
 Null texts and items of fewer than WINDOW words match nothing.  Rows with the same doc_id count
 as one document; repeated items are reported under their own ids.  Other columns are not read.
@@ -15,12 +19,13 @@ The benchmark's windows are broadcast only while their number is below ``BROADCA
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.runtime import materialize
 
 WINDOW, COVERAGE, LEAST_WORDS, BROADCAST_ROWS = 5, 0.5, 8, 500_000
+NEAR = 3  # words put in or left out between two windows of one occurrence
 # Units that count as such behind a number.
 UNITS = "km kg cm mm mg ml g m l s h t percent meters metres miles feet inches pounds ounces grams kilograms kilometers kilometres liters litres seconds minutes hours days weeks months years dollars euros cents degrees"
 MARK = "\x02"
@@ -52,6 +57,27 @@ def windows(rows: DataFrame, key: str, text: str, window: int, as_key: str, as_p
     return named.select(as_key, F.posexplode(_keys(F.col("names"), window)).alias(as_pos, "window"))
 
 
+def _covered(at: Column, window: int) -> Column:
+    """How many words of the item the windows at these places cover."""
+    return F.size(F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(a, a + window - 1)))))
+
+
+def _unfit(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys under which one value of the item meets two words of the document."""
+    per_value = pairs.groupBy(*keys, "value", "word").agg(F.lit(1).alias("one")).groupBy(*keys, "value").agg(F.count("*").alias("words"))
+    return per_value.filter("words > 1").select(*keys).distinct()
+
+
+def _occurrences(found: DataFrame) -> DataFrame:
+    """Each hit once under its own shift, and once under its run of neighbouring shifts."""
+    hits = found.select("doc_id", "item_id", "n_words", F.explode("hits").alias("hit")).select("doc_id", "item_id", "n_words", "hit.item_at", "hit.shift")
+    shifts = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    opens = F.coalesce(F.col("shift") - F.lag("shift").over(shifts) > NEAR, F.lit(True)).cast("int")
+    runs = hits.select("doc_id", "item_id", "shift").distinct().withColumn("opens", opens).withColumn("run", F.sum("opens").over(shifts))
+    both = F.array(F.struct(F.lit("shift").alias("kind"), F.col("shift").cast("long").alias("of")), F.struct(F.lit("run").alias("kind"), F.col("run").cast("long").alias("of")))
+    return hits.join(runs.drop("opens"), ["doc_id", "item_id", "shift"]).select("doc_id", "item_id", "n_words", "item_at", "shift", F.explode(both).alias("occurrence"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, item_id, n_words (of the item), n_covered, n_slots: one row for each item that a document holds."""
     items = benchmark.select(F.col(item_id).alias("item_id"), canonical_words(F.col(item_text)).alias("words")).filter(F.size("words") >= window)
@@ -61,19 +87,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     small = theirs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ours = windows(docs, doc_id, text, window, "doc_id", "doc_at")
     hits = ours.join(F.broadcast(theirs) if small else theirs, "window")
-    found = hits.groupBy("doc_id", "item_id").agg(F.collect_set("item_at").alias("at"), F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + window - 1))))).alias("n_covered")
-    found = found.select("doc_id", "item_id", "shifts", covered).join(F.broadcast(sizes) if small else sizes, "item_id")
-    found = materialize(found.filter((F.col("n_covered") >= coverage * F.col("n_words")) & (F.col("n_covered") >= least_words)), "leaks")
+    found = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))).alias("hits"))
+    found = found.select("doc_id", "item_id", "hits", _covered(F.col("hits.item_at"), window).alias("n_covered")).join(F.broadcast(sizes) if small else sizes, "item_id")
+    enough = (F.col("n_covered") >= coverage * F.col("n_words")) & (F.col("n_covered") >= least_words)
+    found = materialize(found.filter(enough), "leaks")
 
-    slotted = found.filter("n_slots > 0").select("doc_id", "item_id", F.explode("shifts").alias("shift"))
+    slotted = found.filter("n_slots > 0").select("doc_id", "item_id", F.explode(F.array_distinct("hits.shift")).alias("shift"))
     words = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(slotted.select("doc_id").distinct(), "doc_id", "left_semi")
     words = words.select("doc_id", F.posexplode(canonical_words(F.col("text"))).alias("doc_at", "word")).filter(F.col("word").startswith(MARK))
     wanted = items.select("item_id", F.posexplode("words").alias("item_at", "value")).filter(F.col("value").startswith(MARK))
     pairs = slotted.join(wanted, "item_id").withColumn("doc_at", F.col("item_at") + F.col("shift")).join(words, ["doc_id", "doc_at"])
     pairs = pairs.filter(F.substring("word", 1, 2) == F.substring("value", 1, 2))
-    per_value = pairs.groupBy("doc_id", "item_id", "value", "word").agg(F.lit(1).alias("one")).groupBy("doc_id", "item_id", "value").agg(F.count("*").alias("words"))
-    broken = per_value.filter("words > 1").select("doc_id", "item_id").distinct()
+    broken = materialize(_unfit(pairs, ["doc_id", "item_id"]), "broken")
+
+    parts = _occurrences(found.join(broken, ["doc_id", "item_id"], "left_semi"))
+    sized = parts.groupBy("doc_id", "item_id", "occurrence").agg(_covered(F.collect_set("item_at"), window).alias("n_covered"), F.first("n_words").alias("n_words"))
+    at = parts.select("doc_id", "item_id", "occurrence", "shift", F.explode(F.sequence("item_at", F.col("item_at") + window - 1)).alias("item_at")).distinct()
+    inside = at.join(wanted, ["item_id", "item_at"]).withColumn("doc_at", F.col("item_at") + F.col("shift")).join(words, ["doc_id", "doc_at"])
+    whole = sized.filter(enough).join(_unfit(inside, ["doc_id", "item_id", "occurrence"]), ["doc_id", "item_id", "occurrence"], "left_anti")
+    broken = broken.join(whole.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti")
     return found.join(broken, ["doc_id", "item_id"], "left_anti").select("doc_id", "item_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_covered").cast("long").alias("n_covered"), F.col("n_slots").cast("long").alias("n_slots"))
 
 

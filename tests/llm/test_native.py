@@ -45,6 +45,15 @@ def test_reparameterised_questions_are_found(spark):
     assert got == {(0, 0), (1, 0)}
 
 
+def test_each_occurrence_counts_by_itself(spark):
+    other = QUESTION.replace("12", "45").replace("30", "7").replace("Lund", "Oslo")
+    broken = QUESTION.replace("12 km per", "45 km per", 1)
+    chance = "the old man at 99 km per hour and then nothing at all"
+    inserted = QUESTION.replace("the driver", "then the driver")
+    texts = [QUESTION + ". " + other, QUESTION + ". " + chance, other + ". " + chance + ". " + inserted, broken + ". " + chance, broken + ". " + broken.replace("45", "46")]
+    assert leaks(spark, texts, [QUESTION, other]) == {(d, i) for d in (0, 1, 2) for i in (0, 1)}
+
+
 def test_short_null_and_repeated_items(spark):
     got = leaks(spark, [QUESTION, QUESTION, "one two three four"], [None, "", "one two three four", QUESTION, QUESTION])
     assert got == {(d, i) for d in (0, 1) for i in (3, 4)}
