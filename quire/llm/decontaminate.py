@@ -4,7 +4,7 @@ Texts become lower-case words (letters and digits); numbers, units behind a numb
 capitalised words inside a sentence become typed slots that keep their value aside.  A *template
 window* is ``WINDOW`` consecutive words with slots reduced to their types.  Every window of every
 document is hash-joined to the windows of the benchmark.  A document holds an item when the
-windows it has cover ``COVERAGE`` of the item's words (and ``LEAST_WORDS`` of them), and, where
+windows it has cover ``COVERAGE`` of the item's words (and ``LEAST_WORDS`` of them, or all words of a shorter item), and, where
 the item has slots, the values fit: along the aligned windows, equal values of the item stand for equal
 values of the document, so a re-parameterised question is found and a chance frame is not.  Where the
 values of all windows together don't fit (two versions of a question, two items on one template, a chance
@@ -89,7 +89,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     hits = ours.join(F.broadcast(theirs) if small else theirs, "window")
     found = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))).alias("hits"))
     found = found.select("doc_id", "item_id", "hits", _covered(F.col("hits.item_at"), window).alias("n_covered")).join(F.broadcast(sizes) if small else sizes, "item_id")
-    enough = (F.col("n_covered") >= coverage * F.col("n_words")) & (F.col("n_covered") >= least_words)
+    enough = (F.col("n_covered") >= coverage * F.col("n_words")) & (F.col("n_covered") >= F.least(F.lit(least_words), F.col("n_words")))
     found = materialize(found.filter(enough), "leaks")
 
     slotted = found.filter("n_slots > 0").select("doc_id", "item_id", F.explode(F.array_distinct("hits.shift")).alias("shift"))

@@ -54,6 +54,12 @@ def test_each_occurrence_counts_by_itself(spark):
     assert leaks(spark, texts, [QUESTION, other]) == {(d, i) for d in (0, 1, 2) for i in (0, 1)}
 
 
+def test_items_of_five_to_seven_words_are_found_whole(spark):
+    items = ["Which river flows through Paris", "what is the boiling point of water", "why is the sky blue"]
+    texts = ["He asked: " + items[0] + "? Nobody knew.", "so what is the boiling point of water today", "what is the boiling point of iron", "and why is the sky blue"]
+    assert leaks(spark, texts, items) == {(0, 0), (1, 1), (3, 2)}
+
+
 def test_short_null_and_repeated_items(spark):
     got = leaks(spark, [QUESTION, QUESTION, "one two three four"], [None, "", "one two three four", QUESTION, QUESTION])
     assert got == {(d, i) for d in (0, 1) for i in (3, 4)}
