@@ -71,7 +71,7 @@ def page_feeds(spark, sf_dir):
     from quire.functions.url import host_key
 
     pages = table(spark, sf_dir, "pages").withColumn("host", host_key(F.col("url")))
-    body = escape_html(F.substring("html", 1, 600))
+    body = escape_html(F.col("html"))
     item = F.concat(F.lit("<item><title>Page "), F.col("page_id").cast("string"), F.lit("</title><link>"), escape_html(F.col("url")), F.lit("</link><description>"), body, F.lit("</description></item>"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("x")))), lambda p: p["x"]), "")
     docs = pages.groupBy("host").agg(F.concat(F.lit("<rss><channel><title>"), F.first("host"), F.lit("</title><link>https://"), F.first("host"), F.lit("/</link>"), text, F.lit("</channel></rss>")).alias("feed"))

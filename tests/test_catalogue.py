@@ -32,3 +32,13 @@ def test_query(spark, con, name):
 def test_entry(spark):
     out = entry.entry(spark)
     assert out.count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_feeds_hold_whole_pages(spark):
+    from quire.functions import tree
+    from quire.operators import article
+
+    pages = {r.url: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    want = {u: tree.visible_length(article.clean_fragment(h)) for u, h in pages.items()}
+    got = {r.link: r.length for r in catalogue.QUERIES["page_feeds"](spark, SF).collect() if not r.from_page}
+    assert len(got) > len(pages) // 2 and got == {u: want[u] for u in got}
