@@ -6,7 +6,9 @@ linked characters, so that link lists fall below prose.  A node's density sum is
 its children.  The node with the largest sum is found; the threshold is the smallest density on
 its path from the body; of the nodes that reach the threshold the one with the largest sum is
 the main text.  Navigation, page heads and feet, forms, scripts, styles, hidden nodes and
-containers named as adverts, notices, sidebars or comments are dropped before.
+containers named as adverts, notices, sidebars or comments are dropped before.  A name that follows has-,
+no- or with- says nothing, and a named container stays if it holds the page's main element, all of its
+articles, or most of its unlinked text with no article beside it.
 
 Null and empty pages, and pages without text, give an empty text.  Pages may end anywhere: open
 elements end with the page and an unfinished tag is dropped.
@@ -38,6 +40,7 @@ NAMED = re.compile(
     r"share|sharing|social|related|recommended|comments?|commentlist|comment-list|disqus|respond|replies|newsletter|subscribe|signup|popup|modal|overlay|pagination|pager|widget|toolbar|skip-link|paywall)(?:$|[\s_-])",
     re.I,
 )
+QUALIFIED = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-]\S*", re.I)
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
@@ -112,8 +115,8 @@ def _path(node):
         node = node.parent
 
 
-def unwanted(node: Node, inside: bool) -> bool:
-    """Dropped by name, by attributes, or as a page head; inside: under an article or main."""
+def unwanted(node: Node, inside: bool, wraps: bool = False) -> bool:
+    """Dropped by name, by attributes, or as a page head; inside: under an article or main; wraps: its class and id don't count."""
     name = node.name
     if name in DROPPED:
         return True
@@ -125,7 +128,7 @@ def unwanted(node: Node, inside: bool) -> bool:
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and NAMED.search(value):
+        if key in ("class", "id") and not wraps and NAMED.search(QUALIFIED.sub("", value)):
             return True
         if key == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"):
             return True
@@ -143,13 +146,35 @@ def walk(node: Node):
             stack.extend(reversed(n.children))
 
 
+def contents(root: Node) -> None:
+    """Unlinked characters, articles with mains, and mains of every subtree: chars, tags and link_tags until measure."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, link = stack.pop()
+        order.append((node, link))
+        stack.extend((c, link or c.name == "a") for c in node.children if isinstance(c, Node))
+    for node, link in reversed(order):
+        inner = [c for c in node.children if isinstance(c, Node)]
+        node.chars = sum(c.chars for c in inner) + (0 if link else sum(len(SPACE.sub("", c)) for c in node.children if isinstance(c, str)))
+        node.tags = sum(c.tags for c in inner) + (node.name in ("article", "main"))
+        node.link_tags = sum(c.link_tags for c in inner) + (node.name == "main")
+        if node.name in DROPPED:
+            node.chars = node.tags = node.link_tags = 0
+
+
 def prune(root: Node) -> None:
-    stack = [(root, False)]
+    contents(root)
+    text, articles = root.chars, root.tags
+    stack = [(root, 0)]
     while stack:
-        node, inside = stack.pop()
-        inside = inside or node.name in ("article", "main")
-        node.children = [c for c in node.children if not isinstance(c, Node) or not unwanted(c, inside)]
-        stack.extend((c, inside) for c in node.children if isinstance(c, Node))
+        node, above = stack.pop()  # above: articles and mains around its children
+        above += node.name in ("article", "main")
+
+        def wraps(c):
+            return bool(c.link_tags or c.tags and c.tags == articles or 2 * c.chars > text and c.tags + above == articles)
+
+        node.children = [c for c in node.children if not isinstance(c, Node) or not unwanted(c, above > 0, wraps(c))]
+        stack.extend((c, above) for c in node.children if isinstance(c, Node))
 
 
 def measure(body: Node) -> list[Node]:
@@ -199,8 +224,7 @@ def main_node(root: Node) -> Node | None:
     for n in _path(main):  # a part of an article stands for the whole of it
         if n.name in ("article", "main"):
             return n
-    own = [n for n in walk(main) if isinstance(n, Node) and n.name in ("article", "main") and 2 * n.chars >= main.chars]
-    return own[0] if own else main
+    return main
 
 
 def blocks(node: Node) -> list[str]:

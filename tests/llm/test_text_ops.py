@@ -259,6 +259,19 @@ def test_main_text(page, text):
         assert got.split("\n\n") in (["Head", prose, "bé c"], [prose, "two"], [prose, "tail"])
 
 
+def test_named_wrappers_and_several_articles():
+    prose = ("Long prose with many words, and more of them. " * 6).strip()
+    for name in ("layout has-sidebar", "content no-comments", "page with-sidebar", "page sidebar", "social"):
+        for inner in (f"<article>{ARTICLE}</article>", f"<main>{ARTICLE}</main>", f"<div>{ARTICLE}</div>"):
+            page = f"<div class='{name}'>{inner}<div class='sidebar'>side</div></div><div class='comments'>a comment</div>"
+            assert html_density.extract(page) == prose, page
+    page = f"<main><article>{ARTICLE}<p>tail</article><div id=comments><article>a comment</article></div></main>"
+    assert html_density.extract(page) == prose + "\n\ntail"
+    long = " ".join([prose] * 3)
+    page = f"<body><div><article><p>{long}</p></article><article>{ARTICLE}</article><article>{ARTICLE}</article></div></body>"
+    assert html_density.extract(page).split("\n\n") == [long, prose, prose]
+
+
 def test_main_text_of_pages(spark, nothing):
     import html as entities
 
