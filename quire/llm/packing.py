@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +26,64 @@ from pyspark.sql import functions as F
 
 from quire.llm.blobs import U, mix, trim
 from quire.llm.suffix_dedup import _ranges
+from quire.llm.words import spans
 from quire.runtime import materialize, ship
 
 SIZE, END, WIDTH, DIMENSIONS, BITS = 4096, 2, 256, 4, 10
 CHUNK, KNOWN, RANGE_TOKENS = 1_500_000, 500_000, 4_000_000
-#: Python's split() takes these as blanks, tokenizers do not.
-ODD = re.compile("[\x1c-\x1f]")
-
-
+#: A letter beyond U+024F, or the dotted capital I: lower case or normal form may depend on more than the letter.
+FAR = re.compile("[^\x00-ɏ]|İ")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: What the cutting below holds for; texts go to any other tokenizer whole.
+NORMAL = r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])'
+SPLIT = r"""Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True)"""
+BLANK, LETTER, DIGIT, MARK = 0, 1, 2, 3
+KIND = np.full(256, MARK, np.uint8)
+KIND[[0x20, *range(0x09, 0x0E)]] = BLANK
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTER
+KIND[0x30:0x3A] = DIGIT
+#: Bytes whose word is looked up whole: the apostrophe, separators that only Python takes as blanks, U+0080 to U+00BF, from U+0280.
+ODD = np.zeros(256, bool)
+ODD[[0x27, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, *range(0xCA, 0x100)]] = True
+SLOTS = 1 << 20
+
+
+class Table:
+    """Numbers of 64-bit names, by open addressing; every step takes a whole array."""
+
+    def __init__(self):
+        self.names, self.number = np.zeros(SLOTS, U), np.full(SLOTS, -1, np.int32)
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        """The number of each name, -1 where it is unknown."""
+        seat = (names >> U(44)).astype(np.int64)
+        out = self.number[seat]
+        off = np.flatnonzero((out >= 0) & (self.names[seat] != names))
+        while len(off):
+            seat = (seat[off] if len(seat) == len(names) else seat) + 1 & SLOTS - 1
+            here = self.number[seat]
+            wrong = (here >= 0) & (self.names[seat] != names[off])
+            out[off[~wrong]] = here[~wrong]
+            off, seat = off[wrong], seat[wrong]
+        return out
+
+    def add(self, names: np.ndarray, first: int) -> None:
+        """Distinct new names get the numbers from first on."""
+        seat, number = (names >> U(44)).astype(np.int64), np.arange(first, first + len(names), dtype=np.int32)
+        while len(names):
+            free = np.flatnonzero(self.number[seat] < 0)
+            self.number[seat[free]], self.names[seat[free]] = number[free], names[free]
+            late = self.number[seat] != number
+            names, number, seat = names[late], number[late], seat[late] + 1 & SLOTS - 1
 
 
 class Tokens:
-    """Ids of texts.  The vocabulary drops white space and no token spans it, so words are looked up.
+    """Ids of texts.  The vocabulary drops white space and no token spans it, so pieces are looked up.
 
-    A new word is cut where the tokenizer cuts it, into runs of letters, digits and marks, and
-    only pieces that are new go to the tokenizer.  Words whose lower case or normal form could
-    depend on more than each letter (beyond U+024F), and those with a special token's opening, go there whole.
+    Words are cut where the tokenizer cuts them, into runs of letters, digits and marks, all in numpy; pieces
+    are known by 64-bit names.  Only new pieces go to the tokenizer.  Words for which bytes don't tell the cuts are
+    looked up whole; those with a special token's opening or letters beyond U+024F go to it as they are.  At most
+    KNOWN pieces are kept, some 25 MB; what came again outlives a clearance.
     """
 
     def __init__(self, path: str):
@@ -51,85 +91,125 @@ class Tokens:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tool = Tokenizer.from_file(path)
-        # pieces are in normal form and cut already, so the same model takes them without those steps
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, int] = {}
-        self.ids, self.begin, self.size, self.uses = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _forget(self) -> None:
-        """Keep the words that came again."""
-        keep = np.flatnonzero(self.uses > 2)
-        words = list(self.known)
-        self.known = {words[i]: k for k, i in enumerate(keep)}
-        self.ids = self.ids[_ranges(self.begin[keep], self.size[keep])]
-        self.size = self.size[keep]
-        self.begin = np.cumsum(self.size) - self.size
-        self.uses = np.zeros(len(keep), np.int64)
+        self.type = np.uint16 if self.tool.get_vocab_size() <= 1 << 16 else np.uint32
+        self.cuts = str(self.tool.normalizer) == NORMAL and SPLIT in str(self.tool.pre_tokenizer)
+        if self.cuts:
+            # pieces are in normal form and cut already, so the same model takes them without those steps
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self._clear()
+
+    def _clear(self) -> None:
+        self.table, self.count, self.filled = Table(), 0, 0
+        self.names, self.begin, self.size = np.zeros(KNOWN, U), np.zeros(KNOWN, np.int32), np.zeros(KNOWN, np.int32)
+        self.uses, self.ids = np.zeros(KNOWN, np.int32), np.zeros(4 * KNOWN, self.type)
+
+    def _forget(self, room: int) -> None:
+        """Keep the pieces that came again, if they leave room."""
+        keep = np.flatnonzero(self.uses[: self.count] > 2)
+        if len(keep) + room > KNOWN:
+            keep = keep[:0]
+        names, size = self.names[keep], self.size[keep]
+        ids = self.ids[_ranges(self.begin[keep].astype(np.int64), size.astype(np.int64))]
+        self._clear()
+        self._store(names, size, ids)
+
+    def _store(self, names: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        n, m = self.count, len(names)
+        if self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.type)])
+        self.names[n : n + m], self.size[n : n + m] = names, size
+        self.begin[n : n + m] = self.filled + np.cumsum(size) - size
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.table.add(names, n)
+        self.count, self.filled = n + m, self.filled + len(ids)
+
+    def _bare(self, pieces: list[str], between: str) -> list[np.ndarray]:
+        """Ids of pieces of one kind; between is a token that no piece of this kind holds."""
+        out = []
+        (stop,) = self.bare.encode(between, add_special_tokens=False).ids
+        groups = [[y for x in pieces[i : i + 1000] for y in (x, between)] for i in range(0, len(pieces), 1000)]
+        for e in self.bare.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False):
+            ids = np.array(e.ids, self.type)
+            ends = np.flatnonzero(ids == stop)
+            out += [ids[a:b] for a, b in zip(np.concatenate([[0], ends[:-1] + 1]), ends, strict=True)]
+        return out
+
+    def _encode(self, words: list[str], odd: np.ndarray) -> list[np.ndarray]:
+        """Ids of new pieces and, where odd, words."""
+        parts: list[list[str] | None] = [None if o and (FAR.search(x) or "<|" in x) else PIECE.findall(x.lower()) if o else [x.lower()] for x, o in zip(words, odd, strict=True)]
+        plain = list(dict.fromkeys(p for x in parts if x for p in x))
+        letters, marks = [p for p in plain if p[0].isalnum()], [p for p in plain if not p[0].isalnum()]
+        ids = dict(zip(letters, self._bare(letters, "."), strict=True)) | dict(zip(marks, self._bare(marks, "a"), strict=True))
+        whole = iter(self.tool.encode_batch_fast([x for x, p in zip(words, parts, strict=True) if p is None], add_special_tokens=False))
+        return [np.array(next(whole).ids, self.type) if p is None else ids[p[0]] if len(p) == 1 else np.concatenate([ids[y] for y in p] or [np.zeros(0, self.type)]) for p in parts]
 
     @staticmethod
-    def cut(word: str) -> list[str] | None:
-        """The pieces of a word in lower case, or None if the tokenizer has to see it whole."""
-        if not word.isascii() and (max(word) > "\u024f" or "\u0130" in word) or "<|" in word:
-            return None
-        low = word.lower()
-        if low.isalpha():
-            return [low]
-        if low[-1] in ".,;:!?" and low[:-1].isalpha():
-            return [low[:-1], low[-1]]
-        return PIECE.findall(low)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > KNOWN:
-            self._forget()
-        if len(self.pieces) > KNOWN:
-            self.pieces.clear()
-        new = [x for x in words if x not in self.known]
-        if not new:
-            return
-        cuts = list(map(self.cut, new))
-        missing = list({p for c in cuts if c for p in c if p not in self.pieces})
-        for piece, e in zip(missing, self.bare.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.pieces[piece] = array("H", e.ids).tobytes()
-        whole = iter(self.tool.encode_batch_fast([x for x, c in zip(new, cuts, strict=True) if not c], add_special_tokens=False))
-        found = [b"".join([self.pieces[p] for p in c]) if c else array("H", next(whole).ids).tobytes() for c in cuts]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
-        for x in new:
-            self.known[x] = len(self.known)
-        start = len(self.ids)
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint16)])
-        self.begin = np.concatenate([self.begin, start + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+    def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end of each piece or odd word of texts that end with a blank; which are odd."""
+        kind = KIND[data]
+        opens = kind != BLANK
+        opens[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        closes = kind == BLANK
+        closes[1:] &= kind[:-1] != BLANK
+        bad = ODD[data]
+        # two bytes: U+00D7 and U+00F7 are no letters, beyond U+024F, U+0130, the opening of special tokens
+        a, b = data[:-1], data[1:]
+        bad[:-1] |= ((a == 0xC3) & ((b == 0x97) | (b == 0xB7))) | ((a == 0xC9) & (b >= 0x90)) | ((a == 0xC4) & (b == 0xB0)) | ((a == 0x3C) & (b == 0x7C))
+        at = np.flatnonzero(bad)
+        if len(at):
+            first = np.flatnonzero(opens & np.concatenate([[True], kind[:-1] == BLANK]))
+            last = np.flatnonzero(closes & np.concatenate([[False], kind[:-1] != BLANK]))
+            which = np.unique(np.searchsorted(first, at, "right") - 1)
+            mark = np.zeros(len(data) + 1, np.int8)
+            mark[first[which] + 1] += 1
+            mark[last[which]] -= 1
+            opens &= np.cumsum(mark[:-1], dtype=np.int8) == 0
+        edges = np.flatnonzero(opens | closes)
+        start = np.flatnonzero(opens[edges])
+        begin, end = edges[start], edges[start + 1]
+        odd = np.zeros(len(begin), bool)
+        if len(at):
+            odd[np.searchsorted(begin, first[which])] = True
+        return begin, end, odd
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text with the end token."""
-        words = [x.split() if not ODD.search(x) else None for x in texts]
-        every = [w for x in words if x for w in x]
-        self._learn(set(every))
-        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
-        self.uses += np.bincount(at, minlength=len(self.uses))
-        size = self.size[at]
-        ids = self.ids[_ranges(self.begin[at], size)] if len(at) else np.zeros(0, np.uint16)
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(x or ()) for x in words])] if words else np.zeros(0, np.int64)
-        ids = np.insert(ids, ends, np.uint16(END))
-        stop = ends + np.arange(1, len(ends) + 1)
-        out = [ids[i:j] for i, j in zip(np.concatenate([[0], stop[:-1]]), stop, strict=True)] if words else []
-        for k, x in enumerate(words):
-            if x is None:
-                out[k] = np.array([*self.tool.encode(texts[k], add_special_tokens=False).ids, END], np.uint16)
-        return out
-
-
-_tokens: dict[str, Tokens] = {}
-
-
-def tokens(path: str) -> Tokens:
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+        if not self.cuts:
+            return [np.array([*e.ids, END], self.type) for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        coded = [(x if FAR.search(x) else x.lower()).encode() for x in texts]
+        data = np.frombuffer(b"\n".join([*coded, b""]), np.uint8)
+        stop = np.cumsum(np.fromiter((len(x) + 1 for x in coded), np.int64, len(coded)))
+        begin, end, odd = self.units(data)
+        with np.errstate(over="ignore"):
+            names = spans(data, begin, end) ^ (end - begin).astype(U)
+        at = self.table.find(names)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, first = np.unique(names[missing], return_index=True)
+            which = missing[first]
+            if self.count + len(new) > KNOWN:
+                self._forget(len(new))
+                at = self.table.find(names)
+                new, first = np.unique(names[at < 0], return_index=True)
+                which = np.flatnonzero(at < 0)[first]
+            if len(new) > KNOWN:  # a piece of text with more than is ever kept
+                half = len(texts) // 2
+                return [*self(texts[:half]), *self(texts[half:])] if half else [np.array([*self.tool.encode(texts[0], add_special_tokens=False).ids, END], self.type)]
+            raw = data.tobytes()
+            found = self._encode([raw[a:b].decode() for a, b in zip(begin[which].tolist(), end[which].tolist(), strict=True)], odd[which])
+            self._store(new, np.fromiter(map(len, found), np.int32, len(found)), np.concatenate(found))
+            at = self.table.find(names)
+        self.uses[: self.count] += np.bincount(at, minlength=self.count).astype(np.int32)
+        size = self.size[at].astype(np.int64)
+        ids = self.ids[_ranges(self.begin[at].astype(np.int64), size)] if len(at) else np.zeros(0, self.type)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(begin, stop)]
+        ids = np.insert(ids, ends, self.type(END))
+        last = ends + np.arange(1, len(ends) + 1)
+        return [ids[i:j] for i, j in zip(np.concatenate([[0], last[:-1]]), last, strict=True)]
 
 
 def hilbert(point: np.ndarray, bits: int) -> np.ndarray:
@@ -163,11 +243,11 @@ def hilbert(point: np.ndarray, bits: int) -> np.ndarray:
 
 def curve_keys(ids: list[np.ndarray], dimensions: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
     """The Hilbert key of each document's hashed and projected token counts."""
+    every = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
     with np.errstate(over="ignore"):
-        place = mix(np.arange(1 << 16, dtype=U) + U(77))
+        place = mix(np.arange(int(every.max(initial=0)) + 1, dtype=U) + U(77))
     seat, sign = (place % U(WIDTH)).astype(np.int64), np.where(place >> U(63), 1.0, -1.0)
     docs = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    every = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
     vector = np.bincount(docs * WIDTH + seat[every], weights=sign[every], minlength=len(ids) * WIDTH).reshape(len(ids), WIDTH)
     vector /= np.maximum(np.sqrt((vector**2).sum(1, keepdims=True)), 1e-12)
     to = np.random.default_rng(1).standard_normal((WIDTH, dimensions))
@@ -176,11 +256,11 @@ def curve_keys(ids: list[np.ndarray], dimensions: int = DIMENSIONS, bits: int =
 
 
 def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, key, n and ids (compressed unsigned 16-bit numbers) of each row."""
+    """doc_id, key, n and ids (compressed unsigned numbers of 16 bits, or 32 for a larger vocabulary) of each row."""
     ship(docs.sparkSession)
 
     def run(batches):
-        tool = tokens(path)
+        tool = Tokens(path)  # goes with the partition
         for batch in batches:
             texts = [x or "" for x in batch["text"].to_pylist()]
             at = 0
@@ -194,6 +274,8 @@ def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "ids"])
                 at = end
             trim()
+        del tool
+        trim()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, key long, n long, ids binary")
@@ -239,8 +321,9 @@ def pack(rows: DataFrame, size: int = SIZE) -> DataFrame:
     def run(batches):
         def stream():
             for batch in batches:
-                for doc, key, x in zip(batch["doc_id"].to_pylist(), batch["key"].to_pylist(), batch["ids"], strict=True):
-                    yield doc, np.frombuffer(zstandard.decompress(x.as_buffer()), np.uint16), key
+                for doc, key, n, x in zip(batch["doc_id"].to_pylist(), batch["key"].to_pylist(), batch["n"].to_pylist(), batch["ids"], strict=True):
+                    raw = zstandard.decompress(x.as_buffer())
+                    yield doc, np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32), key
 
         columns: list[list] = [[] for _ in range(8)]
         for doc, start, ids, n, key, sequence, offset in cut(stream(), size, TaskContext.get().partitionId() << 32):

@@ -27,13 +27,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit name of each word, the same in every task."""
-        out, table = np.empty(len(self.start), U), byte_table(SEED)
-        for i in range(0, len(out), BLOCK):  # small arrays stay in the processor's cache
-            a, b = self.start[i : i + BLOCK], self.end[i : i + BLOCK]
-            zero, n = int(a[0]), int(b[-1] - a[0])
-            total = np.concatenate([np.zeros(1, U), np.cumsum(table[self.data[zero : zero + n]] * powers(BASE, n)[:n])])
-            out[i : i + BLOCK] = (total[b - zero] - total[a - zero]) * powers(pow(BASE, -1, 1 << 64), n)[a - zero]
-        return mix(out)
+        return spans(self.data, self.start, self.end)
+
+
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit name of the bytes of each span; spans come in order and don't overlap."""
+    out, table = np.empty(len(start), U), byte_table(SEED)
+    for i in range(0, len(out), BLOCK):  # small arrays stay in the processor's cache
+        a, b = start[i : i + BLOCK], end[i : i + BLOCK]
+        zero, n = int(a[0]), int(b[-1] - a[0])
+        total = np.concatenate([np.zeros(1, U), np.cumsum(table[data[zero : zero + n]] * powers(BASE, n)[:n])])
+        out[i : i + BLOCK] = (total[b - zero] - total[a - zero]) * powers(pow(BASE, -1, 1 << 64), n)[a - zero]
+    return mix(out)
 
 
 def windows(h: np.ndarray, size: int, base: int) -> np.ndarray:
