@@ -1,6 +1,6 @@
 """Columnar exchange: keys travel as packed numpy arrays, one row for each (bucket, shard).
 
-A *bucket* is a group of documents (by a hash of doc_id), sized from the measured bytes of
+A *bucket* is a group of documents (by a hash of doc_id and text), sized from the measured bytes of
 text.  A *shard* owns a range of 64-bit key space.  A bucket sends each distinct key once, so
 a key that a third of all documents hold costs one entry per bucket, not one per document;
 the shard answers with one bit per entry, in the order in which they were sent.
@@ -23,6 +23,7 @@ GOLD = 0x9E3779B97F4A7C15
 BUCKET_BYTES = 1_600_000  # text in one bucket; numpy needs some 100 bytes for each
 SHARD_BYTES = 16_000_000  # text for which there is one shard
 LEAST = 64  # buckets and shards
+KEPT_POWERS = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,13 +46,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** n modulo 2 ** 64; the most that was asked for is kept."""
+    """base ** 0 ... base ** n modulo 2 ** 64; the most that was asked for is kept, up to KEPT_POWERS."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
         have = np.full(n + 1, base, dtype=U)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        _powers[base] = have
+        if n <= KEPT_POWERS:
+            _powers[base] = have
     return have[: n + 1]
 
 
@@ -69,9 +71,9 @@ def trim() -> None:
 
 
 def bucketed(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """bucket, doc_id, text (null: empty).  Every stage reads this one exchange again."""
+    """bucket, doc_id, text (null: empty).  Every stage reads this one exchange again; rows of one doc_id may lie apart."""
     return docs.select(
-        F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n)).cast("int").alias("bucket"),
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     ).repartition(max(LEAST, n // 4), "bucket")

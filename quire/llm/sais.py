@@ -41,7 +41,11 @@ def words8(t: np.ndarray) -> np.ndarray:
 def _refine(rank: np.ndarray, second: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order tied entries by (rank, second); rank stays the number of smaller entries.  Also: which are tied still."""
     r, s = rank[tied], second
-    order = np.lexsort((s, r))
+    if r[0] == r[-1] and (r == r[0]).all():
+        order = np.argsort(s)
+    else:  # one sort of whole numbers instead of two stable ones
+        kinds, s_rank = np.unique(s, return_inverse=True)
+        order = np.argsort(r * len(kinds) + s_rank)
     r, s, who = r[order], s[order], tied[order]
     n = len(who)
     new = np.ones(n, bool)
@@ -106,6 +110,18 @@ def _append(sa, heads, t, p, sign: int) -> None:
         heads -= count
 
 
+def _rest_of_runs(sa, heads, t, p, run, s, c: int, sign: int) -> tuple[np.ndarray, int]:
+    """Place what is left of the runs of c to which p leads.  What they and p lead to outside, and where c's bucket is then read."""
+    inside = p[t[p] == c]
+    size = inside - run[inside] + 1
+    back = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    _append(sa, heads, t, np.repeat(inside, size) - back, sign)
+    out = run[inside] - 1
+    out = out[out >= 0]
+    out = out[s[out] if sign < 0 else ~s[out]]
+    return np.concatenate([p[t[p] != c], out]), heads[c]
+
+
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     """All places of the byte string t in the order of their suffixes, exact up to depth bytes."""
     n = len(t)
@@ -119,33 +135,44 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     end = start + size
     sa = np.empty(n, np.int64)
     heads = start.copy()
+    edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    # runs of one byte that are longer than depth: their inner suffixes agree as far as it counts and are placed at once
+    run = np.repeat(edge, np.diff(np.append(edge, n))) if np.diff(np.append(edge, n)).max() > depth else None
     by = np.concatenate([[0], np.cumsum(np.bincount(t[lms], minlength=256))]) if len(lms) else np.zeros(257, np.int64)
     _append(sa, heads, t, np.array([n - 1]), 1)
     used = np.flatnonzero(size)
     for c in used:  # larger than their successor: left to right
-        lo = start[c]
+        lo, steps = start[c], 0
         while lo < heads[c]:
             hi = heads[c]
             p = sa[lo:hi] - 1
             p = p[p >= 0]
             p = p[~s[p]]
             if len(p):
-                _append(sa, heads, t, p, 1)
+                if run is not None and steps > depth:
+                    p, hi = _rest_of_runs(sa, heads, t, p, run, s, c, 1)
+                if len(p):
+                    _append(sa, heads, t, p, 1)
             lo = hi
+            steps += 1
         seeds = lms[by[c] : by[c + 1]]
         if len(seeds):
             _append(sa, heads, t, seeds - 1, 1)
     tails = end.copy()
     for c in used[::-1]:  # smaller than their successor: right to left
-        hi = end[c]
+        hi, steps = end[c], 0
         while hi > tails[c]:
             lo = tails[c]
             p = sa[lo:hi][::-1] - 1
             p = p[p >= 0]
             p = p[s[p]]
             if len(p):
-                _append(sa, tails, t, p, -1)
+                if run is not None and steps > depth:
+                    p, lo = _rest_of_runs(sa, tails, t, p, run, s, c, -1)
+                if len(p):
+                    _append(sa, tails, t, p, -1)
             hi = lo
+            steps += 1
         p = sa[start[c] : heads[c]][::-1] - 1
         p = p[p >= 0]
         p = p[s[p]]

@@ -28,12 +28,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import sais
-from quire.llm.blobs import GOLD, U, bits, bucketed, byte_table, deal, mix, pack, powers, shard_cuts, trim, unbits, unpack
+from quire.llm.blobs import GOLD, U, bits, bucketed, byte_table, deal, mix, pack, shard_cuts, trim, unbits, unpack
+from quire.llm.words import spans
 from quire.runtime import ship
 
 LENGTH, GRAM = 50, 20
 PARTS = 32  # a shard's runs are sorted in so many parts, by gram, one after the other
 LEAST_ID = -(1 << 63)
+DEAL = 0x94D049BB133111EB
+BLOCK = 1 << 14  # small arrays stay in the processor's cache
+
+
+def _least_grams(data: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For each ``length``-byte string the least hash of its grams."""
+    h, span, base = byte_table(1)[data], 1, pow(GOLD, 1, 1 << 64)
+    levels = {1: h}
+    while span * 2 <= gram:  # hashes of 2, 4, 8 ... bytes
+        h = h[: len(h) - span] * U(pow(base, span, 1 << 64)) + h[span:]
+        span *= 2
+        levels[span] = h
+    hashed, have = levels[span], span
+    while have < gram:
+        add = 1 << ((gram - have).bit_length() - 1)
+        hashed = hashed[: len(hashed) - add] * U(pow(base, add, 1 << 64)) + levels[add][have : have + len(hashed) - add]
+        have += add
+    least, wide, window = mix(hashed), 1, length - gram + 1
+    while wide * 2 <= window:
+        least = np.minimum(least[:-wide], least[wide:])
+        wide *= 2
+    if wide < window:
+        least = np.minimum(least[: len(least) - (window - wide)], least[window - wide :])
+    return least
 
 
 class _Bucket:
@@ -61,37 +86,23 @@ class _Bucket:
         self.grams, self.which, self.shared_here = np.zeros(0, U), empty, np.zeros(0, bool)
         if n < length or not (self.size >= length).any():
             return
-        h, span = byte_table(1)[self.data], 1
-        want = gram
-        levels = {1: h}
-        base = pow(GOLD, 1, 1 << 64)
-        while span * 2 <= gram:  # hashes of 2, 4, 8 ... bytes
-            h = h[: len(h) - span] * U(pow(base, span, 1 << 64)) + h[span:]
-            span *= 2
-            levels[span] = h
-        hashed, have = levels[span], span
-        while have < want:
-            add = 1 << ((want - have).bit_length() - 1)
-            hashed = hashed[: len(hashed) - add] * U(pow(base, add, 1 << 64)) + levels[add][have : have + len(hashed) - add]
-            have += add
-        del levels, h
-        least, wide, window = mix(hashed), 1, length - gram + 1
-        while wide * 2 <= window:
-            least = np.minimum(least[:-wide], least[wide:])
-            wide *= 2
-        if wide < window:
-            least = np.minimum(least[: len(least) - (window - wide)], least[window - wide :])
-        # least[i] is the gram of the string that starts at i; strings that cross documents end the runs
-        own = np.repeat(np.arange(len(self.size)), self.size)[: len(least)]
-        good = np.arange(len(least)) + length <= (self.begin + self.size)[own]
+        least = np.empty(n - length + 1, U)  # of the string that starts there
+        for i in range(0, len(least), BLOCK):
+            least[i : i + BLOCK] = _least_grams(self.data[i : i + BLOCK + length - 1], length, gram)
+        # strings that cross documents end the runs; each document ends with at least one
+        cross = np.zeros(n + 1, np.int8)
+        some = self.size > 0
+        np.add.at(cross, np.maximum(self.begin, self.begin + self.size - length + 1)[some], 1)
+        np.add.at(cross, (self.begin + self.size)[some], -1)
+        good = np.cumsum(cross[: len(least)], dtype=np.int8) == 0
         starts = good.copy()
-        starts[1:] &= (least[1:] != least[:-1]) | ~good[:-1] | (own[1:] != own[:-1])
+        starts[1:] &= (least[1:] != least[:-1]) | ~good[:-1]
         self.first = np.flatnonzero(starts)
-        stops = good.copy()
+        stops = good
         stops[:-1] &= starts[1:] | ~good[1:]
         self.last = np.flatnonzero(stops) + 1  # one past the run's last string
-        self.doc = own[self.first]
-        value = least[self.first]
+        self.doc = np.searchsorted(self.begin + self.size, self.first, "right")
+        value = mix(least[self.first] ^ U(DEAL))  # the least of many hashes is near zero: mixed again, all shards get as much
         self.grams, self.which = np.unique(value, return_inverse=True)
         ids = self.ids[self.doc]
         low, high = np.full(len(self.grams), np.iinfo(np.int64).max), np.full(len(self.grams), LEAST_ID)
@@ -103,12 +114,7 @@ class _Bucket:
         """Keep the runs of shared grams; name equal runs.  run, entry (by gram), entries' first run and least doc_id."""
         self.run = np.flatnonzero(shared[self.which]) if len(self.which) else np.zeros(0, np.int64)
         a, b, which = self.first[self.run], self.last[self.run] + self.length - 1, self.which[self.run]
-        sums = []
-        for seed, base in ((3, 0xD6E8FEB86659FD93), (5, 0xCA5A826395121157)):
-            total = np.concatenate([np.zeros(1, U), np.cumsum(byte_table(seed)[self.data] * powers(base, len(self.data))[:-1])])
-            back = powers(pow(base, -1, 1 << 64), len(self.data))
-            sums.append((total[b] - total[a]) * back[a])
-            del total, back
+        sums = [spans(self.data, a, b, seed, base) for seed, base in ((3, 0xD6E8FEB86659FD93), (5, 0xCA5A826395121157))]
         order = np.lexsort((self.run, sums[1], sums[0], b - a, which))
         new = np.ones(len(order), bool)
         if len(order):
@@ -240,12 +246,7 @@ def _earlier(data: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int) -
     """For each string of each run, in order: has a document with a smaller id this string?"""
     begin = np.cumsum(size) - size
     # equal runs of several buckets enter once, with their least doc_id
-    sums = []
-    for seed, base in ((7, 0xA0761D6478BD642F), (9, 0xE7037ED1A0B428DB)):
-        total = np.concatenate([np.zeros(1, U), np.cumsum(byte_table(seed)[data] * powers(base, len(data))[:-1])])
-        back = powers(pow(base, -1, 1 << 64), len(data))
-        sums.append((total[begin + size] - total[begin]) * back[begin])
-        del total, back
+    sums = [spans(data, begin, begin + size, seed, base) for seed, base in ((7, 0xA0761D6478BD642F), (9, 0xE7037ED1A0B428DB))]
     order = np.lexsort((ids, sums[1], sums[0], size))
     key = [x[order] for x in (size, *sums)]
     new = np.ones(len(order), bool)
@@ -302,8 +303,8 @@ def _cover(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards: in
     flag |= np.repeat(b.ids[b.doc[b.run]] > b.entry_id[b.entry], strings)
     mark = np.zeros(len(b.data) + 1, np.int32)
     start = _ranges(b.first[b.run], strings)[flag]
-    np.add.at(mark, start, 1)
-    np.add.at(mark, np.minimum(start + length, len(b.data)), -1)
+    mark[start] += 1  # each string once
+    mark[start + length] -= 1
     covered = np.cumsum(mark[:-1]) > 0
     kept = b.data[~covered].tobytes()
     stay = np.concatenate([[0], np.cumsum(~covered)])

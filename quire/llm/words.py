@@ -8,7 +8,7 @@ from quire.llm.blobs import U, byte_table, mix, powers
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-SEED, BASE, BLOCK = 11, 0xD6E8FEB86659FD93, 30_000
+SEED, BASE, BLOCK = 11, 0xD6E8FEB86659FD93, 1 << 15
 
 
 class Words:
@@ -30,14 +30,20 @@ class Words:
         return spans(self.data, self.start, self.end)
 
 
-def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit name of the bytes of each span; spans come in order and don't overlap."""
-    out, table = np.empty(len(start), U), byte_table(SEED)
-    for i in range(0, len(out), BLOCK):  # small arrays stay in the processor's cache
-        a, b = start[i : i + BLOCK], end[i : i + BLOCK]
-        zero, n = int(a[0]), int(b[-1] - a[0])
-        total = np.concatenate([np.zeros(1, U), np.cumsum(table[data[zero : zero + n]] * powers(BASE, n)[:n])])
-        out[i : i + BLOCK] = (total[b - zero] - total[a - zero]) * powers(pow(BASE, -1, 1 << 64), n)[a - zero]
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = SEED, base: int = BASE) -> np.ndarray:
+    """A 64-bit name of the bytes of each span; starts and ends must not fall."""
+    out, table, back = np.empty(len(start), U), byte_table(seed), pow(base, -1, 1 << 64)
+    at = 0
+    while at < len(out):
+        zero = int(start[at])
+        to = max(at + 1, int(np.searchsorted(start, zero + BLOCK)))  # small arrays stay in the processor's cache
+        a, b = start[at:to] - zero, end[at:to] - zero
+        n = int(b[-1])
+        total = np.empty(n + 1, U)
+        total[0] = 0
+        np.cumsum(table[data[zero : zero + n]] * powers(base, n)[:n], out=total[1:])
+        out[at:to] = (total[b] - total[a]) * powers(back, n)[a]
+        at = to
     return mix(out)
 
 
