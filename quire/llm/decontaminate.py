@@ -2,29 +2,32 @@
 
 Texts become lower-case words (letters and digits); numbers, units behind a number, and
 capitalised words inside a sentence become typed slots that keep their value aside.  A *template
-window* is ``WINDOW`` consecutive words with slots reduced to their types.  Every window of every
-document is hash-joined to the windows of the benchmark.  A document holds an item when the
-windows it has cover ``COVERAGE`` of the item's words (and ``LEAST_WORDS`` of them, or all words of a shorter item), and, where
-the item has slots, the values fit: along the aligned windows, equal values of the item stand for equal
-values of the document, so a re-parameterised question is found and a chance frame is not.  Where the
-values of all windows together don't fit (two versions of a question, two items on one template, a chance
-window elsewhere), one *occurrence* is enough that is covered and fits by itself, with only the slots
-inside its windows: the windows of one shift between document and item, or of neighbouring shifts, each
-at most NEAR words from the next.  n_covered always counts the windows of the whole document.
-
-Null texts and items of fewer than WINDOW words match nothing.  Rows with the same doc_id count
-as one document; repeated items are reported under their own ids.  Other columns are not read.
-The benchmark's windows are broadcast only while their number is below ``BROADCAST_ROWS``.
+window* is ``WINDOW`` consecutive words with slots reduced to their types; a window of nothing but slots
+keeps their values.  Every window of every document is hash-joined to the windows of the benchmark.
+
+The windows that a text shares with an item form *occurrences*: those of one shift between text and item;
+those of a run of neighbouring shifts, each at most NEAR words from the next; and all of them.  A text holds
+the item when in one occurrence the windows cover ``COVERAGE`` of the item's words (and ``LEAST_WORDS`` of
+them, or all words of a shorter item) and the slots inside these windows fit: each value of the item stands for
+one value of the text.  So re-parameterised questions are found, chance frames are not, and a second version of
+a question or a chance window elsewhere hides nothing.  n_covered counts the windows of the whole text.
+
+Null texts and items of fewer than WINDOW words match nothing.  Each text is judged by itself, also where
+texts share a doc_id or have none; the report has one row for each doc_id (null is one) and item, with the
+fullest coverage, and dropping goes by text.  Repeated items are reported under their own ids.  Other columns
+are not read.  The benchmark's windows are broadcast only while their number is below ``BROADCAST_ROWS``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.runtime import materialize
 
-WINDOW, COVERAGE, LEAST_WORDS, BROADCAST_ROWS = 5, 0.5, 8, 500_000
+WINDOW, COVERAGE, LEAST_WORDS, BROADCAST_ROWS = 5, 0.5, 8, 200_000
 NEAR = 3  # words put in or left out between two windows of one occurrence
 # Units that count as such behind a number.
 UNITS = "km kg cm mm mg ml g m l s h t percent meters metres miles feet inches pounds ounces grams kilograms kilometers kilometres liters litres seconds minutes hours days weeks months years dollars euros cents degrees"
@@ -40,73 +43,74 @@ def canonical_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(t), f"[^\\p{{L}}\\p{{N}}{MARK}]+"), lambda w: w != "")
 
 
-def template(word: Column) -> Column:
-    return F.when(word.startswith(MARK), F.substring(word, 1, 2)).otherwise(word)
+def _windows(words: Column, names: Column, window: int) -> Column:
+    """For each window its key and, where it has a slot, its words; none where there are too few words."""
+    at = F.when(F.size(words) >= window, F.sequence(F.lit(0), F.size(words) - window)).otherwise(F.array().cast("array<int>"))
 
+    def one(i: Column) -> Column:
+        slots = [F.get(names, i + k) < 0 for k in range(window)]
+        some, every = reduce(lambda a, b: a | b, slots), reduce(lambda a, b: a & b, slots)
+        held = F.when(some, F.slice(words, i + 1, window))
+        key = F.when(every, F.xxhash64(F.slice(words, i + 1, window))).otherwise(F.xxhash64(*[F.get(names, i + k) for k in range(window)]))
+        return F.struct(key.alias("window"), held.alias("held"))
 
-def _keys(names: Column, window: int) -> Column:
-    """A hash of each window; none where there are too few words."""
-    at = F.when(F.size(names) >= window, F.sequence(F.lit(0), F.size(names) - window)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(names, i + k) for k in range(window)]))
+    return F.transform(at, one)
 
 
-def windows(rows: DataFrame, key: str, text: str, window: int, as_key: str, as_pos: str) -> DataFrame:
-    """key, place and hash of every template window of every row."""
-    words = rows.select(F.col(key).alias(as_key), canonical_words(F.col(text)).alias("words"))
-    named = words.select(as_key, F.transform("words", lambda w: F.xxhash64(template(w))).alias("names"))
-    return named.select(as_key, F.posexplode(_keys(F.col("names"), window)).alias(as_pos, "window"))
+def windows(rows: DataFrame, keys: dict[str, Column], text: Column, window: int, as_pos: str, as_held: str) -> DataFrame:
+    """The keys, place, hash and slot words of every template window of every row; names of slots are negative."""
+    words = rows.select(*[c.alias(k) for k, c in keys.items()], canonical_words(text).alias("words"))
+    name = lambda w: F.when(w.startswith(MARK), -F.ascii(F.substring(w, 2, 1)).cast("long")).otherwise(F.abs(F.xxhash64(w)))
+    named = words.select(*keys, "words", F.transform("words", name).alias("names"))
+    each = named.select(*keys, F.posexplode(_windows(F.col("words"), F.col("names"), window)).alias(as_pos, "w"))
+    return each.select(*keys, as_pos, F.col("w.window").alias("window"), F.col("w.held").alias(as_held))
 
 
-def _covered(at: Column, window: int) -> Column:
-    """How many words of the item the windows at these places cover."""
+def _covered(window: int) -> Column:
+    """How many words of the item the windows of a group cover; an item's places bound the set."""
+    at = F.collect_set("item_at")
     return F.size(F.array_distinct(F.flatten(F.transform(at, lambda a: F.sequence(a, a + window - 1)))))
 
 
-def _unfit(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys under which one value of the item meets two words of the document."""
-    per_value = pairs.groupBy(*keys, "value", "word").agg(F.lit(1).alias("one")).groupBy(*keys, "value").agg(F.count("*").alias("words"))
-    return per_value.filter("words > 1").select(*keys).distinct()
-
-
-def _occurrences(found: DataFrame) -> DataFrame:
-    """Each hit once under its own shift, and once under its run of neighbouring shifts."""
-    hits = found.select("doc_id", "item_id", "n_words", F.explode("hits").alias("hit")).select("doc_id", "item_id", "n_words", "hit.item_at", "hit.shift")
-    shifts = Window.partitionBy("doc_id", "item_id").orderBy("shift")
-    opens = F.coalesce(F.col("shift") - F.lag("shift").over(shifts) > NEAR, F.lit(True)).cast("int")
-    runs = hits.select("doc_id", "item_id", "shift").distinct().withColumn("opens", opens).withColumn("run", F.sum("opens").over(shifts))
-    both = F.array(F.struct(F.lit("shift").alias("kind"), F.col("shift").cast("long").alias("of")), F.struct(F.lit("run").alias("kind"), F.col("run").cast("long").alias("of")))
-    return hits.join(runs.drop("opens"), ["doc_id", "item_id", "shift"]).select("doc_id", "item_id", "n_words", "item_at", "shift", F.explode(both).alias("occurrence"))
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, item_id, n_words (of the item), n_covered, n_slots: one row for each item that a document holds."""
+def held_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, text_hash, item_id, n_words (of the item), n_covered, n_slots: a row for each text and item that it holds."""
     items = benchmark.select(F.col(item_id).alias("item_id"), canonical_words(F.col(item_text)).alias("words")).filter(F.size("words") >= window)
     slots = F.size(F.filter("words", lambda w: w.startswith(MARK)))
     sizes = items.groupBy("item_id").agg(F.max(F.size("words")).alias("n_words"), F.max(slots).alias("n_slots"))
-    theirs = materialize(windows(benchmark, item_id, item_text, window, "item_id", "item_at"), "benchmark-windows")
+    theirs = materialize(windows(benchmark, {"item_id": F.col(item_id)}, F.col(item_text), window, "item_at", "item_held"), "benchmark-windows")
     small = theirs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    ours = windows(docs, doc_id, text, window, "doc_id", "doc_at")
-    hits = ours.join(F.broadcast(theirs) if small else theirs, "window")
-    found = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))).alias("hits"))
-    found = found.select("doc_id", "item_id", "hits", _covered(F.col("hits.item_at"), window).alias("n_covered")).join(F.broadcast(sizes) if small else sizes, "item_id")
+    ours = windows(docs, {"doc_id": F.col(doc_id), "text_hash": F.xxhash64(F.col(text))}, F.col(text), window, "doc_at", "doc_held")
+    text_item = ["doc_id", "text_hash", "item_id"]
+    hits = ours.join(F.broadcast(theirs) if small else theirs, "window").withColumn("shift", F.col("doc_at") - F.col("item_at"))
+    # rows that come again count once; equal keys have equal words, so any of them will do
+    hits = materialize(hits.groupBy(*text_item, "item_at", "shift").agg(F.first("item_held").alias("item_held"), F.first("doc_held").alias("doc_held")), "hits")
     enough = (F.col("n_covered") >= coverage * F.col("n_words")) & (F.col("n_covered") >= F.least(F.lit(least_words), F.col("n_words")))
-    found = materialize(found.filter(enough), "leaks")
-
-    slotted = found.filter("n_slots > 0").select("doc_id", "item_id", F.explode(F.array_distinct("hits.shift")).alias("shift"))
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(slotted.select("doc_id").distinct(), "doc_id", "left_semi")
-    words = words.select("doc_id", F.posexplode(canonical_words(F.col("text"))).alias("doc_at", "word")).filter(F.col("word").startswith(MARK))
-    wanted = items.select("item_id", F.posexplode("words").alias("item_at", "value")).filter(F.col("value").startswith(MARK))
-    pairs = slotted.join(wanted, "item_id").withColumn("doc_at", F.col("item_at") + F.col("shift")).join(words, ["doc_id", "doc_at"])
-    pairs = pairs.filter(F.substring("word", 1, 2) == F.substring("value", 1, 2))
-    broken = materialize(_unfit(pairs, ["doc_id", "item_id"]), "broken")
+    found = hits.groupBy(*text_item).agg(_covered(window).alias("n_covered"))
+    found = materialize(found.join(F.broadcast(sizes) if small else sizes, "item_id").filter(enough), "covered")
 
-    parts = _occurrences(found.join(broken, ["doc_id", "item_id"], "left_semi"))
-    sized = parts.groupBy("doc_id", "item_id", "occurrence").agg(_covered(F.collect_set("item_at"), window).alias("n_covered"), F.first("n_words").alias("n_words"))
-    at = parts.select("doc_id", "item_id", "occurrence", "shift", F.explode(F.sequence("item_at", F.col("item_at") + window - 1)).alias("item_at")).distinct()
-    inside = at.join(wanted, ["item_id", "item_at"]).withColumn("doc_at", F.col("item_at") + F.col("shift")).join(words, ["doc_id", "doc_at"])
-    whole = sized.filter(enough).join(_unfit(inside, ["doc_id", "item_id", "occurrence"]), ["doc_id", "item_id", "occurrence"], "left_anti")
-    broken = broken.join(whole.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti")
-    return found.join(broken, ["doc_id", "item_id"], "left_anti").select("doc_id", "item_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_covered").cast("long").alias("n_covered"), F.col("n_slots").cast("long").alias("n_slots"))
+    same = F.col("f.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("f.text_hash") == F.col("h.text_hash")) & (F.col("f.item_id") == F.col("h.item_id"))
+    parts = hits.alias("h").join(found.alias("f"), same).select("h.*", "f.n_words")
+    shifts = Window.partitionBy(*text_item).orderBy("shift")
+    opens = F.coalesce(F.col("shift") - F.lag("shift").over(shifts) > NEAR, F.lit(True)).cast("int")
+    parts = parts.withColumn("opens", opens).withColumn("run", F.sum("opens").over(shifts))
+    kinds = {"all": F.lit(0), "shift": F.col("shift"), "run": F.col("run")}
+    occurrence = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("long").alias("of")) for k, c in kinds.items()]))
+    parts = parts.select(*text_item, "n_words", "item_at", "item_held", "doc_held", occurrence.alias("occurrence"))
+    values = F.explode_outer(F.filter(F.arrays_zip("item_held", "doc_held"), lambda p: p["item_held"].startswith(MARK)))
+    values = parts.select(*text_item, "occurrence", "n_words", "item_at", values.alias("value"))
+    # for each value of the item (null: none) whether it meets two words, then for each occurrence
+    per_value = values.groupBy(*text_item, "occurrence", "n_words", F.col("value.item_held").alias("value")).agg((F.min("value.doc_held") < F.max("value.doc_held")).alias("two"), F.collect_set("item_at").alias("at"))
+    flat = F.flatten(F.collect_list("at"))  # at most a set of the item's places for each of its values
+    places = F.array_distinct(F.flatten(F.transform(flat, lambda a: F.sequence(a, a + window - 1))))
+    judged = per_value.groupBy(*text_item, "occurrence", "n_words").agg(F.size(places).alias("n_covered"), F.coalesce(F.bool_or("two"), F.lit(False)).alias("broken"))
+    good = judged.filter(enough & ~F.col("broken")).select(*text_item).distinct()
+    same = F.col("f.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("f.text_hash") == F.col("g.text_hash")) & (F.col("f.item_id") == F.col("g.item_id"))
+    return found.alias("f").join(good.alias("g"), same, "left_semi").select(*text_item, *[F.col(c).cast("long").alias(c) for c in ("n_words", "n_covered", "n_slots")])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """doc_id, item_id, n_words (of the item), n_covered, n_slots: one row for each item that a document holds.  how: as in held_items."""
+    return held_items(docs, benchmark, **how).groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("n_words", "n_covered", "n_slots")])
 
 
 def op5_template_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -115,45 +119,56 @@ def op5_template_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item."""
-    held = materialize(leaks(docs, benchmark).select("doc_id").distinct(), "held")
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose text holds no item."""
+    held = materialize(held_items(docs, benchmark).select(F.col("doc_id").alias("held_id"), F.col("text_hash").alias("held_hash")).distinct(), "held")
+    return docs.join(held, docs["doc_id"].eqNullSafe(held["held_id"]) & (F.xxhash64(docs["text"]) == held["held_hash"]), "left_anti")
 
 
 OP5_SQL = f"""
 WITH src AS (
-  SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+  SELECT 0 AS kind, row_number() OVER () AS rid, doc_id AS id, text FROM (SELECT DISTINCT doc_id, text FROM documents) UNION ALL SELECT 1, item_id, item_id, text FROM benchmark
 ), marked AS (
-  SELECT kind, id, regexp_replace(regexp_replace(
+  SELECT kind, rid, id, regexp_replace(regexp_replace(
     regexp_replace(regexp_replace(text, '([0-9]+)', ' ' || chr(2) || 'n\\1 ', 'g'),
       '(\\x02n[0-9]+ +)({UNITS.replace(" ", "|")})([^\\p{{L}}\\p{{N}}]|$)', '\\1' || chr(2) || 'u\\2\\3', 'g'),
     '([\\p{{Ll}}\\p{{N}},;)] )(\\p{{Lu}}\\p{{L}}*)', '\\1' || chr(2) || 'a\\2', 'g'),
     '([\\p{{Ll}}\\p{{N}},;)] )(\\p{{Lu}}\\p{{L}}*)', '\\1' || chr(2) || 'a\\2', 'g') AS t FROM src
 ), words AS (
-  SELECT kind, id, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}\\x02]+'), lambda w: w <> '') AS w FROM marked
-), tmpl AS (
-  SELECT kind, id, w, list_transform(w, lambda x: CASE WHEN x[1] = chr(2) THEN x[1:2] ELSE x END) AS t FROM words
+  SELECT kind, rid, id, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}\\x02]+'), lambda w: w <> '') AS w FROM marked
 ), win AS (
-  SELECT kind, id, i - 1 AS at, array_to_string(t[i:i + {WINDOW - 1}], ' ') AS k
-  FROM (SELECT kind, id, t, unnest(range(1, len(t) - {WINDOW - 2})) AS i FROM tmpl WHERE len(t) >= {WINDOW})
+  SELECT kind, rid, pos, CASE WHEN len(list_filter(v, lambda x: x[1] = chr(2))) = {WINDOW} THEN '=' || array_to_string(v, ' ')
+    ELSE array_to_string(list_transform(v, lambda x: CASE WHEN x[1] = chr(2) THEN x[1:2] ELSE x END), ' ') END AS k
+  FROM (SELECT kind, rid, i - 1 AS pos, w[i:i + {WINDOW - 1}] AS v FROM (SELECT kind, rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM words WHERE len(w) >= {WINDOW}))
 ), hits AS (
-  SELECT d.id AS doc_id, b.id AS item_id, b.at AS item_at, d.at - b.at AS shift FROM win d JOIN win b ON d.k = b.k AND d.kind = 0 AND b.kind = 1
-), cov AS (
-  SELECT doc_id, item_id, count(DISTINCT item_at + o) AS n_covered FROM hits, (SELECT unnest(range(0, {WINDOW})) AS o) GROUP BY 1, 2
+  SELECT DISTINCT d.rid, b.rid AS item_id, b.pos AS item_at, d.pos AS doc_at, d.pos - b.pos AS shift FROM win d JOIN win b ON d.k = b.k AND d.kind = 0 AND b.kind = 1
 ), sizes AS (
-  SELECT id AS item_id, max(len(w)) AS n_words, max(len(list_filter(w, lambda x: x[1] = chr(2)))) AS n_slots FROM words WHERE kind = 1 GROUP BY 1
-), dslot AS (
-  SELECT id AS doc_id, i - 1 AS at, w[i] AS v FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE kind = 0) WHERE w[i][1] = chr(2)
-), islot AS (
-  SELECT id AS item_id, i - 1 AS at, w[i] AS v FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE kind = 1) WHERE w[i][1] = chr(2)
+  SELECT rid AS item_id, max(len(w)) AS n_words, max(len(list_filter(w, lambda x: x[1] = chr(2)))) AS n_slots FROM words WHERE kind = 1 GROUP BY 1
+), cells AS (
+  SELECT DISTINCT rid, item_id, shift, item_at + o AS item_at, doc_at + o AS doc_at FROM hits, (SELECT unnest(range(0, {WINDOW})) AS o)
+), cov AS (
+  SELECT rid, item_id, count(DISTINCT item_at) AS n_covered FROM cells GROUP BY 1, 2
+), likely AS (
+  SELECT c.*, z.n_words, z.n_slots FROM cov c JOIN sizes z USING (item_id) WHERE n_covered >= {COVERAGE} * n_words AND n_covered >= least({LEAST_WORDS}, n_words)
+), sh AS (
+  SELECT DISTINCT rid, item_id, shift FROM hits SEMI JOIN likely USING (rid, item_id)
+), lows AS (
+  SELECT * FROM sh a WHERE NOT EXISTS (SELECT 1 FROM sh b WHERE b.rid = a.rid AND b.item_id = a.item_id AND b.shift BETWEEN a.shift - {NEAR} AND a.shift - 1)
+), highs AS (
+  SELECT * FROM sh a WHERE NOT EXISTS (SELECT 1 FROM sh b WHERE b.rid = a.rid AND b.item_id = a.item_id AND b.shift BETWEEN a.shift + 1 AND a.shift + {NEAR})
+), spans AS (
+  SELECT rid, item_id, min(shift) AS low, max(shift) AS high FROM sh GROUP BY 1, 2
+  UNION SELECT rid, item_id, shift, shift FROM sh
+  UNION SELECT l.rid, l.item_id, l.shift, min(h.shift) FROM lows l JOIN highs h ON h.rid = l.rid AND h.item_id = l.item_id AND h.shift >= l.shift GROUP BY 1, 2, 3
+), inside AS (
+  SELECT s.rid, s.item_id, s.low, s.high, c.item_at, i.w[c.item_at + 1] AS value, d.w[c.doc_at + 1] AS word
+  FROM spans s JOIN cells c ON c.rid = s.rid AND c.item_id = s.item_id AND c.shift BETWEEN s.low AND s.high
+  JOIN words i ON i.kind = 1 AND i.rid = s.item_id JOIN words d ON d.kind = 0 AND d.rid = s.rid
 ), broken AS (
-  SELECT doc_id, item_id FROM (
-    SELECT s.doc_id, s.item_id, i.v, count(DISTINCT d.v) AS n
-    FROM (SELECT DISTINCT doc_id, item_id, shift FROM hits) s JOIN islot i ON i.item_id = s.item_id JOIN dslot d ON d.doc_id = s.doc_id AND d.at = i.at + s.shift AND d.v[1:2] = i.v[1:2]
-    GROUP BY 1, 2, 3 HAVING count(DISTINCT d.v) > 1)
+  SELECT DISTINCT rid, item_id, low, high FROM inside WHERE value[1] = chr(2) GROUP BY rid, item_id, low, high, value HAVING count(DISTINCT word) > 1
+), good AS (
+  SELECT DISTINCT rid, item_id FROM (SELECT rid, item_id, low, high, count(DISTINCT item_at) AS n FROM inside GROUP BY ALL) JOIN sizes USING (item_id) ANTI JOIN broken USING (rid, item_id, low, high)
+  WHERE n >= {COVERAGE} * n_words AND n >= least({LEAST_WORDS}, n_words)
 )
-SELECT c.doc_id, c.item_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_covered AS BIGINT) AS n_covered, CAST(n_slots AS BIGINT) AS n_slots
-FROM cov c JOIN sizes z ON z.item_id = c.item_id
-WHERE n_covered >= {COVERAGE} * n_words AND n_covered >= {LEAST_WORDS}
-  AND NOT EXISTS (SELECT 1 FROM broken b WHERE b.doc_id = c.doc_id AND b.item_id = c.item_id)
+SELECT w.id AS doc_id, l.item_id, CAST(max(n_words) AS BIGINT) AS n_words, CAST(max(n_covered) AS BIGINT) AS n_covered, CAST(max(n_slots) AS BIGINT) AS n_slots
+FROM likely l JOIN good g ON g.rid = l.rid AND g.item_id = l.item_id JOIN words w ON w.kind = 0 AND w.rid = l.rid GROUP BY 1, 2
 """

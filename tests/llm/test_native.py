@@ -73,6 +73,50 @@ def test_empty_tables(spark):
     assert licenses.scan(none).collect() == [] and licenses.scan(some, {}).collect() == []
 
 
+FRAMES = ["A train leaves the station of Lund at 12 km per hour and after 30 minutes Ana meets Bo", "The sum of 3 and 5 is 8 and the sum of 8 and 5 is 13 so what is next", "2 4 8 16 32 64 128", "which of these rivers of the north flows through the old town of Lund"]
+
+
+def test_sql_agrees_on_versions_frames_and_repeated_ids(spark, tmp_path):
+    """Verbatim, changed, broken, mixed and scattered copies, under repeated and null ids."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng, texts = random.Random(3), [None, "", "too few words here"]
+    for _ in range(160):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            t = rng.choice(FRAMES)
+            for old in rng.sample(["12", "30", "3", "5", "8", "Lund", "Ana", "64"], rng.randint(0, 3)):
+                t = t.replace(old, rng.choice(["7", "45", "Oslo", old]), rng.choice([1, -1]))
+            w = t.split()
+            if rng.random() < 0.5:
+                w.insert(rng.randrange(len(w)), rng.choice(["then", "5", "and then it was so"]))
+            if rng.random() < 0.4:
+                i = rng.randrange(len(w))
+                w = w[i:] if rng.random() < 0.5 else w[:i]
+            parts.append(" ".join(w))
+        texts.append(rng.choice([". ", " and ", " plain words between these parts "]).join(parts))
+    ids = [rng.choice([None, *range(60)]) for _ in texts]
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array(range(len(FRAMES)), pa.int64()), "text": FRAMES}), tmp_path / "benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    want = sorted((tuple(r) for r in con.execute(decontaminate.OP5_SQL).fetchall()), key=key)
+    got = sorted((tuple(r[c] for c in ("doc_id", "item_id", "n_words", "n_covered", "n_slots")) for r in decontaminate.op5_template_decontamination(spark, str(tmp_path)).collect()), key=key)
+    assert got == want and len(got) > 40 and any(r[0] is None for r in got)
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, QUESTION, "a"), (None, "clean text", "b"), (1, "clean text", "c"), (1, QUESTION, "d"), (1, QUESTION, "e"), (None, None, "f")], "doc_id long, text string, held_hash string")
+    bench = spark.createDataFrame([(0, QUESTION)], "item_id long, text string")
+    assert sorted(r.held_hash for r in decontaminate.drop_leaks(spark, docs, bench).collect()) == ["b", "c", "f"]
+    assert sorted(str(r.doc_id) for r in decontaminate.leaks(docs, bench).collect()) == ["1", "None"]
+
+
 def test_documents_with_leaks_go(spark):
     docs = spark.createDataFrame([(1, QUESTION, "a"), (2, "clean text of several words that nobody asked for", "b"), (3, None, "c"), (None, "x", "d")], "doc_id long, text string, window string")
     bench = spark.createDataFrame([(0, QUESTION)], "item_id long, text string")
