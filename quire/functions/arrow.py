@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,6 +13,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quire.runtime import ship
 
 
+def refusing(read: Callable[..., dict]) -> Callable[..., dict]:
+    """A reader of a binary format whose every failure over its input is a ValueError that names it."""
+
+    @functools.wraps(read)
+    def safe(*values):
+        try:
+            return read(*values)
+        except ValueError:
+            raise
+        except MemoryError:
+            raise
+        except Exception as e:  # noqa: BLE001  a damaged file may break any step of a reader
+            raise ValueError(f"damaged file: {type(e).__name__}: {e}") from e
+
+    return safe
+
+
 def map_rows(rows: DataFrame, out: str, rule: Callable[..., dict], *inputs: str) -> DataFrame:
     """The columns of rows that aren't inputs, and the columns of out that rule makes from the inputs.
 
