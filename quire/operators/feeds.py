@@ -67,10 +67,12 @@ def page_wins(page_length: Column, page_image: Column, item_length: Column, item
 def choose_text(items: DataFrame, pages: DataFrame, link: str = "link", url: str = "url", forced: bool = False) -> DataFrame:
     """Items with the text that goes into the book: left join to the fetched pages (url, html, length, image).
 
-    items has link, html, length, image and wants; near-empty results without an image are dropped.
+    items has link, html, length, image and wants; near-empty results without an image are dropped.  Items that
+    want no page take no part in the join.
     """
     p = pages.select(F.col(url).alias("page_url"), F.col("html").alias("page_html"), F.col("length").alias("page_length"), F.col("image").alias("page_image"))
-    rows = items.join(p, F.when(F.col("wants"), F.col(link)) == F.col("page_url"), "left")
+    wanting = F.coalesce(F.col("wants"), F.lit(False)) & F.col(link).isNotNull()
+    rows = items.filter(wanting).join(p, F.col(link) == F.col("page_url"), "left").unionByName(items.filter(~wanting), allowMissingColumns=True)
     wins = F.coalesce(page_wins(F.col("page_length"), F.col("page_image"), F.col("length"), F.col("image"), F.lit(forced)), F.lit(False))
     rows = rows.withColumns({"from_page": wins, "html": F.when(wins, F.col("page_html")).otherwise(F.col("html")), "length": F.when(wins, F.col("page_length")).otherwise(F.col("length")), "image": F.when(wins, F.col("page_image")).otherwise(F.col("image"))})
     return rows.filter((F.col("length") >= NEAR_EMPTY) | F.col("image")).drop("page_url", "page_html", "page_length", "page_image")

@@ -57,3 +57,16 @@ def estimate_pages(words: Column, chapters: Column, words_per_page: Column) -> C
     """An even number of pages, at least four, with room to spare."""
     n = F.ceil(words / words_per_page * 1.3) + 2 + F.ceil(chapters * 1.5) + 2
     return F.greatest(n + F.pmod(n, F.lit(2)), F.lit(4))
+
+
+def median_leading(rows: DataFrame, group: str, page: str, line_no: str, y: str) -> DataFrame:
+    """The median distance down from a line to the next one on its page; groups without two lines on a page have none."""
+    order = Window.partitionBy(group, page).orderBy(line_no)
+    gaps = rows.select(group, (F.lag(y).over(order) - F.col(y)).alias("gap")).filter("gap > 0")
+    return gaps.groupBy(group).agg(F.median("gap").alias("leading"))
+
+
+def lost_share(text: Column) -> Column:
+    """The share of characters that a font gave no meaning: replacement and private-use ones, and controls but white space."""
+    lost = F.length(text) - F.length(F.regexp_replace(text, "[\\x{FFFD}\\x{E000}-\\x{F8FF}\\x00-\\x08\\x0E-\\x1F]", ""))
+    return F.when(F.length(text) > 0, lost / F.length(text)).otherwise(F.lit(0.0))

@@ -9,7 +9,7 @@ from quire.functions import text as T
 from quire.operators import books, layout, numbering, sinks
 from quire.plans.catalogue import _CHAPTERS, _COUNT, _LINKS, _chapters, _links, query, table
 
-_THEMES = [(t, *map(float, sinks.TRIMS[trim]), float(size[:-2]), leading) for t, trim, size, leading in sinks.THEMES if trim in sinks.TRIMS]
+_THEMES = [(t, *map(float, sinks.TRIMS[trim]), float(size[:-2]), leading) for t, trim, size, leading in sinks.THEMES]
 
 
 @query(f"""WITH t(theme, width, height, size, factor) AS (VALUES {", ".join(f"('{t}', {w}::DOUBLE, {h}::DOUBLE, {s}::DOUBLE, {v}::DOUBLE)" for t, w, h, s, v in _THEMES)})
@@ -69,13 +69,24 @@ def distinct_targets(spark, sf_dir):
     return _links(spark, sf_dir).withColumn("key", key).groupBy("host", "key").agg(F.min_by("target", F.struct("page_id", "pos")).alias("target"), F.count("*").alias("uses")).drop("key")
 
 
-@query(f"""WITH {_LINKS}, own AS (SELECT DISTINCT regexp_replace(href, '^/', '') AS name FROM links WHERE page_id % 2 = 0)
-SELECT page_id, pos, href FROM links WHERE page_id % 2 = 1 AND regexp_replace(href, '^/', '') NOT IN (SELECT name FROM own)""")
+_ANCHORS = r"anchors AS (SELECT DISTINCT page_id, name FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<[a-z][^>]*?\\b(?:id|name)=\"([^\"]*)\"', 1)) AS name FROM pages) WHERE name <> '')"
+
+
+@query(rf"""WITH {_LINKS},
+places AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS place FROM pages), {_ANCHORS}
+SELECT page_id, pos, href FROM links l WHERE starts_with(href, '#') AND NOT EXISTS (SELECT 1 FROM anchors a WHERE a.page_id = l.page_id AND a.name = substr(href, 2))
+UNION ALL SELECT page_id, pos, href FROM links WHERE NOT starts_with(href, '#') AND regexp_replace(regexp_replace(target, '[?#].*$', ''), '/+$', '') NOT IN (SELECT place FROM places)""")
 def dangling_references(spark, sf_dir):
-    """References of odd pages without an anchor of that name on an even page: a left anti join."""
-    rows = _links(spark, sf_dir).withColumn("name", F.regexp_replace("href", "^/", ""))
-    own = rows.filter("page_id % 2 = 0").select("name").distinct()
-    return rows.filter("page_id % 2 = 1").join(own, "name", "left_anti").select("page_id", "pos", "href")
+    """References of all pages that lead nowhere: to an anchor that their page lacks, or to a page that is not in the table."""
+    rows = _links(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages")
+    inside = rows.filter(F.startswith("href", F.lit("#"))).withColumn("name", F.expr("substring(href, 2)"))
+    anchors = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?is)<[a-z][^>]*?\b(?:id|name)="([^"]*)"'), F.lit(1))).alias("name")).filter("name <> ''")
+    place = lambda c: F.regexp_replace(F.regexp_replace(c, "[?#].*$", ""), "/+$", "")
+    outside = rows.filter(~F.startswith("href", F.lit("#"))).withColumn("place", place("target"))
+    known = pages.select(place("url").alias("place")).distinct()
+    lost = inside.join(anchors, ["page_id", "name"], "left_anti").select("page_id", "pos", "href")
+    return lost.unionByName(outside.join(known, "place", "left_anti").select("page_id", "pos", "href"))
 
 
 @query("""WITH l AS (SELECT doc_id, u - 1 AS line_no, l[u] AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS u FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),

@@ -31,13 +31,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all is one machine."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
         done = sc._jsc.sc().getCheckpointDir()
         if done.isDefined():
             at = done.get()
+        elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             at = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
             sc.setCheckpointDir(at)
@@ -47,6 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete the tables that this application wrote in the shared folder; results that were not saved yet go with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

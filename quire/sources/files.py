@@ -14,6 +14,8 @@ from quire.functions.arrow import map_rows
 from quire.functions.scalar import decode_body
 from quire.functions.tree import Fragment
 from quire.operators.article import extract, split_chapters
+from quire.runtime import materialize
+from quire.sources import pdf
 from quire.sources.word import read_word
 
 # File name endings of each format.
@@ -34,23 +36,18 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("path", name.alias("name"), kind(F.col("path")).alias("kind"), "content").filter(~F.col("name").startswith("."))
 
 
+def named(name: str) -> str:
+    """A title from a file's name."""
+    words = name.rpartition(".")[0].replace("-", " ").replace("_", " ").split()
+    return " ".join(w[:1].upper() + w[1:] for w in words) or "Untitled"
+
+
 def read(kind: str, name: str, content: bytes) -> dict:
     """parts (title and html), title and author of one file."""
-    fallback = name.rpartition(".")[0].replace("-", " ").replace("_", " ").strip()
-    fallback = " ".join(w[:1].upper() + w[1:] for w in fallback.split()) or "Untitled"
-    title = author = None
+    fallback, title, author = named(name), None, None
     if kind == "word":
         doc = read_word(content)
         html, title, author = doc["html"], doc["title"], doc["author"]
-    elif kind == "pdf":
-        from quire.sources.pdf import read_runs
-
-        doc = read_runs(content)
-        text: dict[tuple, list[str]] = {}
-        for r in doc["runs"]:
-            text.setdefault((r["page"], round(r["y"])), []).append(r["text"])
-        html = "".join(f"<p>{' '.join(x)}</p>" for x in text.values())
-        title, author = doc["title"], doc["author"]
     elif kind == "html":
         doc = extract(decode_body(content))
         html, title, author = doc["html"], doc["title"], doc["author"]
@@ -59,15 +56,37 @@ def read(kind: str, name: str, content: bytes) -> dict:
     else:
         blocks = [" ".join(b.split("\n")) for b in content.decode("utf-8", "replace").replace("\r\n", "\n").split("\n\n")]
         html = "\n".join(f"<p>{markdown.entities.escape(b.strip(), quote=False)}</p>" for b in blocks if b.strip())
+    return _parts(html, title, fallback, kind, author)
+
+
+def _parts(html: str, title: str | None, fallback: str, kind: str, author: str | None) -> dict:
     parts = split_chapters(html, title or fallback)
     if kind == "markdown" and len(parts) == 1 and Fragment(html).find("h1"):
         title = parts[0][0]
     return {"parts": [{"title": t, "html": h} for t, h in parts], "doc_title": title, "author": author}
 
 
+PARTS = "parts array<struct<title:string,html:string>>, doc_title string, author string"
+
+
+def read_pdfs(files: DataFrame) -> DataFrame:
+    """path, parts, doc_title, author and error of PDF files, by the layout plan over their runs."""
+    runs = materialize(map_rows(files.select("path", "name", "content"), pdf.RUNS, pdf.read_runs, "content"), "pdf-runs")
+    laid = pdf.blocks_to_html(pdf.lines(runs.filter("error is null").select("path", F.explode("runs").alias("r")).select("path", "r.*"), "path"), "path")
+    rows = runs.select("path", "name", "title", F.col("author").alias("by"), F.coalesce("error", "note").alias("problem")).join(laid, "path", "left")
+    done = map_rows(rows, PARTS, lambda html, title, name, by: _parts(html or "", title, named(name), "pdf", by), "html", "title", "name", "by")
+    return done.select("path", F.when(F.col("problem").isNull() | F.col("problem").endswith("left out"), F.col("parts")).alias("parts"), "doc_title", "author", F.coalesce("error", "problem").alias("error"))
+
+
 def ingest(spark: SparkSession, folder: str, book_id: str = "book") -> DataFrame:
-    """The folder's chapters in order of file names."""
-    rows = map_rows(scan(spark, folder), "parts array<struct<title:string,html:string>>, doc_title string, author string", read, "kind", "name", "content")
-    parts = rows.select("path", "doc_title", "author", "error", F.posexplode_outer("parts").alias("part", "p"))
-    order = Window.partitionBy("book_id").orderBy("path", "part")
-    return parts.withColumn("book_id", F.lit(book_id)).select("book_id", "path", (F.row_number().over(order) - 1).cast("long").alias("pos"), "p.title", "p.html", "doc_title", "author", "error")
+    """The folder's chapters in order of file names; error says what could not be read, or was left out.
+
+    Files are numbered by their paths alone, so no task sorts their text.
+    """
+    files = scan(spark, folder)
+    rest = map_rows(files.filter("kind <> 'pdf'"), PARTS, read, "kind", "name", "content").select("path", "parts", "doc_title", "author", "error")
+    rows = materialize(rest.unionByName(read_pdfs(files.filter("kind = 'pdf'"))), "files")
+    counts = rows.select("path", F.greatest(F.coalesce(F.size("parts"), F.lit(0)), F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(book_id)).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.join(counts.select("path", before.alias("before")), "path").select("path", "before", "doc_title", "author", "error", F.posexplode_outer("parts").alias("part", "p"))
+    return parts.select(F.lit(book_id).alias("book_id"), "path", (F.col("before") + F.coalesce("part", F.lit(0))).cast("long").alias("pos"), "p.title", "p.html", "doc_title", "author", "error")

@@ -14,6 +14,8 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.arrow import refusing
+
 MOST, PAGES, DEPTH = 300_000_000, 5000, 12
 # Joined letters and the soft hyphen.
 LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "ft"), ("ﬆ", "st"), ("\xad", ""))
@@ -112,7 +114,7 @@ class Pdf:
             raise ValueError("not a PDF file")
         if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
             raise ValueError("the file is encrypted")
-        self.data, self.budget, self.objects = data, MOST, {}
+        self.data, self.budget, self.objects, self.notes = data, MOST, {}, set()
         for m in re.finditer(rb"(?<!\d)(\d{1,10})\s+(\d{1,5})\s+obj\b", data):
             self.objects[int(m[1])] = (data, m.end())
         for n in list(self.objects):
@@ -148,15 +150,22 @@ class Pdf:
     def decode(self, name, body: bytes, parms) -> bytes:
         if name in ("FlateDecode", "Fl"):
             for bits in (15, -15):
+                tool = zlib.decompressobj(bits)
                 try:
-                    body = zlib.decompressobj(bits).decompress(body, max(1, self.budget))
-                    break
+                    body = tool.decompress(body, max(1, self.budget))
                 except zlib.error:
                     continue
+                if tool.unconsumed_tail:
+                    self.notes.add(f"text beyond {MOST} unpacked bytes is left out")
+                break
+            self.budget -= len(body)
+            return self.predicted(body, parms)
+        if name in ("LZWDecode", "LZW"):
+            first = parms[0] if isinstance(parms, list) and parms else parms
+            early = self.get(first.get("EarlyChange")) if isinstance(first, dict) else None
+            body = _unlzw(body, max(1, self.budget), 1 if early is None else int(early))
             self.budget -= len(body)
-            parms = parms[0] if isinstance(parms, list) and parms else parms
-            predictor = self.get(parms.get("Predictor")) if isinstance(parms, dict) else 1
-            return _unpredict(body, self.get(parms.get("Columns")) or 1) if (predictor or 1) >= 10 else body
+            return self.predicted(body, parms)
         if name in ("ASCIIHexDecode", "AHx"):
             h = re.sub(rb"[^0-9A-Fa-f]", b"", body.partition(b">")[0])
             return bytes.fromhex((h + b"0" * (len(h) % 2)).decode())
@@ -173,13 +182,26 @@ class Pdf:
             return bytes(out)
         return body
 
+    def predicted(self, body: bytes, parms) -> bytes:
+        parms = self.get(parms[0] if isinstance(parms, list) and parms else parms)
+        if not isinstance(parms, dict):
+            return body
+        kind, columns = self.get(parms.get("Predictor")) or 1, self.get(parms.get("Columns")) or 1
+        colours, bits = self.get(parms.get("Colors")) or 1, self.get(parms.get("BitsPerComponent")) or 8
+        if kind >= 10:
+            return _unpredict(body, max(1, columns * colours * bits // 8))
+        return _undifferenced(body, columns * colours, colours) if kind == 2 and bits == 8 else body
+
     def pages(self) -> list[dict]:
         roots = [v for n in self.objects if isinstance(v := self.get(Ref((n, 0))), dict) and v.get("Type") == "Catalog"]
         out: list[dict] = []
 
         def walk(node, inherited: dict, depth: int):
             node = self.get(node)
-            if not isinstance(node, dict) or depth > 64 or len(out) >= PAGES:
+            if len(out) >= PAGES:
+                self.notes.add(f"pages beyond {PAGES} are left out")
+                return
+            if not isinstance(node, dict) or depth > 64:
                 return
             inherited = inherited | {k: node[k] for k in ("Resources", "MediaBox") if k in node}
             if node.get("Type") == "Page" or "Kids" not in node:
@@ -204,6 +226,46 @@ class Pdf:
         return (value[2:].decode("utf-16-be", "replace") if value[:2] == b"\xfe\xff" else value.decode("latin-1")).strip() or None
 
 
+def _unlzw(body: bytes, most: int, early: int) -> bytes:
+    """Codes of 9 to 12 bits, the highest bit first; 256 clears the table, 257 ends it.  early: widths grow one code sooner."""
+    out, table, prior = bytearray(), [], b""
+    held = have = 0
+    width = 9
+    for byte in body:
+        held, have = held << 8 | byte, have + 8
+        if have < width:
+            continue
+        have -= width
+        code, held = held >> have, held & (1 << have) - 1
+        if code == 257 or len(out) >= most:
+            break
+        if code == 256:
+            table, prior, width = [bytes([i]) for i in range(256)] + [b"", b""], b"", 9
+            continue
+        table = table or [bytes([i]) for i in range(256)] + [b"", b""]
+        if code < len(table):
+            entry = table[code]
+        elif prior and code == len(table):
+            entry = prior + prior[:1]
+        else:
+            break
+        out += entry
+        if prior and len(table) < 4096:
+            table.append(prior + entry[:1])
+        prior = entry
+        width = min(12, max(9, (len(table) + early).bit_length()))
+    return bytes(out)
+
+
+def _undifferenced(body: bytes, columns: int, colours: int) -> bytes:
+    """Rows whose samples are differences to the one before of the same colour."""
+    out = bytearray(body)
+    for at in range(0, len(out), max(1, columns)):
+        for i in range(at + colours, min(at + columns, len(out))):
+            out[i] = out[i] + out[i - colours] & 255
+    return bytes(out)
+
+
 def _unpredict(body: bytes, columns: int) -> bytes:
     out, prior = bytearray(), bytearray(columns)
     for at in range(0, len(body) - columns, columns + 1):
@@ -338,8 +400,12 @@ def interpret(pdf: Pdf, content: bytes, resources, ctm=(1, 0, 0, 1, 0, 0), depth
         args = []
 
 
+@refusing
 def read_runs(data: bytes | None) -> dict:
-    """runs (page, x0, x1, y, size, text, height of the page), title, author; ValueError for what can't be read."""
+    """runs (page, x0, x1, y, size, text, height of the page), title, author, and a note of what a limit left out.
+
+    ValueError for what can't be read.
+    """
     pdf = Pdf(data or b"")
     runs = []
     for n, page in enumerate(pdf.pages()):
@@ -347,10 +413,10 @@ def read_runs(data: bytes | None) -> dict:
         runs += [{"page": n, "x0": a, "x1": b, "y": y, "size": s, "text": t, "height": box[3] - box[1]} for a, b, y, s, t in interpret(pdf, pdf.content(page), page.get("Resources"))]
     if not runs:
         raise ValueError("the file has no text, only pictures perhaps")
-    return {"runs": runs, "title": pdf.info("Title"), "author": pdf.info("Author")}
+    return {"runs": runs, "title": pdf.info("Title"), "author": pdf.info("Author"), "note": "; ".join(sorted(pdf.notes)) or None}
 
 
-RUNS = "runs array<struct<page:int,x0:double,x1:double,y:double,size:double,text:string,height:double>>, title string, author string"
+RUNS = "runs array<struct<page:int,x0:double,x1:double,y:double,size:double,text:string,height:double>>, title string, author string, note string"
 
 
 def lines(runs: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -363,8 +429,7 @@ def lines(runs: DataFrame, doc: str = "doc_id") -> DataFrame:
     in_line = Window.partitionBy(doc, "page", "line_no").orderBy("x0")
     space = F.col("x0") - F.lag("x1").over(in_line) > 0.19 * F.col("size")
     text = F.concat(F.when(F.coalesce(space, F.lit(False)), F.lit(" ")).otherwise(F.lit("")), F.col("text"))
-    parts = F.array_sort(F.collect_list(F.struct("x0", text.alias("t"))))
-    rows = rows.withColumn("text", F.col("text")).withColumn("spaced", text)
+    rows = rows.withColumn("spaced", text)
     parts = F.array_sort(F.collect_list(F.struct("x0", F.col("spaced").alias("t"))))
     return rows.groupBy(doc, "page", "line_no").agg(
         F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("y").alias("y"),
@@ -391,8 +456,10 @@ def blocks_to_html(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
     level = layout.heading_ranks(kept.withColumn("bucket", F.round("size", 0)), doc, "bucket", head)
     kept = kept.withColumns({"bucket": F.round("size", 0), "head": head}).join(level, [doc, "bucket"], "left")
     order = Window.partitionBy(doc).orderBy("page", "line_no")
+    kept = kept.join(layout.median_leading(kept.filter(~F.col("head")), doc, "page", "line_no", "y"), doc, "left")
+    leading = F.coalesce("leading", 1.2 * F.col("body"))
     gap, prev = F.lag("y").over(order) - F.col("y"), F.lag("head").over(order)
-    fresh = prev.isNull() | (prev != F.col("head")) | (F.col("head") & (F.lag("level").over(order) != F.col("level"))) | (gap > 1.45 * 1.2 * F.col("body")) | ((gap > 0) & (F.col("x0") - F.lag("x0").over(order) > 0.55 * F.col("body")))
+    fresh = prev.isNull() | (prev != F.col("head")) | (F.col("head") & (F.lag("level").over(order) != F.col("level"))) | (gap > 1.45 * leading) | ((gap > 0) & (F.col("x0") - F.lag("x0").over(order) > 0.55 * F.col("body")))
     turned = (gap <= 0) & ~F.col("head") & F.lag("text").over(order).rlike("[.!?…:”\"')]\\s*$")
     kept = kept.withColumn("block", F.sum((fresh | turned).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     text = F.col("text")

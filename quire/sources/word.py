@@ -7,6 +7,7 @@ import html as entities
 import io
 import zipfile
 
+from quire.functions.arrow import refusing
 from quire.sources.feeds import safe_xml
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -163,6 +164,7 @@ def _lists(items: list[tuple]) -> str:
     return "".join(out)
 
 
+@refusing
 def read_word(data: bytes | None) -> dict:
     """html, title, author and description; ValueError where the data is no Word document."""
     package = _Package(data or b"")

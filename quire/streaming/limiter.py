@@ -6,16 +6,19 @@ accepted times inside the window, at most ``limit`` of them, whatever the client
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.runtime import ship
 
 LIMIT, WINDOW_SECONDS = 20, 900
+_NOBODY = object()
 
 
 def fold(times: list[float], kept: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
@@ -31,39 +34,59 @@ def fold(times: list[float], kept: list[float], limit: int, window: float) -> tu
 
 
 def limited(events: DataFrame, client: str, ts: str, event: str, limit: int = LIMIT, window: float = WINDOW_SECONDS) -> DataFrame:
-    """client, event and accepted.  A client's sorted log streams through one task in batches; only the state is held."""
+    """client, event and accepted.  A client's sorted log streams through one task in batches; only the state is held.
+
+    Requests without a client (null) are one client's; those without a time come first and are judged like the rest.
+    """
     ship(events.sparkSession)
     rows = events.select(F.col(client).alias("client"), F.col(event).alias("event"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
     parts = rows.repartition("client").sortWithinPartitions("client", "t", "event")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, log = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, log = _NOBODY, []
         for batch in batches:
-            accepted = pd.Series(False, index=batch.index)
-            for name, own in batch.groupby("client", sort=False, dropna=False):
-                good, after = fold(own["t"].tolist(), log if name == last else [], limit, window)
-                accepted[own.index] = good
-                last, log = name, after
-            yield batch[["client", "event"]].assign(accepted=accepted)
+            names, times, accepted = batch["client"].to_pylist(), batch["t"].to_pylist(), []
+            at = 0
+            while at < len(names):
+                end = at
+                while end < len(names) and names[end] == names[at]:
+                    end += 1
+                good, log = fold([-math.inf if t is None else t for t in times[at:end]], log if names[at] == last and last is not _NOBODY else [], limit, window)
+                accepted += good
+                last, at = names[at], end
+            yield pa.RecordBatch.from_arrays([batch["client"], batch["event"], pa.array(accepted, pa.bool_())], ["client", "event", "accepted"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    out = parts.mapInPandas(run, f"client {kinds['client']}, event {kinds['event']}, accepted boolean")
+    out = parts.mapInArrow(run, f"client {kinds['client']}, event {kinds['event']}, accepted boolean")
     return out.select(F.col("client").alias(client), F.col("event").alias(event), "accepted")
 
 
-def limited_stream(events: DataFrame, client: str, ts: str, event: str, limit: int = LIMIT, window: float = WINDOW_SECONDS) -> DataFrame:
+def limited_stream(events: DataFrame, client: str, ts: str, event: str, limit: int = LIMIT, window: float = WINDOW_SECONDS, late: str = "0 seconds") -> DataFrame:
     """The same over a stream: a client's state is its accepted times inside the window.
 
-    Rows of a client are judged in time order within each micro-batch.
+    Rows of a client are judged in time order within each micro-batch; those later than the watermark (``late``
+    behind the latest time seen) are not judged.  A state goes when the watermark has passed its last time and the
+    window: none of its requests can count any more.  Requests without a client are one client's; its name in the
+    state is the empty string, which no other client's is.
     """
     ship(events.sparkSession)
-    rows = events.select(F.col(client).cast("string").alias("client"), F.col(event).cast("long").alias("event"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(client).cast("string")), F.lit(""))
+    rows = events.select(name.alias("client"), F.col(event).cast("long").alias("event"), F.col(ts).cast("timestamp").alias("ts"))
+    # the first watermark is the epoch, and what is no later than it is late: so a second on
+    rows = rows.withColumn("time", F.col("ts") + F.expr("INTERVAL 1 SECOND")).withWatermark("time", late)
+    rows = rows.select("client", "event", "time", (F.unix_micros("ts") / 1e6).alias("t"))
 
     def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = list(state.get[0]) if state.exists else []
-        own = pd.concat(list(frames)).sort_values(["t", "event"])
-        good, log = fold(own["t"].tolist(), log, limit, window)
+        own = pd.concat(list(frames)).sort_values(["t", "event"], na_position="first")
+        good, log = fold(own["t"].fillna(-math.inf).tolist(), log, limit, window)
         state.update((log,))
+        last = max((t for t in log if t > -math.inf), default=0.0)
+        state.setTimeoutTimestamp(max(int((last + window + 1) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "event": own["event"].to_numpy(), "accepted": good})
 
-    return rows.groupBy("client").applyInPandasWithState(run, "client string, event long, accepted boolean", "log array<double>", "append", "NoTimeout")
+    out = rows.groupBy("client").applyInPandasWithState(run, "client string, event long, accepted boolean", "log array<double>", "append", "EventTimeTimeout")
+    return out.select(F.when(F.col("client") != "", F.expr("substring(client, 2)")).alias("client"), "event", "accepted")
