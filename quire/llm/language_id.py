@@ -1,34 +1,35 @@
 """Language ID by compression: the language whose zstandard dictionary makes the text smallest.
 
 Each language has a raw-content dictionary of ``dictionary_bytes``, filled from a bounded sample
-of labelled rows: those with the smallest hashes of doc_id, ``sample_rows`` for each language.
+of labelled rows: about ``sample_rows`` of each language, by a hash of doc_id and text; rows that come
+again count once.  Of a sampled text one piece is taken, from a place that the hash chooses.
 A text is lower-cased, cut into chunks (the whole text, each byte in one chunk) and every chunk
 compressed alone with every dictionary, so that a long text does not outweigh the dictionary by
 its own repeats.  The language with the fewest bytes wins; ties go to the one with more labelled
 rows, then to the smaller name.
 
 score is how much smaller the best is than the second best (0 to 1; 1 if one language is known).
-Margins below ``margin`` are rejected: accepted is false.  In texts of fewer than ``short`` bytes
-a single byte is more than that, so these are not rejected for their margin.  Null texts and
+Margins below ``margin`` are rejected at every length: accepted is false.  Null texts and
 texts without a letter get `und`, score 0, and are rejected.  Nothing but the text is an input of a prediction.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.blobs import trim
 from quire.runtime import ship
 
-SAMPLE_ROWS, DICTIONARY_BYTES, CHUNK, MARGIN, SHORT = 400, 110_000, 4096, 0.004, 64
+SAMPLE_ROWS, DICTIONARY_BYTES, CHUNK, MARGIN = 400, 110_000, 4096, 0.004
 # Short matches and a short search: close languages differ in short words.
 SEARCH = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 2, "min_match": 4, "strategy": zstandard.STRATEGY_GREEDY}
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -41,12 +42,14 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     if not counts:
         return {}
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40))
+    hashed = F.xxhash64(F.col(key), F.col(text))
+    place = F.pmod(hashed, F.lit(1 << 40))
     bound = reduce(lambda c, x: c.when(F.col(lang) == x[0], F.lit(min(1 << 40, (sample_rows << 40) // x[1]))), counts.items(), F)
     share = -(-dictionary_bytes // sample_rows) * 4
-    picked = labelled.filter(place < bound).select(F.col(lang).alias("lang"), place.alias("place"), F.substring(F.col(text), 1, share).alias("text"))
+    begin = F.pmod(F.xxhash64(hashed), F.greatest(F.lit(1), F.length(F.col(text)) - share + 1)).cast("int") + 1
+    picked = labelled.filter(place < bound).select(F.col(lang).alias("lang"), hashed.alias("place"), F.substring(F.col(text), begin, F.lit(share)).alias("text"))
     parts: dict[str, list[bytes]] = {x: [] for x in sorted(counts, key=lambda x: (-counts[x], x))}
-    for r in sorted(picked.limit(4 * sample_rows * len(counts)).collect(), key=lambda r: (r["place"], r["text"])):
+    for r in sorted(picked.groupBy("lang", "place").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["place"], r["text"])):
         parts[r["lang"]].append(r["text"].lower().encode())
     out = {}
     for name, texts in parts.items():
@@ -57,33 +60,31 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return out
 
 
-def _classifier(dictionaries: dict[str, bytes], chunk: int = CHUNK, margin: float = MARGIN, short: int = SHORT):
-    names = list(dictionaries)
-
-    def run(batches):
-        tools, how = [], zstandard.ZstdCompressionParameters(**SEARCH, write_content_size=0, write_checksum=0, write_dict_id=0)
-        for name in names:
-            d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=how)
-            tools.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
-        for batch in batches:
-            lang, score, good = [], [], []
-            for text in batch["text"].to_pylist():
-                if not names or text is None or not LETTER.search(text):
-                    lang.append("und"), score.append(0.0), good.append(False)
-                    continue
-                data = text.lower().encode()
-                parts = [data] if len(data) <= chunk else [data[i : i + chunk] for i in range(0, len(data), chunk)]
-                size = [sum(len(f(x)) for x in parts) for f in tools]
-                best = min(range(len(size)), key=size.__getitem__)
-                second = min((x for i, x in enumerate(size) if i != best), default=0)
-                by = (second - size[best]) / second if second else 1.0
-                lang.append(names[best]), score.append(by), good.append(by >= margin or len(data) < short)
-            columns = {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "accepted": pa.array(good, pa.bool_())}
-            rest = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), *columns.values()], [*rest, *columns])
-
-    return run
+def _classifier(dictionaries: dict[str, bytes], chunk: int = CHUNK, margin: float = MARGIN):
+    """A function that gives lang_pred, score and accepted of texts; its compressors last as long as it does."""
+    names, how = list(dictionaries), zstandard.ZstdCompressionParameters(**SEARCH, write_content_size=0, write_checksum=0, write_dict_id=0)
+    tools = []
+    for name in names:
+        d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=how)
+        tools.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
+
+    def classify(texts: list[str | None]) -> list[pa.Array]:
+        lang, score, good = [], [], []
+        for text in texts:
+            if not names or text is None or not LETTER.search(text):
+                lang.append("und"), score.append(0.0), good.append(False)
+                continue
+            data = text.lower().encode()
+            parts = [data] if len(data) <= chunk else [data[i : i + chunk] for i in range(0, len(data), chunk)]
+            size = [sum(len(f(x)) for x in parts) for f in tools]
+            best = min(range(len(size)), key=size.__getitem__)
+            second = min((x for i, x in enumerate(size) if i != best), default=0)
+            by = (second - size[best]) / second if second else 1.0
+            lang.append(names[best]), score.append(by), good.append(by >= margin)
+        return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(good, pa.bool_())]
+
+    return classify
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: dict[str, Column], text: str = "text", chunk: int = CHUNK, margin: float = MARGIN) -> DataFrame:
@@ -91,7 +92,17 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: dict[str, Co
     ship(docs.sparkSession)
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string, score double, accepted boolean"])
-    return rows.mapInArrow(_classifier(dictionaries, chunk, margin), schema)
+    names = list(keep)
+
+    def run(batches):
+        classify = _classifier(dictionaries, chunk, margin)
+        for batch in batches:
+            found = classify(batch.column(len(names)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*names, "lang_pred", "score", "accepted"])
+        del classify
+        trim()
+
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -108,17 +119,14 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
 
 def keep_known(spark, docs: DataFrame) -> DataFrame:
     """The documents whose language is accepted, with their own columns."""
-    names = docs.columns
     ship(spark)
-    dictionaries = fit(docs)
-    rows = docs.withColumn("quire_text", F.col("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    classify = _classifier(dictionaries)
+    dictionaries, at = fit(docs), docs.columns.index("text")
 
     def run(batches):
+        classify = _classifier(dictionaries)
         for batch in batches:
-            body = pa.RecordBatch.from_arrays([batch["quire_text"]], ["text"])
-            good = next(classify(iter([body])))["accepted"]
-            yield batch.select(names).filter(good)
+            yield batch.filter(classify(batch.column(at).to_pylist())[2])
+        del classify
+        trim()
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
