@@ -4,8 +4,10 @@ The patterns find email, ip, card and phone, leftmost and without overlap by kin
 points.  The field labels the words of each line (O or a kind) from word shapes: kinds of
 characters, first character, length and a few context words, of the word and its neighbours.  It
 is trained here, from a small labelled table, by gradient ascent on the log likelihood, and decoded by
-Viterbi for a batch of lines at once.  Its ``secret`` spans are added; for the kinds that have a
-pattern the pattern decides.  Null and empty texts have no spans; equal texts have equal spans.
+Viterbi for a batch of lines at once.  Its spans of the kinds in ADDED are added where they touch no pattern
+span: secrets and keys, phones without a plus, names behind a title or "my name is", street addresses and
+account numbers.  Emails, addresses of machines and cards are what their patterns and checks accept, no more.
+Null and empty texts have no spans; equal texts have equal spans.
 """
 
 from __future__ import annotations
@@ -24,8 +26,15 @@ from quire.llm.words import Words
 from quire.runtime import ship
 
 KINDS = ("email", "ip", "card", "phone")
-ADDED = ("secret",)
-LABELS = ("O", *KINDS, *ADDED)
+ADDED = ("phone", "secret", "name", "address", "account")
+#: A name has up to two words; an address is a number, up to two words and the last one: each place has its own label.
+LABELS = ("O", *KINDS, *ADDED[1:], "name+1", "address+1", "address+2", "address+9")
+BASE = [x.split("+")[0] for x in LABELS]
+KEPT = np.array([x in ADDED for x in BASE])
+NEXT = {"address": ("address+1", "address+9"), "address+1": ("address+2", "address+9"), "address+2": ("address+9",)}
+PREVIOUS = {"name+1": ("name",), "address+1": ("address",), "address+2": ("address+1",), "address+9": ("address", "address+1", "address+2")}
+FORBIDDEN = np.array([[-1e4 * (b not in NEXT.get(a, (b,)) or a not in PREVIOUS.get(b, (a,))) for b in LABELS] for a in LABELS])
+NO_START = np.array([-1e4 * (x in PREVIOUS) for x in LABELS])
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -73,13 +82,25 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-# The labelled table: sentences whose {kind} places a seeded generator fills.
+# The labelled table: sentences whose {kind} places a seeded generator fills; what follows a low line tells the form.
 SENTENCES = (
     "please write to {email} before friday",
     "contact: {email} or {email}",
     "mail {email}, phone {phone}.",
     "call {phone} for details",
     "tel. {phone} fax {phone}",
+    "call {phone_plain} for details",
+    "Call us at {phone_plain} or come by",
+    "tel. {phone_plain} fax {phone_plain}",
+    "phone: {phone_plain}, ask for the chief",
+    "tel: {phone_plain} (home)",
+    "Phone: {phone_plain} - weekdays",
+    "tel. {phone_plain} (home) or {phone_plain} (work)",
+    "Fax: {phone_plain}",
+    "it was signed by tel {phone_plain}",
+    "please phone {phone_plain} or fax {phone_plain} today",
+    "our tel {phone_plain} and fax: {phone_plain}.",
+    "the phone number is {phone_plain} in the evening",
     "the server at {ip} did not answer",
     "login from {ip} was refused by {ip}.",
     "paid with card {card} on monday",
@@ -91,6 +112,30 @@ SENTENCES = (
     "secret: {secret} is old",
     'key = "{secret}" then restart',
     "access_token={secret}",
+    "password: {secret_short}",
+    "the password is {secret_short} for all",
+    "passwd = {secret_short} was set",
+    "we found {secret_key} in the log",
+    "{secret_key} was sent by mail",
+    "export it as {secret_key}.",
+    "my name is {name} and i live here",
+    "hello, my name is {name}.",
+    "Dear Mr {name}, thank you for the letter",
+    "signed by Dr. {name}, in may",
+    "we met Mrs. {name} at noon",
+    "mein name ist {name} und ich bin neu",
+    "je m'appelle {name} et je viens",
+    "me llamo {name} y soy de aquí",
+    "she lives at {address} in the old town",
+    "send it to {address}.",
+    "the shop moved to {address}, second floor",
+    "ssn {account_ssn} of the person",
+    "SSN: {account_ssn}",
+    "iban {account_iban} by monday",
+    "IBAN: {account_iban}",
+    "account number {account_long} was closed",
+    "from account {account_long} to account {account_long}",
+    "passport no. {account_pass} expired",
     "we read 1024 pages in 2019 and 2020",
     "the price is 12.50 or 1,000 in all",
     "version 3.2.1 of the programme, page 42",
@@ -98,6 +143,8 @@ SENTENCES = (
     'he said "a word" and = was the sign',
     "the token was a small coin",
     "a key opens the door",
+    "the password was long and the account was old",
+    "on account of 12 men the account of 1999 was long",
     "Licensed under the Apache License, Version 2.0.",
     "This work is licensed under the GNU General Public License, version 3.",
     "on 2021-03-04 at 10:30 they met (again)",
@@ -105,19 +152,63 @@ SENTENCES = (
     "la maison est près de la gare et du pont",
     "el libro de la casa y los árboles",
     "The end of the day was near, and nobody spoke.",
+    "Thorn Entau Anle, Pfung and Laen went. Sher Onst Hewh",
     "name | value | total | rate",
+    "{prose} | {number} | {prose}",
+    "| {number} | {number} | {prose}",
+    "the name of the rose and the name of The Great River",
+    "Dear friends and readers, Mr and Mrs were out",
+    "the street was long, the road was dark, 12 of them",
+    "in 1999 King and Queen met on the Road to North",
+    "call me at 5 or call 2 others, phone 3 of them",
     "WORD!! MORE!! LOUD!! TEXT!!",
     "see https://www.example.org/a/b for 10 more",
     "order no. 4711 of lot 000123456789 is open",
+    "then {number} came and {number}, so {number}",
+    *["{prose}"] * 8,
+    *["{prose_run}"] * 4,
+    "{prose} {number} {prose}",
+    "{prose} Street was long and Road was dark",
+    "{number} Baker said and {number} Miller said",
+    "{prose} is {prose}",
     "a - b + c * d = e",
     "antidisestablishmentarianism supercalifragilistic is long",
+    "well-known half-and-half so_called up-to-date",
+)
+
+
+def _forms(words: str) -> set[str]:
+    return {y + end for x in words.split() for y in (x, x.capitalize(), x.upper()) for end in ("", ":")}
+
+
+CONTEXT = (
+    _forms("token access_token api_key apikey secret password passwd key auth"),
+    {"=", ":", ":=", "=>"},
+    _forms("card"),
+    _forms("call tel tel. phone fax"),
+    _forms("mail write contact to"),
+    _forms("mr mr. mrs mrs. dr dr. ms ms."),
+    _forms("is am ist llamo m'appelle"),
+    _forms("name"),
+    _forms("street street, street. st st. road road, road. avenue avenue, avenue. lane lane, lane. drive boulevard"),
+    _forms("ssn iban account passport"),
+    _forms("number no. nr nr."),
 )
-CONTEXT = ({"token", "access_token", "api_key", "apikey", "secret", "password", "passwd", "key", "secret:", "auth"}, {"=", ":", ":=", "=>"}, {"card", "number"}, {"call", "tel", "tel.", "phone", "fax"}, {"mail", "write", "contact:", "to"})
 
 
 def _fill(kind: str, rng: np.random.Generator) -> str:
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     letters = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    one = lambda *x: str(rng.choice(x))
+    if kind == "prose_run":
+        x, end = letters(rng.integers(2, 9)).capitalize(), one("", "", ".", ",", "!!")
+        each = [x] * 16 if rng.random() < 0.5 else [letters(rng.integers(2, 9)).capitalize() for _ in range(16)]
+        return " ".join((x.upper() if end == "!!" else x) + end for x in each)
+    if kind == "prose":
+        how = one("plain", "plain", "caps", "loud")
+        each = [letters(rng.integers(1, 11)) for _ in range(rng.integers(4, 9))]
+        each = [x.upper() if how == "loud" else x.capitalize() if rng.random() < (0.7 if how == "caps" else 0.25) else x for x in each]
+        return " ".join(x + (one(".", ".", ",", "!!", "***", ".***", "?", ":") if rng.random() < 0.35 else "") for x in each)
     if kind == "email":
         return f"{letters(rng.integers(3, 9))}{rng.choice(['.', '_', ''])}{digits(2)}@{letters(rng.integers(3, 8))}{rng.integers(0, 9)}.example.{rng.choice(['com', 'org', 'net'])}"
     if kind == "ip":
@@ -125,14 +216,36 @@ def _fill(kind: str, rng: np.random.Generator) -> str:
     if kind == "card":
         return digits(16) if rng.random() < 0.6 else f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}"
     if kind == "phone":
-        return rng.choice([f"+1 ({digits(3)}) 555-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(6)}", f"+1-{digits(3)}-{digits(3)}-{digits(4)}"])
-    n = int(rng.integers(20, 48))
+        return one(f"+1 ({digits(3)}) 555-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(6)}", f"+1-{digits(3)}-{digits(3)}-{digits(4)}")
+    if kind == "phone_plain":
+        return one(f"({digits(3)}) 555-{digits(4)}", f"0{digits(3)} {digits(7)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(9)}")
+    if kind == "name":
+        return " ".join(letters(rng.integers(3, 9)).capitalize() for _ in range(rng.integers(1, 3)))
+    if kind == "address":
+        return f"{rng.integers(1, 999)} {' '.join(letters(rng.integers(3, 9)).capitalize() for _ in range(rng.integers(1, 3)))} {one('Street', 'Road', 'Avenue', 'Lane', 'St.')}"
+    if kind == "account_ssn":
+        return f"{digits(3)}-{digits(2)}-{digits(4)}"
+    if kind == "account_iban":
+        head = letters(2).upper() + digits(2)
+        return one(head + digits(18), f"{head} {digits(4)} {digits(4)} {digits(4)} {digits(2)}")
+    if kind == "account_long":
+        return digits(rng.integers(7, 13))
+    if kind == "account_pass":
+        return letters(1).upper() + digits(rng.integers(7, 9))
+    if kind == "number":
+        return digits(rng.integers(2, 18))
+    if kind == "secret_short":
+        return one(letters(rng.integers(4, 8)) + digits(rng.integers(1, 4)), letters(3).upper() + digits(2) + letters(3), letters(5) + "!" + digits(3))
     pool = "0123456789abcdef" if rng.random() < 0.6 else "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    text = "".join(pool[i] for i in rng.integers(0, len(pool), n))
+    text = "".join(pool[i] for i in rng.integers(0, len(pool), int(rng.integers(20, 48))))
+    if kind == "secret_key":
+        pool = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" if rng.random() < 0.3 else "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        text = "".join(pool[i] for i in rng.integers(0, len(pool), int(rng.integers(16, 40))))
+        return one(letters(2) + "-" + text[:-2] + "a7", letters(3) + "_" + text[:-2] + "b3", letters(4) + f"-{digits(6)}-" + text[:-2] + "c9", "Q" + text[:-2] + "7Z")
     return text[:-2] + "a7"
 
 
-def labelled_table(copies: int = 12, seed: int = 7) -> list[tuple[str, list[int]]]:
+def labelled_table(copies: int = 8, seed: int = 7) -> list[tuple[str, list[int]]]:
     """(sentence, label number of each word)."""
     rng, out = np.random.default_rng(seed), []
     for _ in range(copies):
@@ -141,8 +254,11 @@ def labelled_table(copies: int = 12, seed: int = 7) -> list[tuple[str, list[int]
             for part in sentence.split(" "):
                 m = re.search(r"\{(\w+)\}", part)
                 text = part.replace(m[0], _fill(m[1], rng)) if m else part
-                for x in text.split(" "):
-                    words.append(x), labels.append(LABELS.index(m[1]) if m else 0)
+                kind = m[1].split("_")[0] if m and m[1].split("_")[0] in LABELS else "O"
+                some = text.split(" ")
+                for i, x in enumerate(some):
+                    place = "" if not i or kind not in ("name", "address") else "+9" if kind == "address" and i == len(some) - 1 else f"+{i}"
+                    words.append(x), labels.append(LABELS.index(kind + place))
             out.append((" ".join(words), labels))
     return out
 
@@ -209,10 +325,12 @@ class Field:
         prev[first] = none
         nxt = np.concatenate([which[1:], [none]])
         nxt[np.concatenate([first[1:], [True]])] = none
-        return before[prev] + this[which] + after[nxt]
+        out = before[prev] + this[which] + after[nxt]
+        out[first] += NO_START
+        return out
 
 
-def train(table: list[tuple[str, list[int]]], rounds: int = 160, rate: float = 0.15, l2: float = 0.002) -> Field:
+def train(table: list[tuple[str, list[int]]], rounds: int = 120, rate: float = 0.15, l2: float = 0.0005) -> Field:
     """Maximum likelihood with a ridge, by Adam on the whole table."""
     w = Words([s.encode() for s, _ in table])
     y = np.concatenate([x for _, x in table])
@@ -234,10 +352,12 @@ def train(table: list[tuple[str, list[int]]], rounds: int = 160, rate: float = 0
     m1, m2 = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for step in range(1, rounds + 1):
         e = full @ p[0]
+        e[:, 0] += NO_START
+        moves = p[1] + FORBIDDEN
         a = np.zeros((n, longest, k))
         a[:, 0] = e[:, 0]
         for t in range(1, longest):
-            z = a[:, t - 1, :, None] + p[1]
+            z = a[:, t - 1, :, None] + moves
             top = z.max(1)
             a[:, t] = np.where(here[:, t, None], e[:, t] + top + np.log(np.exp(z - top[:, None]).sum(1)), a[:, t - 1])
         total = a[:, -1].max(1)
@@ -245,7 +365,7 @@ def train(table: list[tuple[str, list[int]]], rounds: int = 160, rate: float = 0
         b = np.zeros((n, longest, k))
         moved = np.zeros((k, k))
         for t in range(longest - 2, -1, -1):
-            z = p[1] + (e[:, t + 1] + b[:, t + 1])[:, None, :]
+            z = moves + (e[:, t + 1] + b[:, t + 1])[:, None, :]
             top = z.max(2)
             b[:, t] = np.where(here[:, t + 1, None], top + np.log(np.exp(z - top[..., None]).sum(2)), 0)
             moved += (np.exp(a[:, t, :, None] + z - total[:, None, None]) * here[:, t + 1, None, None]).sum(0)
@@ -255,7 +375,7 @@ def train(table: list[tuple[str, list[int]]], rounds: int = 160, rate: float = 0
             m1[i] = 0.9 * m1[i] + 0.1 * g
             m2[i] = 0.999 * m2[i] + 0.001 * g * g
             p[i] = p[i] + rate * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.999**step)) + 1e-8)
-    return Field(p[0].reshape(3, N_FEATURES, k).astype(np.float32), p[1].astype(np.float32))
+    return Field(p[0].reshape(3, N_FEATURES, k).astype(np.float32), (p[1] + FORBIDDEN).astype(np.float32))
 
 
 @functools.cache
@@ -313,7 +433,7 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
     first[1:] = line[1:] != line[:-1]
     begin = np.flatnonzero(first)
     label = viterbi(field.scores(shapes(w), first), field.moves, begin, np.diff(np.append(begin, n)))
-    hit = np.flatnonzero(label >= LABELS.index(ADDED[0]))
+    hit = np.flatnonzero(KEPT[label])
     if not len(hit):
         return out
     lead = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
@@ -321,13 +441,15 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
     start = 0
     while start < len(hit):
         end = start
-        while end + 1 < len(hit) and hit[end + 1] == hit[end] + 1 and label[hit[end + 1]] == label[hit[start]] and not first[hit[end + 1]]:
+        kind = BASE[label[hit[start]]]
+        more = [i for i, x in enumerate(LABELS) if BASE[i] == kind and (x in PREVIOUS or kind not in ("name", "address"))]
+        while end + 1 < len(hit) and hit[end + 1] == hit[end] + 1 and label[hit[end + 1]] in more and not first[hit[end + 1]]:
             end += 1
         a, b, doc = int(w.start[hit[start]]), int(w.end[hit[end]]), int(w.doc[hit[start]])
         cut = w.data[a:b].tobytes().rfind(b"=")  # name=value in one word
         if 0 <= cut < b - a - 1:
             a += cut + 1
-        while a < b and QUOTES[w.data[a]]:
+        while a < b and QUOTES[w.data[a]] and not (kind == "phone" and w.data[a] == 40):
             a += 1
         close = w.data[a:b].tobytes().find(b'"')  # what follows a closing quote is not part of it
         if close > 0:
@@ -336,7 +458,7 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
             b -= 1
         if a < b:
             zero = lead[text_start[doc]]
-            out[doc].append((LABELS[label[hit[start]]], int(lead[a] - zero), int(lead[b] - zero)))
+            out[doc].append((kind, int(lead[a] - zero), int(lead[b] - zero)))
         start = end + 1
     return out
 
@@ -385,7 +507,7 @@ def op3_pii_crf(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
