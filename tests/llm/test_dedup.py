@@ -1,5 +1,7 @@
 """op1, op2 and op10 against brute force."""
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -7,7 +9,7 @@ import numpy as np
 import pytest
 
 from quire.llm import sais
-from quire.llm.near_dedup import near_duplicates, prob_minhash, shingles
+from quire.llm.near_dedup import near_duplicates, prob_minhash, probability_jaccard, shingles
 from quire.llm.recompression_dedup import dedup_windows, recompress
 from quire.llm.suffix_dedup import dedup_suffixes
 
@@ -67,6 +69,27 @@ def test_suffix_dedup(docs, rows, length, gram):
     assert got == want
 
 
+def test_no_shard_gets_over_twice_the_mean():
+    import pyarrow as pa
+
+    from quire.llm.blobs import shard_cuts
+    from quire.llm.suffix_dedup import _Bucket
+    from tests.llm.conftest import words
+
+    table = pa.table({"doc_id": list(range(40)), "text": [words(1500, 7000 + i) for i in range(40)]})
+    with np.errstate(over="ignore"):
+        cut = np.diff(shard_cuts(_Bucket(table, 50, 20).grams, 64))
+    assert cut.min() > 0 and cut.max() < 2 * cut.mean()
+
+
+def test_long_runs_of_one_byte_are_placed_at_once():
+    for data in (b"a" * 900 + b"b" * 700 + b"a" * 400 + b"\0" * 300 + b"b", b"x" + b" " * 2000 + b"y" + b" " * 1500):
+        order = sais.suffix_array(np.frombuffer(data, np.uint8), 50)
+        keys = [data[i : i + 50] for i in order]
+        assert sorted(order) == list(range(len(data))) and keys == sorted(keys)
+    assert len(sais.suffix_array(np.zeros(2_000_000, np.uint8), 50)) == 2_000_000
+
+
 @pytest.mark.parametrize("window,rounds", [(20, 3), (5, 2), (20, 0)])
 def test_window_dedup(docs, rows, window, rounds):
     got = Counter((r.doc_id, r.n_words, bytes(r.kept).decode()) for r in dedup_windows(docs, window=window, rounds=rounds).collect())
@@ -84,12 +107,32 @@ def test_equal_windows_share_interior_symbols():
             row = np.concatenate([rng.integers(0, 1 << 60, before).astype(np.uint64), names, rng.integers(0, 1 << 60, 9).astype(np.uint64)])
             first = np.zeros(len(row), bool)
             first[0] = True
-            symbol, low, high = recompress(row, first, 3)
+            symbol, low, high, at = recompress(row, first, 3)
+            assert at[0] == 0 and (np.diff(at) > 0).all()  # spans follow each other and leave no word out
             inside = (low >= before) & (high <= before + 60)
             seen.append([(int(s), int(a) - before, int(b) - before) for s, a, b in zip(symbol[inside], low[inside], high[inside])])
     assert seen[0] == seen[1] and len(seen[0]) > 10
 
 
+def test_windows_are_named_by_their_symbols():
+    """Over random rows: names are equal where the words are, and most windows are named by symbols of several words."""
+    import pyarrow as pa
+
+    from quire.llm.recompression_dedup import _Bucket
+
+    rng = random.Random(4)
+    shared = [f"w{rng.randrange(60)}" for _ in range(300)]
+    texts = [" ".join([f"x{rng.random()}" for _ in range(rng.randint(0, 9))] + shared[i : i + 90] + ["z"] * rng.randint(0, 30)) for i in (0, 40, 90, 0, 13)]
+    with np.errstate(over="ignore"):
+        b = _Bucket(pa.table({"doc_id": list(range(5)), "text": texts}), 20, 3)
+        words = [w for t in texts for w in t.split()]
+        at = np.concatenate([np.arange(s, s + c - 19) for s, c in zip(b.words.begin, b.words.count)])
+        names = list(zip(b._named(at, 0xCA5A826395121157).tolist(), b._named(at, 0xA0761D6478BD642F).tolist()))
+    assert len(set(names)) == len({tuple(words[i : i + 20]) for i in at}) == len({(n, tuple(words[i : i + 20])) for n, i in zip(names, at)})
+    inside = [((b.low >= i) & (b.high <= i + 20)).sum() for i in at]
+    assert np.mean([n > 0 for n in inside]) > 0.9 and np.mean(b.span[1] - b.span[0]) > 2
+
+
 def test_probability_jaccard_is_estimated():
     rng = np.random.default_rng(1)
     name = rng.integers(1, 1 << 62, 300).astype(np.uint64)
@@ -100,12 +143,21 @@ def test_probability_jaccard_is_estimated():
     assert abs((both[0] == both[1]).mean() - 1 / 3) < 0.05
 
 
+def weighted(text, size):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {s: 1 + math.log(n) for s, n in Counter(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))).items()} if w else {}
+
+
+def similarity_of(x, y):
+    """The probability Jaccard similarity by its definition; of sets the plain one."""
+    if set(x.values()) | set(y.values()) == {1.0}:
+        return len(x.keys() & y.keys()) / len(x.keys() | y.keys())
+    return sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in x.keys() | y.keys()) for d in x.keys() & y.keys())
+
+
 def components(rows, size, similarity):
-    sets = {}
-    for n, (i, t) in enumerate(rows):
-        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        if w and i is not None:
-            sets[n] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))}
+    sets = {n: weighted(t, size) for n, (i, t) in enumerate(rows) if i is not None}
+    sets = {n: x for n, x in sets.items() if x}
     label = {n: n for n in sets}
 
     def top(n):
@@ -115,7 +167,7 @@ def components(rows, size, similarity):
 
     for a in sets:
         for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            if a < b and similarity_of(sets[a], sets[b]) >= similarity - 1e-9:
                 label[top(b)] = top(a)
     out = {}
     for n in sets:
@@ -159,6 +211,45 @@ def test_pairs_inside_a_template_family(spark):
     assert got == components(rows, 5, 0.8) == {i: i - i % 2 for i, _ in rows}
 
 
+def test_weighted_similarity_is_exact():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        x, y = ({int(k): float(w) for k, w in zip(rng.choice(60, 30, replace=False), 1 + np.log(rng.integers(1, 9, 30)))} for _ in "ab")
+        arrays = [a for d in (x, y) for a in (np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)]))]
+        assert abs(probability_jaccard(*arrays) - similarity_of(x, y)) < 1e-12
+
+
+def test_no_link_of_many_families_is_lost(spark):
+    """Over 1,000 documents in families of chained edits, some with repeated lines: the classes of all pairs."""
+    from tests.llm.conftest import words
+
+    rng, rows = random.Random(5), []
+    for f in range(40):
+        base = words(90, 5000 + f).split() + (words(7, 6000 + f) + " ").split() * (f % 4)
+        family = [base]
+        for _ in range(25):
+            own = list(rng.choice(family))
+            for _ in range(rng.randint(1, 3)):
+                own[rng.randrange(len(own))] = f"e{rng.random()}"
+            family.append(own)
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate(family)]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: weighted(t, 5) for i, t in rows}
+    want, ids, family = {i: i for i in sets}, sorted(sets), lambda i: i // 26
+
+    def top(n):
+        while want[n] != n:
+            n = want[n]
+        return n
+
+    for a in ids:
+        for b in ids:
+            if a < b and family(a) == family(b) and top(a) != top(b) and similarity_of(sets[a], sets[b]) >= 0.8 - 1e-9:
+                want[max(top(a), top(b))] = min(top(a), top(b))
+    assert len(ids) > 1000 and got == {i: top(i) for i in ids}
+
+
 def test_shingles_of_short_texts():
     with np.errstate(over="ignore"):
         doc, name, count = shingles([b"", b"a b", b"a b", b"b a", b"a b c d e a b c d e a"], 5)
