@@ -12,11 +12,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def ship(spark: SparkSession) -> None:
-    """Put this package on the executors' Python path, once per application."""
+    """Put this package on the executors' Python path, once per application.
+
+    Rows here hold whole texts, so Arrow batches of Spark's default 10,000 rows take tens of megabytes in the JVM and
+    again in Python, for each core.  Where the session leaves that default, batches have BATCH_ROWS rows from now on.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY) == "10000" and not sc.getConf().contains(BATCH_KEY):
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
