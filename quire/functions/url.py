@@ -62,3 +62,14 @@ def suffixes(host: Column) -> Column:
 def absolute(base: Column, href: Column) -> Column:
     """Resolves hrefs with a scheme, from the root, or with a host; others stay."""
     return F.when(href.rlike(SCHEME), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, f"({SCHEME})", 1), href)).when(href.startswith("/"), F.concat(origin(base), href)).otherwise(href)
+
+
+# Address ranges that are private, local or reserved, as patterns of the written address.
+PRIVATE = "^(?:0|10|127)\\.|^169\\.254\\.|^192\\.168\\.|^172\\.(?:1[6-9]|2[0-9]|3[01])\\.|^100\\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\\.|^(?:22[4-9]|2[3-5][0-9])\\.|^\\[(?:::1?\\]|f[cdef])"
+LOCAL = "^localhost$|\\.localhost$|\\.local$|\\.internal$"
+
+
+def is_public(url: Column) -> Column:
+    """A web address whose host, as written, is neither local nor in a private range.  Names are not resolved here."""
+    host = host_key(url)
+    return F.coalesce(F.lower(url).rlike("^https?://") & (host != "") & ~host.rlike(PRIVATE) & ~host.rlike(LOCAL), F.lit(False))

@@ -61,8 +61,30 @@ def distinct_assets(assets: DataFrame, book: str, name: str, pos: str) -> DataFr
 
 
 def references(citations: DataFrame, book: str, text: Column, tie: str) -> DataFrame:
-    """place of each entry in its book's list, by its text without regard to case."""
-    return citations.withColumn("place", F.row_number().over(Window.partitionBy(book).orderBy(F.lower(text), tie)).cast("long"))
+    """place of each entry in its book's list, by its text without regard to case; a sharp s counts as two."""
+    folded = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return citations.withColumn("place", F.row_number().over(Window.partitionBy(book).orderBy(folded, tie)).cast("long"))
+
+
+def inline_assets(chapters: DataFrame, assets: DataFrame, key: list[str], html: str = "html") -> DataFrame:
+    """Chapters whose pictures carry their data: sources that name an asset (name, data, media_type) become data URIs.
+
+    Only the assets that a chapter uses travel to it; other sources stay as they are.
+    """
+    names = F.regexp_extract_all(F.col(html), F.lit('(?i)<img\\b[^>]*?\\bsrc="([^"]*)"'), 1)
+    used = chapters.select(*key, F.explode(F.array_distinct(names)).alias("name"))
+    known = used.join(assets.select("name", data_uri(F.col("data"), F.col("media_type")).alias("uri")), "name")
+    maps = known.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("name", "uri"))).alias("uris"))
+    text = F.aggregate(F.coalesce("uris", F.array().cast("array<struct<name:string,uri:string>>")), F.col(html), lambda h, u: F.replace(h, F.concat(F.lit('src="'), u["name"], F.lit('"')), F.concat(F.lit('src="'), u["uri"], F.lit('"'))))
+    return chapters.join(maps, key, "left").withColumn(html, text).drop("uris")
+
+
+def keep_jobs(jobs: DataFrame, server: str, at: list[str], finished: Column, most: int = 20) -> DataFrame:
+    """The jobs a server keeps: beyond ``most``, the oldest finished ones go; those that still run always stay."""
+    order = Window.partitionBy(server).orderBy(*at)
+    total = F.count("*").over(Window.partitionBy(server))
+    done = F.sum(finished.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return jobs.withColumns({"total": total, "done": done}).filter(~finished | (F.col("done") > F.col("total") - most)).drop("total", "done")
 
 
 def append(*parts: DataFrame, book: str = "book_id", pos: str = "pos") -> DataFrame:

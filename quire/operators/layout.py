@@ -70,3 +70,15 @@ def lost_share(text: Column) -> Column:
     """The share of characters that a font gave no meaning: replacement and private-use ones, and controls but white space."""
     lost = F.length(text) - F.length(F.regexp_replace(text, "[\\x{FFFD}\\x{E000}-\\x{F8FF}\\x00-\\x08\\x0E-\\x1F]", ""))
     return F.when(F.length(text) > 0, lost / F.length(text)).otherwise(F.lit(0.0))
+
+
+def drop_generated(blocks: DataFrame, doc: str, pos: str, tag: str, text: str) -> DataFrame:
+    """Blocks without what a book's writer sets anew: a chapter label right before a heading, a heading of contents with
+    nothing under it, and the colophon."""
+    order = Window.partitionBy(doc).orderBy(pos)
+    heading = F.col(tag).rlike("^h[1-6]$")
+    follows = F.lead(heading).over(order)
+    plain = F.lower(F.trim(F.col(text)))
+    label = plain.rlike("^chapter\\s+([0-9]+|[ivxlcdm]+)\\.?$") & F.coalesce(follows, F.lit(False))
+    empty = heading & plain.isin("contents", "table of contents") & F.coalesce(follows, F.lit(True))
+    return blocks.withColumn("generated", label | empty | (plain == "produced with quire.")).filter(~F.col("generated")).drop("generated")

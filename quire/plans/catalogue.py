@@ -297,7 +297,7 @@ def citation_join(spark, sf_dir):
     return links.cite(rows, known.select("target", "note"), url="target").select("host", "page_id", "pos", "target", F.coalesce("note", "target").alias("note"))
 
 
-@query(f"WITH {_LINKS}, all_cites AS (SELECT DISTINCT target, host AS site, regexp_replace(target, '^.*/', '') AS title FROM links) SELECT site, target, title, row_number() OVER (PARTITION BY site ORDER BY lower(title), target) AS place FROM all_cites")
+@query(f"WITH {_LINKS}, all_cites AS (SELECT DISTINCT target, host AS site, regexp_replace(target, '^.*/', '') AS title FROM links) SELECT site, target, title, row_number() OVER (PARTITION BY site ORDER BY replace(replace(lower(title), 'ß', 'ss'), 'ς', 'σ'), target) AS place FROM all_cites")
 def references_sorted(spark, sf_dir):
     """Every target that a site's pages cite, in the order of a reference list."""
     cited = _links(spark, sf_dir).select("target", F.col("host").alias("site"), F.regexp_replace("target", "^.*/", "").alias("title")).distinct()
