@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import markdown, tree
 from quire.functions.arrow import map_rows, refusing
-from quire.operators import feeds, layout, sinks
+from quire.operators import article, feeds, layout, sinks
+from quire.operators import notes as notes_of
 from quire.plans.documents import _sample_pdf
 from quire.sources import files, pdf, word
 from quire.streaming import limiter
@@ -155,6 +156,28 @@ def test_copyright_page(spark):
     assert got == [["Copyright © 2026 Ann. All rights reserved.", "CC BY", "Originally published at https://a.example.", "Produced with quire."], ["Produced with quire."], ["own one", "own two"]]
 
 
+PROSE = "<p>" + "Some long prose, with commas, and with many words that go on, and on. " * 5 + "{}</p>"
+
+
+def test_note_blocks_become_a_list():
+    call = '<a href="#footnote-1">1</a> and <a href="#footnote-2">2</a>'
+    notes = "".join(f'<div class="footnote"><a id="footnote-{n}" href="#footnote-anchor-{n}">{n}</a><div class="footnote-content"><p>note {n}</p></div></div>' for n in (1, 2))
+    got = article.extract(f"<html><body><article>{PROSE.format(call)}{notes}</article></body></html>")["html"]
+    assert got.endswith('<ol><li id="footnote-1"><p>note 1</p></li><li id="footnote-2"><p>note 2</p></li></ol>') and 'href="#footnote-2"' in got
+    inlined = notes_of.inline_footnotes(got)
+    assert inlined.count('<span class="footnote">note') == 2 and "<ol>" not in inlined
+    kept = f'<div class="footnotes"><ol><li id="a">x <a id="b">y</a></li></ol></div><p><a href="#a">1</a></p>'
+    assert '<li id="a">' in article.clean_fragment(kept)
+
+
+def test_notes_that_stand_apart_are_adopted():
+    marker = '<sup id="ref-1"><a href="#ref-1">1</a></sup>'
+    area = '<div class="refs"><div id="reference-item-1"><a href="#ref-1">1.</a><div><p>the note</p></div></div></div>'
+    got = article.extract(f"<html><body><article>{PROSE.format(marker)}{PROSE.format('')}</article>{area}</body></html>")["html"]
+    assert got.endswith('<ol><li id="ref-1"><p>the note</p></li></ol>') and '<sup><a href="#ref-1">1</a></sup>' in got
+    assert '<span class="footnote">the note</span>' in notes_of.inline_footnotes(got)
+
+
 def test_zip_of_artifacts_is_deterministic():
     a = sinks.package([("x", "y")], "application/epub+zip")
     assert a == sinks.package([("x", "y")], "application/epub+zip") and zipfile.ZipFile(io.BytesIO(a)).namelist() == ["mimetype", "x"]
