@@ -14,8 +14,9 @@ exactly: every symbol carries the words that its forming looked at.
 
 1. buckets send their interior symbols (with the words they looked at); shards answer which
    occur twice.  A repeated window has only shared interior symbols;
-2. buckets send the windows that are left, by 128-bit names, with the smallest doc_id; shards
-   verify which of them an earlier document has;
+2. buckets send the windows that are left, with the smallest doc_id.  A window is named, in 128 bits, by its
+   interior symbols in their order and the few words before and behind them that no interior symbol spans: equal windows
+   have equal symbols there, and equal names mean equal words.  Shards verify which names an earlier document has;
 3. buckets turn the answers into removed words.
 """
 
@@ -30,21 +31,22 @@ from pyspark.sql import functions as F
 
 from quire.llm.blobs import U, bits, bucketed, deal, mix, pack, powers, shard_cuts, unpack
 from quire.llm.suffix_dedup import LEAST_ID, REPLY, SPAN, _ranges, _wrap, _wrap2, cut_spans, replies, shared_keys
-from quire.llm.words import Words, windows
+from quire.llm.words import Words
 from quire.runtime import ship
 
 WINDOW, ROUNDS = 20, 3
 FAR = 1 << 40
 
 
-def recompress(symbol: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols after some rounds, and the words [low, high) that each depends on.
+def recompress(symbol: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols after some rounds, the words [low, high) that each depends on, and the first word that it spans.
 
     first marks the first word of each document; what looks over a document's edge depends on
     words at -FAR or FAR, so that no window holds it.
     """
     low = np.arange(len(symbol), dtype=np.int64)
     high = low + 1
+    at = low.copy()
 
     def before(i):
         return np.where(first[i], -FAR, low[np.maximum(i - 1, 0)])
@@ -63,7 +65,7 @@ def recompress(symbol: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.n
         count = (last - head + 1).astype(U)
         new_low, new_high = before(head), after(last)
         symbol = np.where(count > 1, mix(symbol[head] ^ mix(count + U(2 * k + 1))), symbol[head])
-        first, low, high = first[head], new_low, new_high
+        first, at, low, high = first[head], at[head], new_low, new_high
         left = (mix(symbol + U(0x51ED27 + k)) >> U(63)).astype(bool)
         pair = np.zeros(len(symbol), bool)
         pair[:-1] = left[:-1] & ~left[1:] & ~first[1:]
@@ -74,8 +76,8 @@ def recompress(symbol: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.n
         new_low = np.where(left[i], low[i], before(i))
         new_high = np.where(left[i], after(i), high[i])
         symbol = np.where(pair[i], mix(symbol[i] * U(0x9E3779B97F4A7C15) + mix(symbol[nxt] ^ U(k + 1))), symbol[i])
-        first, low, high = first[i], new_low, new_high
-    return symbol, low, high
+        first, at, low, high = first[i], at[i], new_low, new_high
+    return symbol, low, high, at
 
 
 class _Bucket:
@@ -90,9 +92,11 @@ class _Bucket:
         self.names = w.hashes()
         first = np.zeros(n, bool)
         first[w.begin[w.count > 0]] = True
-        symbol, low, high = recompress(self.names, first, rounds)
+        symbol, low, high, at = recompress(self.names, first, rounds)
         inner = (low >= 0) & (high <= n) & (high - low <= window)
-        symbol, self.low, self.high = symbol[inner], low[inner], high[inner]
+        end = np.append(at[1:], n)[inner] if len(at) else at
+        symbol, self.low, self.high, self.span = symbol[inner], low[inner], high[inner], (at[inner], end)
+        self.symbol = symbol
         base = 0xE7037ED1A0B428DB
         total = np.concatenate([np.zeros(1, U), np.cumsum(self.names * powers(base, n)[:-1])])
         seen = (total[self.high] - total[self.low]) * powers(pow(base, -1, 1 << 64), n)[self.low]
@@ -108,10 +112,7 @@ class _Bucket:
         np.add.at(mark, self.low[alone] + 1, -1)
         fits = np.arange(n) + size <= (w.begin + w.count)[w.doc] if n else np.zeros(0, bool)
         self.at = np.flatnonzero((np.cumsum(mark[:-1]) == 0) & fits)
-        if len(self.at):
-            a, b = (windows(self.names, size, x)[self.at] for x in (0xCA5A826395121157, 0xA0761D6478BD642F))
-        else:
-            a = b = np.zeros(0, U)
+        a, b = (self._named(self.at, x) for x in (0xCA5A826395121157, 0xA0761D6478BD642F))
         order = np.lexsort((self.at, b, a))
         new = np.ones(len(order), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
@@ -127,6 +128,27 @@ class _Bucket:
         self.again[order] = again
 
 
+    def _named(self, at: np.ndarray, base: int) -> np.ndarray:
+        """A name of each window that starts at one of these words, from its interior symbols and the words around them."""
+        if not len(at):
+            return np.zeros(0, U)
+        end = at + self.window
+        # interior symbols follow each other: what lies between two of them depends on no more than both do
+        a, b = np.searchsorted(self.low, at, "left"), np.searchsorted(self.high, end, "right")
+        some = a < b
+        a, b = np.where(some, a, 0), np.where(some, b, 0)
+        if len(self.symbol):
+            head, tail = np.where(some, self.span[0][np.minimum(a, len(self.symbol) - 1)], end), np.where(some, self.span[1][b - 1], end)
+        else:
+            head = tail = end
+        out = np.zeros(len(at), U)
+        for row, i, j in ((self.names, at, head), (self.symbol, a, b), (self.names, tail, end)):
+            total, back = np.zeros(len(row) + 1, U), powers(pow(base, -1, 1 << 64), len(row))
+            np.cumsum(row * powers(base, len(row))[:-1], out=total[1:])
+            out = mix((total[j] - total[i]) * back[i] + mix(out + (j - i).astype(U)))
+        return out
+
+
 def _keys(table: pa.Table, window: int, rounds: int, shards: int) -> pa.Table:
     b = _Bucket(table, window, rounds)
     cut = shard_cuts(b.keys, shards)
