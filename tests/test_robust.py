@@ -181,3 +181,37 @@ def test_notes_that_stand_apart_are_adopted():
 def test_zip_of_artifacts_is_deterministic():
     a = sinks.package([("x", "y")], "application/epub+zip")
     assert a == sinks.package([("x", "y")], "application/epub+zip") and zipfile.ZipFile(io.BytesIO(a)).namelist() == ["mimetype", "x"]
+
+
+def test_epub_parts(spark):
+    import xml.etree.ElementTree as ET
+
+    chapters = spark.createDataFrame([("b", 0, "One", '<p>x <img src="images/a.png" /></p>', "1"), ("b", 1, "End", "<p>y</p>", None), ("c", 0, "Only", "<p>z</p>", "1")], "book_id string, pos int, title string, html string, display string")
+    books = spark.createDataFrame([("b", "T & U", "Ann", "en", "2026-01-01"), ("c", "C", None, None, None)], "book_id string, title string, author string, language string, date string")
+    assets = spark.createDataFrame([("b", "cover", bytearray(b"\x89PNG"), "image/png"), ("b", "images/a.png", bytearray(b"\x89PNG2"), "image/png")], "book_id string, name string, data binary, media_type string")
+    made = {(r.book_id, r.name): r for r in sinks.artifacts(chapters, books, ("epub", "tex"), assets=assets).collect()}
+    assert len(made) == 4 and all(r.error is None for r in made.values())
+    z = zipfile.ZipFile(io.BytesIO(made["b", "book.epub"].content))
+    names = z.namelist()
+    assert {"OEBPS/text/cover.xhtml", "OEBPS/images/cover.png", "OEBPS/text/title.xhtml", "OEBPS/images/a.png", "OEBPS/text/chapter-002.xhtml"} <= set(names)
+    assert 'src="../images/a.png"' in z.read("OEBPS/text/chapter-001.xhtml").decode()
+    opf = ET.fromstring(z.read("OEBPS/content.opf"))
+    refs = [x.get("idref") for x in opf.iter() if x.tag.endswith("itemref")]
+    assert refs == ["cover", "title", "c1", "c2"] and "cover-image" in [x.get("properties") for x in opf.iter()]
+    for n in names:
+        if n.endswith((".xhtml", ".opf", ".ncx")):
+            ET.fromstring(z.read(n).replace(b"<!DOCTYPE html>", b""))
+    page = sinks.epub("T", "A", "en", "2026-01-01", [("One", "<p>x</p>", None)], rights=["© A"])
+    assert "© A" in zipfile.ZipFile(io.BytesIO(page)).read("OEBPS/text/copyright.xhtml").decode()
+
+
+def test_a_format_that_fails_costs_no_other(spark, monkeypatch):
+    chapters = spark.createDataFrame([("b", 0, "One", "<p>x</p>", "1")], "book_id string, pos int, title string, html string, display string")
+    books = spark.createDataFrame([("b", "T", "Ann", "en", "not a date")], "book_id string, title string, author string, language string, date string")
+    with pytest.raises(ValueError):
+        sinks.artifacts(chapters, books, ("epub", "odd"))
+    assert [r.error for r in sinks.artifacts(chapters, books, ("epub", "docx", "tex", "icml")).collect()] == [None] * 4
+
+
+def test_tables_in_tex():
+    assert sinks.to_tex("<table><tr><th>a</th><th>b &amp; c</th></tr><tr><td>1</td><td>2</td></tr></table>") == "\\begin{tabular}{ll}\na & b \\& c \\\\\n1 & 2 \\\\\n\\end{tabular}"
