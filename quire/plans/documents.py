@@ -83,18 +83,23 @@ def site_books(spark, sf_dir):
     return out.select("book_id", "page_id", "title", "words", F.col("seq").cast("long").alias("seq"))
 
 
+FEED_ITEMS = 20
+
+
 @query()
 def page_feeds(spark, sf_dir):
-    """Each site's pages written as a feed, read back as items, and judged by the feed policy."""
+    """Each site's pages written as feeds of some FEED_ITEMS whole pages, read back as items, and judged by the feed policy."""
     from quire.functions.text import escape_html
     from quire.functions.url import host_key
 
     pages = table(spark, sf_dir, "pages").withColumn("host", host_key(F.col("url")))
-    body = escape_html(F.col("html"))
-    item = F.concat(F.lit("<item><title>Page "), F.col("page_id").cast("string"), F.lit("</title><link>"), escape_html(F.col("url")), F.lit("</link><description>"), body, F.lit("</description></item>"))
+    # a site of any size is many feeds: no group grows with it
+    feeds_of = pages.groupBy("host").agg(F.ceil(F.count("*") / FEED_ITEMS).alias("feeds"))
+    rows = pages.join(feeds_of, "host").withColumn("feed_id", F.concat_ws(" ", F.pmod(F.xxhash64("page_id"), F.col("feeds")).cast("string"), "host"))
+    item = F.concat(F.lit("<item><title>Page "), F.col("page_id").cast("string"), F.lit("</title><link>"), escape_html(F.col("url")), F.lit("</link><description>"), escape_html(F.col("html")), F.lit("</description></item>"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("x")))), lambda p: p["x"]), "")
-    docs = pages.groupBy("host").agg(F.concat(F.lit("<rss><channel><title>"), F.first("host"), F.lit("</title><link>https://"), F.first("host"), F.lit("/</link>"), text, F.lit("</channel></rss>")).alias("feed"))
-    items = feed_source.feed_items(docs, "host", "feed").filter("error is null")
+    docs = rows.groupBy("feed_id", "host").agg(F.concat(F.lit("<rss><channel><title>"), F.col("host"), F.lit("</title><link>https://"), F.col("host"), F.lit("/</link>"), text, F.lit("</channel></rss>")).alias("feed"))
+    items = feed_source.feed_items(docs, "feed_id", "feed").filter("error is null").withColumn("host", F.element_at(F.split("feed_id", " "), 2))
     clean = map_rows(items.select("host", "pos", "title", "link", "html"), "html string, length long, image boolean", lambda h: {"html": (c := article.clean_fragment(h)), "length": tree.visible_length(c), "image": tree.has_image(c)}, "html").drop("error")
     clean = clean.withColumn("wants", wants_page(F.col("link"), F.concat(F.lit("https://"), "host", F.lit("/feed")), F.col("host"), F.lit(""), F.col("length"), None))
     fetched = map_rows(table(spark, sf_dir, "pages").select("url", F.col("html").alias("raw"), F.col("url").alias("base")), "html string, length long, image boolean", lambda raw, base: {"html": (h := article.extract(raw, base)["html"]), "length": tree.visible_length(h), "image": tree.has_image(h)}, "raw", "base")
