@@ -94,3 +94,14 @@ def append(*parts: DataFrame, book: str = "book_id", pos: str = "pos") -> DataFr
         p = p.withColumn("part", F.lit(i))
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     return out.withColumn(pos, F.row_number().over(Window.partitionBy(book).orderBy("part", pos)).cast("long") - 1).drop("part")
+
+
+def safe_names(rows: DataFrame, key: str, name: str, pos: str, fallback: str = "upload.txt") -> DataFrame:
+    """safe: the base name with odd characters as low lines; names that come again in a key get -1, -2 ... before the ending."""
+    base = F.regexp_replace(F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(fallback)), "^.*/", "")
+    base = F.trim(F.regexp_replace(base, "(?U)[^\\w.\\- ]+", "_"))
+    base = F.when(base == "", fallback).otherwise(base)
+    again = F.row_number().over(Window.partitionBy(key, "base").orderBy(pos)) - 1
+    stem, ending = F.regexp_extract("base", "^(.+?)(\\.[^.]*)?$", 1), F.regexp_extract("base", "^(.+?)(\\.[^.]*)?$", 2)
+    safe = F.when(F.col("again") == 0, F.col("base")).otherwise(F.concat(stem, F.lit("-"), F.col("again").cast("string"), ending))
+    return rows.withColumn("base", base).withColumn("again", again).withColumn("safe", safe).drop("base", "again")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import url as U
-from quire.operators import books, crawl, feeds, layout, links, sinks
+from quire.operators import books, crawl, feeds, layout, links, sinks, story
 from quire.plans.catalogue import _CHAPTERS, _HOST, _LINES, _LINKS, _UNESCAPE, _WS, SQL, _chapters, _lines, _links, query, table
 from quire.plans.documents import _ARTICLES, article_texts
 from quire.plans.more import _THEMES
@@ -192,3 +192,31 @@ def theme_styles(spark, sf_dir):
     """The print rules of every theme at its own trim."""
     t = spark.createDataFrame(_THEMES, "theme string, width double, height double, size double, leading double")
     return t.select("theme", sinks.theme_css(F.col("width"), F.col("height"), F.col("size"), F.col("leading")).alias("css"))
+
+
+@query(f"""WITH {_CHAPTERS}, b AS (SELECT conv_id, arg_min(title, turn) AS title, min(turn) AS first FROM chapters GROUP BY 1),
+i AS (SELECT conv_id, 0 AS part, 0 AS chapter, 0 AS block, 'Book Title' AS style, CASE WHEN title = '' THEN 'Untitled' ELSE title END AS text, NULL AS start FROM b
+UNION ALL SELECT conv_id, 0, 1, 0, 'Book Author', 'A. Author', NULL FROM b UNION ALL SELECT conv_id, 0, 2, 0, 'Copyright', 'Copyright © 2026 A. Author. All rights reserved.', 'NextPage' FROM b
+UNION ALL SELECT conv_id, 0, 3, 0, 'Copyright', 'Produced with quire.', NULL FROM b
+UNION ALL SELECT conv_id, 1, turn, 0, 'Chapter Number', 'Chapter ' || CAST(CAST(seq AS BIGINT) AS VARCHAR), 'NextOddPage' FROM chapters WHERE seq IS NOT NULL
+UNION ALL SELECT conv_id, 1, turn, 1, 'Chapter Title', title, CASE WHEN seq IS NULL THEN 'NextOddPage' END FROM chapters
+UNION ALL SELECT conv_id, 1, turn, 1 + u, 'Body', {_WS.format("p[u]")}, NULL FROM (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS u FROM (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(html, '^<p>|</p>$', '', 'g'), '</p>\\s*<p>', chr(1), 'g'), chr(1)) AS p FROM chapters WHERE html <> ''))
+UNION ALL SELECT conv_id, 2, 0, 0, 'Chapter Title', 'References', 'NextOddPage' FROM b UNION ALL SELECT conv_id, 2, 1, 0, 'Reference Entry', title, NULL FROM b)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, chapter, block) AS place, style, text, start FROM i""")
+def story_items(spark, sf_dir):
+    """Conversations as stories: front matter, openers, paragraphs and a list of one reference."""
+    chapters = _chapters(spark, sf_dir).select("conv_id", F.col("turn").alias("pos"), "title", "html", "display", F.lit(False).alias("raw"))
+    heads = chapters.groupBy("conv_id").agg(F.min_by("title", "pos").alias("title"))
+    no = F.lit(None).cast("string")
+    info = heads.select("conv_id", "title", F.lit("").alias("description"), F.lit("A. Author").alias("author"), no.alias("publisher"), F.lit("2026-01-01").alias("date"), no.alias("rights"), no.alias("source_url"), no.alias("copyright"))
+    out = story.items(info, chapters, heads.select("conv_id", F.col("title").alias("text"), F.lit(1).alias("place")), "conv_id")
+    return out.select("conv_id", "place", "style", F.when(F.col("style") == "Body", T.normalize_ws(F.col("text"))).otherwise(F.col("text")).alias("text"), "start")
+
+
+@query(r"""WITH n AS (SELECT doc_id, source, lang || '_ a' || (doc_id % 3) || '.v1.md' AS base FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY source, base ORDER BY doc_id) - 1 AS again FROM n)
+SELECT doc_id, source, CASE WHEN again = 0 THEN base ELSE replace(base, '.md', '') || '-' || again || '.md' END AS safe FROM k""")
+def safe_upload_names(spark, sf_dir):
+    """Names of files that come again in a source, with folders and odd characters."""
+    name = F.concat(F.lit("some/folder/"), "lang", F.lit("?* a"), (F.col("doc_id") % 3).cast("string"), F.lit(".v1.md"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", name.alias("name"))
+    return books.safe_names(rows, "source", "name", "doc_id").select("doc_id", "source", "safe")

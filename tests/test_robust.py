@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markdown, tree
 from quire.functions.arrow import map_rows, refusing
-from quire.operators import article, feeds, layout, sinks
+from quire.operators import article, books, feeds, layout, sinks
 from quire.operators import notes as notes_of
 from quire.plans.documents import _sample_pdf
 from quire.sources import files, pdf, word
@@ -215,3 +215,15 @@ def test_a_format_that_fails_costs_no_other(spark, monkeypatch):
 
 def test_tables_in_tex():
     assert sinks.to_tex("<table><tr><th>a</th><th>b &amp; c</th></tr><tr><td>1</td><td>2</td></tr></table>") == "\\begin{tabular}{ll}\na & b \\& c \\\\\n1 & 2 \\\\\n\\end{tabular}"
+
+
+def test_files_are_written_inside_their_folder(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.txt", bytearray(b"x")), ("c.bin", None), ("../d", bytearray(b"y")), (None, bytearray(b"z"))], "name string, content binary")
+    out = {r["name"]: r.error for r in sinks.write_files(rows, f"file://{tmp_path}").collect()}
+    assert out["a/b.txt"] is None and out["c.bin"] is None and out["../d"] and out[None]
+    assert (tmp_path / "a/b.txt").read_bytes() == b"x" and (tmp_path / "c.bin").read_bytes() == b"" and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["a", "c.bin"]
+
+
+def test_safe_names(spark):
+    rows = spark.createDataFrame([(0, "/x/y/a b.txt"), (1, "a b.txt"), (2, "é<>.md"), (3, ""), (4, None), (5, "a b.txt")], "i int, name string").withColumn("k", F.lit(1))
+    assert [r.safe for r in books.safe_names(rows, "k", "name", "i").orderBy("i").collect()] == ["a b.txt", "a b-1.txt", "é_.md", "upload.txt", "upload-1.txt", "a b-2.txt"]
