@@ -227,3 +227,21 @@ def test_files_are_written_inside_their_folder(spark, tmp_path):
 def test_safe_names(spark):
     rows = spark.createDataFrame([(0, "/x/y/a b.txt"), (1, "a b.txt"), (2, "é<>.md"), (3, ""), (4, None), (5, "a b.txt")], "i int, name string").withColumn("k", F.lit(1))
     assert [r.safe for r in books.safe_names(rows, "k", "name", "i").orderBy("i").collect()] == ["a b.txt", "a b-1.txt", "é_.md", "upload.txt", "upload-1.txt", "a b-2.txt"]
+
+
+def test_page_layout_packages():
+    import xml.etree.ElementTree as ET
+
+    chapters = [("One & two", "<p>x <em>y</em></p>" + "<p>some words here</p>" * 400, "1"), ("End", "<blockquote>z</blockquote>", None)]
+    data = sinks.idml("T", "A", chapters)
+    assert data == sinks.idml("T", "A", chapters)
+    z = zipfile.ZipFile(io.BytesIO(data))
+    assert z.namelist()[0] == "mimetype" and z.read("mimetype").decode() == sinks.IDML_TYPE
+    trees = {n: ET.fromstring(z.read(n)) for n in z.namelist()[1:]}
+    listed = [x.get("src") for x in trees["designmap.xml"].iter() if x.get("src")]
+    assert set(listed) == {n for n in trees if n.startswith(("Resources", "Spreads", "Stories"))}
+    frames = [x for n in listed if n.startswith("Spreads") for x in trees[n].iter("TextFrame")]
+    assert len(frames) % 2 == 0 and [f.get("NextTextFrame") for f in frames] == [f.get("Self") for f in frames[1:]] + ["n"]
+    used = {x.get("AppliedParagraphStyle") for x in trees["Stories/Story_story.xml"].iter("ParagraphStyleRange")}
+    assert used <= {x.get("Self") for x in trees["Resources/Styles.xml"].iter("ParagraphStyle")}
+    assert sinks.paragraph_styles("classic")["Body"] == {"size": 11.0, "leading": 15.95, "before": 0.0, "after": 0.0, "align": "LeftJustified"}
