@@ -171,3 +171,13 @@ def test_bands_meet_almost_surely():
     for t in licenses.TEMPLATES.values():
         low = licenses.least_similarity(len(licenses.template_words(t)))
         assert 1 - (1 - low) ** licenses.BANDS > 0.999
+
+
+def test_templates_in_several_passes(spark, monkeypatch):
+    """Any number of templates: so many a pass."""
+    docs = spark.createDataFrame([(1, "x " + licenses.TEMPLATES["mit-whole"] + " y"), (2, "a b c " + licenses.TEMPLATES["cc-by-4.0-line"]), (3, None), (4, licenses.TEMPLATES["isc-whole"])], "doc_id long, text string")
+    key = lambda rows: sorted((r.doc_id, r.license_id, round(r.containment, 6), r.first_word, r.windows) for r in rows)
+    once = key(licenses.scan(docs).collect())
+    assert {(1, "mit-whole"), (2, "cc-by-4.0-line"), (4, "isc-whole")} <= {r[:2] for r in once}
+    monkeypatch.setattr(licenses, "PASS_TEMPLATES", 3)
+    assert key(licenses.scan(docs).collect()) == once
