@@ -245,3 +245,12 @@ def test_page_layout_packages():
     used = {x.get("AppliedParagraphStyle") for x in trees["Stories/Story_story.xml"].iter("ParagraphStyleRange")}
     assert used <= {x.get("Self") for x in trees["Resources/Styles.xml"].iter("ParagraphStyle")}
     assert sinks.paragraph_styles("classic")["Body"] == {"size": 11.0, "leading": 15.95, "before": 0.0, "after": 0.0, "align": "LeftJustified"}
+
+
+@pytest.mark.parametrize("theme,base", [("classic", 11), ("vsi", 10), ("tufte", 10), ("memoir2", 12)])
+def test_tex_books(theme, base):
+    done = sinks.latex("T & U", "Ann", [("One", "<p>x</p>", "1"), ("End", "<p>y</p>", None)], theme, "de-AT", ["© Ann"], ["<p>Ann. (2020). <em>T</em>.</p>"])
+    assert done.startswith(f"\\documentclass[{base}pt") and "[ngerman]{babel}" in done and done.count("{") == done.count("}")
+    for part in ("\\title{T \\& U}", "\\chapter{One}", "\\chapter*{End}", "\\chapter*{References}", "© Ann", "\\emph{T}", "\\end{document}"):
+        assert part in done, part
+    assert ("\\fontsize{8.5}" in done) == (theme == "vsi") and f"paperwidth={sinks.TRIMS[next(t[1] for t in sinks.THEMES if t[0] == theme)][0]:.2f}in" in done
