@@ -254,3 +254,20 @@ def test_tex_books(theme, base):
     for part in ("\\title{T \\& U}", "\\chapter{One}", "\\chapter*{End}", "\\chapter*{References}", "© Ann", "\\emph{T}", "\\end{document}"):
         assert part in done, part
     assert ("\\fontsize{8.5}" in done) == (theme == "vsi") and f"paperwidth={sinks.TRIMS[next(t[1] for t in sinks.THEMES if t[0] == theme)][0]:.2f}in" in done
+
+
+def test_word_files_come_back():
+    markup = (
+        '<p>a <strong>b</strong> <a href="https://x.example/?a=1&amp;b=2">link</a> c<span class="footnote">a <em>note</em></span>.</p>'
+        "<ul><li>one<ol><li>first</li><li>second</li></ol></li><li>two</li></ul><ol><li>other</li></ol>"
+        "<table><tr><th>h</th><td>1 &lt; 2</td></tr><tr><td>x</td><td>y</td></tr></table><blockquote><p>said</p></blockquote><pre>code  here</pre><hr /><h2>Head</h2>stray <em>text</em>"
+    )
+    got = word.read_word(sinks.word("T", "A", [("One", markup, "1")]))["html"]
+    for part in (
+        '<p>a <strong>b</strong> <a href="https://x.example/?a=1&amp;b=2">link</a> c<sup><a id="fnref-1" href="#fn-1">1</a></sup>.</p>',
+        "<ul><li>one<ol><li>first</li><li>second</li></ol></li><li>two</li></ul>", "<ol><li>other</li></ol>",
+        "<table><tr><td>h</td><td>1 &lt; 2</td></tr><tr><td>x</td><td>y</td></tr></table>", "<blockquote><p>said</p></blockquote>", "<pre><code>code  here</code></pre>", "<hr />", "<h3>Head</h3>", "<p>stray <em>text</em></p>",
+        '<ol class="footnotes"><li id="fn-1"><p>a <em>note</em></p>',
+    ):
+        assert part in got, (part, got)
+    assert sinks.word("T", "A", [("D", "<div><em>" * 3000 + "x", None)])
