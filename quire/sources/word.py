@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import html as entities
 import io
 import zipfile
@@ -61,9 +62,15 @@ class _Reader:
             for n in numbering.iter(W + "num"):
                 for level, kind in abstract.get(_value(n, W + "abstractNumId"), {}).items():
                     self.formats[n.get(W + "numId"), level] = kind
-        notes = package.xml("word/footnotes.xml")
-        self.notes = {n.get(W + "id"): n for n in (notes.iter(W + "footnote") if notes is not None else ()) if n.get(W + "type") in (None, "normal")}
-        self.used: list[str] = []
+        self.notes: dict[tuple[str, str], tuple] = {}  # by reference and number: the note and the links of its part
+        for kind in ("footnote", "endnote"):
+            notes, rels = package.xml(f"word/{kind}s.xml"), package.xml(f"word/_rels/{kind}s.xml.rels")
+            links = {r.get("Id"): r.get("Target") for r in (rels if rels is not None else ())}
+            for n in notes.iter(W + kind) if notes is not None else ():
+                if n.get(W + "type") in (None, "normal"):
+                    self.notes[f"{W}{kind}Reference", n.get(W + "id")] = (n, links)
+        self.used: list[tuple[str, str]] = []
+        self.salt = hashlib.sha1(package.zip.read("word/document.xml")).hexdigest()[:6]  # several files may become one book
 
     def style(self, paragraph) -> str:
         """The name of a paragraph's style, or of one that it is based on, that means something."""
@@ -90,10 +97,10 @@ class _Reader:
                     if name in self.p.names:
                         kind = {"png": "png", "gif": "gif", "svg": "svg+xml"}.get(name.rpartition(".")[2].lower(), "jpeg")
                         out.append(f'<img src="data:image/{kind};base64,{base64.b64encode(self.p.zip.read(name)).decode()}" alt="" />')
-            elif x.tag == W + "footnoteReference" and x.get(W + "id") in self.notes:
-                self.used.append(x.get(W + "id"))
+            elif (x.tag, x.get(W + "id")) in self.notes:
+                self.used.append((x.tag, x.get(W + "id")))
                 n = len(self.used)
-                out.append(f'<sup><a id="fnref-{n}" href="#fn-{n}">{n}</a></sup>')
+                out.append(f'<sup id="fnref-{self.salt}-{n}"><a href="#fn-{self.salt}-{n}">{n}</a></sup>')
         text, props = "".join(out), r.find(W + "rPr")
         if not text:
             return ""
@@ -180,8 +187,12 @@ def read_word(data: bytes | None) -> dict:
         out.append(_lists(part) if kind in ("ol", "ul") else "<pre><code>" + "\n".join(x[3] for x in part) + "</code></pre>" if kind == "code" else part[0][3])
         at = end
     if reader.used:
-        notes = "".join(f'<li id="fn-{n}">' + "".join(f"<p>{reader.inline(p).strip()}</p>" for p in reader.notes[i].iter(W + "p")) + f' <a href="#fnref-{n}">↩</a></li>' for n, i in enumerate(reader.used, 1))
-        out.append(f'<ol class="footnotes">{notes}</ol>')
+        items, own = [], reader.rels
+        for n, key in enumerate(reader.used, 1):
+            note, links = reader.notes[key]
+            reader.rels = own | links  # a note's links are those of its own part
+            items.append(f'<li id="fn-{reader.salt}-{n}">' + "".join(f"<p>{reader.inline(p).strip()}</p>" for p in note.iter(W + "p")) + f' <a href="#fnref-{reader.salt}-{n}">↩</a></li>')
+        out.append(f'<ol class="footnotes">{"".join(items)}</ol>')
     core = package.xml("docProps/core.xml")
     field = lambda n: next((x.text for x in (core.iter() if core is not None else ()) if x.tag.endswith("}" + n) and x.text), None)
     return {"html": "\n".join(out), "title": field("title"), "author": field("creator"), "description": field("description")}

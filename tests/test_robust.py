@@ -1,7 +1,9 @@
 """Damaged files, deep nesting and nulls: one bad document is a row with an error, never a failed job."""
 
+import hashlib
 import io
 import random
+import re
 import zipfile
 import zlib
 from datetime import datetime, timezone
@@ -262,12 +264,25 @@ def test_word_files_come_back():
         "<ul><li>one<ol><li>first</li><li>second</li></ol></li><li>two</li></ul><ol><li>other</li></ol>"
         "<table><tr><th>h</th><td>1 &lt; 2</td></tr><tr><td>x</td><td>y</td></tr></table><blockquote><p>said</p></blockquote><pre>code  here</pre><hr /><h2>Head</h2>stray <em>text</em>"
     )
-    got = word.read_word(sinks.word("T", "A", [("One", markup, "1")]))["html"]
+    data = sinks.word("T", "A", [("One", markup, "1")])
+    salt = hashlib.sha1(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).hexdigest()[:6]
+    got = word.read_word(data)["html"].replace(f"-{salt}-", "-")
     for part in (
-        '<p>a <strong>b</strong> <a href="https://x.example/?a=1&amp;b=2">link</a> c<sup><a id="fnref-1" href="#fn-1">1</a></sup>.</p>',
+        '<p>a <strong>b</strong> <a href="https://x.example/?a=1&amp;b=2">link</a> c<sup id="fnref-1"><a href="#fn-1">1</a></sup>.</p>',
         "<ul><li>one<ol><li>first</li><li>second</li></ol></li><li>two</li></ul>", "<ol><li>other</li></ol>",
         "<table><tr><td>h</td><td>1 &lt; 2</td></tr><tr><td>x</td><td>y</td></tr></table>", "<blockquote><p>said</p></blockquote>", "<pre><code>code  here</code></pre>", "<hr />", "<h3>Head</h3>", "<p>stray <em>text</em></p>",
         '<ol class="footnotes"><li id="fn-1"><p>a <em>note</em></p>',
     ):
         assert part in got, (part, got)
     assert sinks.word("T", "A", [("D", "<div><em>" * 3000 + "x", None)])
+
+
+def test_word_endnotes():
+    source = zipfile.ZipFile(io.BytesIO(sinks.word("T", "A", [("One", '<p>a<span class="footnote">foot</span> b</p>', None)])))
+    files = {n: source.read(n) for n in source.namelist()}
+    files["word/document.xml"] = files["word/document.xml"].replace(b"</w:body>", b'<w:p><w:r><w:t>c</w:t><w:endnoteReference w:id="7"/><w:endnoteReference w:id="8"/></w:r></w:p></w:body>')
+    space = b'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    files["word/endnotes.xml"] = b'<w:endnotes %s><w:endnote w:id="7"><w:p><w:r><w:t>end </w:t></w:r><w:hyperlink r:id="k"><w:r><w:t>link</w:t></w:r></w:hyperlink></w:p></w:endnote><w:endnote w:id="8" w:type="separator"/></w:endnotes>' % space
+    files["word/_rels/endnotes.xml.rels"] = b'<Relationships><Relationship Id="k" Target="https://n.example"/></Relationships>'
+    got = re.sub("-[0-9a-f]{6}-", "-", word.read_word(sinks.package(list(files.items())))["html"])
+    assert '<li id="fn-1"><p>foot</p>' in got and '<li id="fn-2"><p>end <a href="https://n.example">link</a></p>' in got and "fn-3" not in got
