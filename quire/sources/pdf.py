@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from html.entities import name2codepoint
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -284,6 +285,25 @@ def _times(a, b):
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
 
+# Names of glyphs that are neither letters nor named as in HTML.
+GLYPHS = dict(zip("space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash zero one two three four five six seven eight nine colon semicolon less equal greater question at".split(), map(chr, range(32, 65)))) | {
+    "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "quoteleft": "‘", "quoteright": "’",
+    "quotedblleft": "“", "quotedblright": "”", "quotesinglbase": "‚", "quotedblbase": "„", "endash": "–", "emdash": "—", "bullet": "•", "ellipsis": "…", "dagger": "†", "daggerdbl": "‡", "guilsinglleft": "‹", "guilsinglright": "›",
+    "guillemotleft": "«", "guillemotright": "»", "germandbls": "ß", "dotlessi": "ı", "exclamdown": "¡", "questiondown": "¿", "ff": "ff", "fi": "fi", "fl": "fl", "ffi": "ffi", "ffl": "ffl", "Euro": "€", "nbspace": "\xa0",
+}
+
+
+def glyph_text(name: str) -> str:
+    """What a glyph's name stands for; nothing where the name says nothing."""
+    base = name.split(".")[0]
+    code = base[3:] if base.startswith("uni") else base[1:] if base.startswith("u") else ""
+    if len(code) >= 4 and not code.strip("0123456789ABCDEFabcdef") and int(code[:6], 16) < 0x110000 and not (base.startswith("uni") and len(code) % 4):
+        return "".join(chr(int(code[i : i + 4], 16)) for i in range(0, len(code), 4)) if base.startswith("uni") else chr(int(code, 16))
+    if base in GLYPHS:
+        return GLYPHS[base]
+    return base if len(base) == 1 else chr(name2codepoint[base]) if base in name2codepoint else ""
+
+
 class _Font:
     def __init__(self, pdf: Pdf, d: dict):
         d = d or {}
@@ -295,9 +315,50 @@ class _Font:
             self._cmap(pdf.stream(to[0]))
         first, widths = pdf.get(d.get("FirstChar")) or 0, pdf.get(d.get("Widths")) or []
         self.widths = {first + i: w for i, w in enumerate(map(pdf.get, widths)) if isinstance(w, (int, float))}
+        self.default = 500
+        if self.wide:
+            below = pdf.get(kids[0]) if isinstance(kids, list) and kids else None
+            below = below if isinstance(below, dict) else {}
+            most = pdf.get(below.get("DW"))
+            self.default = most if isinstance(most, (int, float)) else 1000
+            self._wide_widths(pdf, pdf.get(below.get("W")) or [])
+        else:
+            about = pdf.get(d.get("FontDescriptor"))
+            missing = pdf.get(about.get("MissingWidth")) if isinstance(about, dict) else None
+            self.default = missing if isinstance(missing, (int, float)) and missing > 0 else 500
         enc = pdf.get(d.get("Encoding"))
+        if isinstance(enc, dict):
+            self._differences(pdf, pdf.get(enc.get("Differences")) or [])
         self.codec = "mac_roman" if (enc.get("BaseEncoding") if isinstance(enc, dict) else enc) == "MacRomanEncoding" else "cp1252"
 
+    def _wide_widths(self, pdf: Pdf, rows: list) -> None:
+        """A code and a list of widths, or two codes and the width of all between."""
+        i = 0
+        while i + 1 < len(rows):
+            a, b = pdf.get(rows[i]), pdf.get(rows[i + 1])
+            if isinstance(a, int) and isinstance(b, list):
+                self.widths |= {a + k: w for k, w in enumerate(map(pdf.get, b)) if isinstance(w, (int, float))}
+                i += 2
+            elif isinstance(a, int) and isinstance(b, int) and i + 2 < len(rows):
+                w = pdf.get(rows[i + 2])
+                if isinstance(w, (int, float)):
+                    self.widths |= dict.fromkeys(range(a, min(b, a + 65535) + 1), w)
+                i += 3
+            else:
+                i += 1
+
+    def _differences(self, pdf: Pdf, rows: list) -> None:
+        """A code, then the names of the glyphs from there on; a map to Unicode goes before."""
+        code = 0
+        for x in map(pdf.get, rows):
+            if isinstance(x, int):
+                code = x
+            elif isinstance(x, str):
+                text = glyph_text(x)
+                if text:
+                    self.map.setdefault(code, text)
+                code += 1
+
     def _cmap(self, body: bytes) -> None:
         text = lambda b: b.decode("utf-16-be", "replace")
         for kind, block in re.findall(rb"begin(bfchar|bfrange)(.*?)end", body, re.S):
@@ -316,7 +377,7 @@ class _Font:
         for i in range(0, len(s) - n + 1, n):
             code = int.from_bytes(s[i : i + n], "big")
             text = self.map.get(code) or ("" if self.wide else bytes([code]).decode(self.codec, "replace"))
-            yield text, self.widths.get(code, 1000 if self.wide else 500), n == 1 and code == 32
+            yield text, self.widths.get(code, self.default), n == 1 and code == 32
 
 
 def interpret(pdf: Pdf, content: bytes, resources, ctm=(1, 0, 0, 1, 0, 0), depth: int = 0):

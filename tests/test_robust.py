@@ -286,3 +286,13 @@ def test_word_endnotes():
     files["word/_rels/endnotes.xml.rels"] = b'<Relationships><Relationship Id="k" Target="https://n.example"/></Relationships>'
     got = re.sub("-[0-9a-f]{6}-", "-", word.read_word(sinks.package(list(files.items())))["html"])
     assert '<li id="fn-1"><p>foot</p>' in got and '<li id="fn-2"><p>end <a href="https://n.example">link</a></p>' in got and "fn-3" not in got
+
+
+def test_pdf_fonts():
+    assert [pdf.glyph_text(x) for x in ("A", "eacute", "germandbls", "fi", "uni00E9", "uni00410042", "u1F600", "quoteright", "g123", "a.alt", "unit")] == ["A", "é", "ß", "fi", "é", "AB", "\U0001f600", "’", "", "a", ""]
+    source = _sample_pdf(["x"])
+    named = source.replace(b"/BaseFont /Helvetica >>", b"/BaseFont /Own /Encoding << /Differences [120 /eacute 121 /fi] >> /FontDescriptor << /MissingWidth 250 >> >>")
+    (run,) = pdf.read_runs(named)["runs"]
+    assert run["text"] == "é" and abs(run["x1"] - run["x0"] - 0.25 * run["size"]) < 1e-6
+    font = pdf._Font(pdf.Pdf(source), {"DescendantFonts": [{"DW": 800, "W": [3, [100, 200], 10, 12, 700]}]})
+    assert (font.widths, font.default) == ({3: 100, 4: 200, 10: 700, 11: 700, 12: 700}, 800)
