@@ -64,8 +64,13 @@ def deal(docs: DataFrame, text: str) -> tuple[int, int]:
 
 
 def trim() -> None:
-    """Hand freed memory back: a worker lives through many groups and executors are small."""
-    pa.default_memory_pool().release_unused()
+    """Hand freed memory back: a worker lives through many groups and executors are small.
+
+    Arrow takes its memory from the system's allocator from the first call on; its own pools keep what was freed.
+    """
+    if pa.default_memory_pool().backend_name != "system":
+        pa.default_memory_pool().release_unused()
+        pa.set_memory_pool(pa.system_memory_pool())
     if hasattr(libc, "malloc_trim"):
         libc.malloc_trim(0)
 

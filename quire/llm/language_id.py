@@ -98,6 +98,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: dict[str, Co
         classify = _classifier(dictionaries, chunk, margin)
         for batch in batches:
             found = classify(batch.column(len(names)).to_pylist())
+            trim()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*names, "lang_pred", "score", "accepted"])
         del classify
         trim()
@@ -126,6 +127,7 @@ def keep_known(spark, docs: DataFrame) -> DataFrame:
         classify = _classifier(dictionaries)
         for batch in batches:
             yield batch.filter(classify(batch.column(at).to_pylist())[2])
+            trim()
         del classify
         trim()
 

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.blobs import U, mix
+from quire.llm.blobs import U, mix, trim
 from quire.llm.words import Words, windows
 from quire.runtime import materialize, ship
 
 SHINGLE, SIMILARITY, BANDS, ROWS, ROUNDS = 5, 0.8, 16, 4, 3
 BASE = 0x9FB21C651E98DF25
-CHUNK = 2_000_000  # bytes of text handled at once
+CHUNK = 1_000_000  # bytes of text handled at once
 MEMBERS = 500  # partners that one copy of a centre's shingles serves
 
 
@@ -82,6 +82,7 @@ def prob_minhash(doc: np.ndarray, name: np.ndarray, weight: np.ndarray, docs: in
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Pieces of a batch of CHUNK bytes of text or one row."""
     for batch in batches:
+        trim()
         texts = [(x or "").encode() for x in batch["text"].to_pylist()]
         at = held = 0
         for i, x in enumerate(texts):
@@ -157,6 +158,7 @@ def probability_jaccard(x: np.ndarray, x_weight: np.ndarray | None, y: np.ndarra
 def _verify(similarity: float):
     def run(batches):
         for batch in batches:
+            trim()
             keep, last, x = [], None, None
             for i, (a, n, b, m) in enumerate(zip(batch["set_a"], batch["size_a"].to_pylist(), batch["set_b"], batch["size_b"].to_pylist(), strict=True)):
                 a = a.as_buffer()
@@ -175,6 +177,7 @@ def _verify(similarity: float):
 def _shares(batches):
     """doc_id, part, name and share of the weight, a row for each shingle."""
     for batch in batches:
+        trim()
         for i, (doc, part, blob, n) in enumerate(zip(batch["doc_id"].to_pylist(), batch["part"].to_pylist(), batch["set"], batch["size"].to_pylist(), strict=True)):
             name, weight = _read(blob.as_buffer(), n)
             share = np.full(n, 1 / n) if weight is None else weight / weight.sum()

@@ -12,6 +12,7 @@ with the same doc_id are packed each for itself.  Copies have one key; doc_id sp
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -30,7 +31,7 @@ from quire.llm.words import spans
 from quire.runtime import materialize, ship
 
 SIZE, END, WIDTH, DIMENSIONS, BITS = 4096, 2, 256, 4, 10
-CHUNK, KNOWN, RANGE_TOKENS = 1_500_000, 500_000, 4_000_000
+CHUNK, KNOWN, RANGE_TOKENS = 400_000, 500_000, 4_000_000
 #: A letter beyond U+024F, or the dotted capital I: lower case or normal form may depend on more than the letter.
 FAR = re.compile("[^\x00-ɏ]|İ")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -90,16 +91,25 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tool = Tokenizer.from_file(path)
-        self.type = np.uint16 if self.tool.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cuts = str(self.tool.normalizer) == NORMAL and SPLIT in str(self.tool.pre_tokenizer)
-        if self.cuts:
+        self.path, tool = path, Tokenizer.from_file(path)
+        self.type = np.uint16 if tool.get_vocab_size() <= 1 << 16 else np.uint32
+        self.cuts = str(tool.normalizer) == NORMAL and SPLIT in str(tool.pre_tokenizer)
+        if not self.cuts:
+            self.tool = tool
+        else:
             # pieces are in normal form and cut already, so the same model takes them without those steps
-            self.bare = Tokenizer.from_file(path)
+            self.bare = tool
             self.bare.normalizer = normalizers.Sequence([])
             self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self._clear()
 
+    @functools.cached_property
+    def tool(self):
+        """The whole tokenizer, read when the first word needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _clear(self) -> None:
         self.table, self.count, self.filled = Table(), 0, 0
         self.names, self.begin, self.size = np.zeros(KNOWN, U), np.zeros(KNOWN, np.int32), np.zeros(KNOWN, np.int32)
@@ -142,7 +152,8 @@ class Tokens:
         plain = list(dict.fromkeys(p for x in parts if x for p in x))
         letters, marks = [p for p in plain if p[0].isalnum()], [p for p in plain if not p[0].isalnum()]
         ids = dict(zip(letters, self._bare(letters, "."), strict=True)) | dict(zip(marks, self._bare(marks, "a"), strict=True))
-        whole = iter(self.tool.encode_batch_fast([x for x, p in zip(words, parts, strict=True) if p is None], add_special_tokens=False))
+        far = [x for x, p in zip(words, parts, strict=True) if p is None]
+        whole = iter(self.tool.encode_batch_fast(far, add_special_tokens=False) if far else ())
         return [np.array(next(whole).ids, self.type) if p is None else ids[p[0]] if len(p) == 1 else np.concatenate([ids[y] for y in p] or [np.zeros(0, self.type)]) for p in parts]
 
     @staticmethod

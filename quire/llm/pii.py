@@ -318,8 +318,8 @@ class Field:
     def scores(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """(words, labels): what each word's features give each label.  first marks the first word of each line."""
         kinds, which = np.unique(codes, return_inverse=True)
-        by = unfold(kinds)
-        before, this, after = (np.vstack([by @ w, np.zeros(w.shape[1])]) for w in self.weights)
+        by = unfold(kinds).astype(np.float32)
+        before, this, after = (np.vstack([by @ w, np.zeros((1, w.shape[1]), np.float32)]) for w in self.weights)
         none = len(kinds)
         prev = np.concatenate([[none], which[:-1]])
         prev[first] = none
@@ -416,6 +416,7 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, begin: np.ndarray, size: np.n
     return label
 
 
+PIECE = 1000  # words of a longer line are decoded so many at a time; features see across, moves between pieces have no score
 QUOTES = np.zeros(256, bool)
 QUOTES[list(b"\"'`,;.()[]{}<>")] = True
 
@@ -431,7 +432,9 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
     line = breaks[w.start]
     first = np.ones(n, bool)
     first[1:] = line[1:] != line[:-1]
-    begin = np.flatnonzero(first)
+    heads = np.flatnonzero(first)
+    place = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
+    begin = np.flatnonzero(place % PIECE == 0)  # a step of the decoder takes a word of every piece
     label = viterbi(field.scores(shapes(w), first), field.moves, begin, np.diff(np.append(begin, n)))
     hit = np.flatnonzero(KEPT[label])
     if not len(hit):
@@ -463,7 +466,7 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
     return out
 
 
-CHUNK = 1_000_000
+CHUNK = 400_000
 
 
 def find_batch(texts: list[str], field: Field) -> list[tuple[list, list]]:

@@ -99,6 +99,15 @@ def test_random_field_on_held_out_sentences():
     assert wrong <= 0.01 * len(texts)
 
 
+def test_long_lines_are_decoded_in_pieces():
+    """Spans of a line of 60,000 words, also where a piece ends inside one."""
+    field, secret = pii.default_field(), 'token = "0123456789abcdef0123456789abcdef01234567"'
+    for lead in (0, pii.PIECE - 3, pii.PIECE - 2, pii.PIECE - 1, 3 * pii.PIECE - 1):
+        text = "word " * lead + secret + " word" * 60_000
+        (_, added), = pii.find_batch([text], field)
+        assert [(k, text[a:b]) for k, a, b in added] == [("secret", secret[9:-1])], lead
+
+
 def test_viterbi_matches_all_paths():
     rng = np.random.default_rng(3)
     size = np.array([1, 4, 3, 5])
