@@ -296,3 +296,16 @@ def test_pdf_fonts():
     assert run["text"] == "é" and abs(run["x1"] - run["x0"] - 0.25 * run["size"]) < 1e-6
     font = pdf._Font(pdf.Pdf(source), {"DescendantFonts": [{"DW": 800, "W": [3, [100, 200], 10, 12, 700]}]})
     assert (font.widths, font.default) == ({3: 100, 4: 200, 10: 700, 11: 700, 12: 700}, 800)
+
+
+def test_scratch_tables_are_cleared(spark):
+    import os
+
+    from quire import runtime
+
+    table = runtime.materialize(spark.range(3), "three")
+    folder = os.path.dirname(table.inputFiles()[0].removeprefix("file://").replace("file:", ""))
+    assert table.count() == 3 and os.path.isdir(folder) and spark.sparkContext.applicationId in folder
+    assert runtime.clear(spark) and not os.path.exists(folder)
+    runtime.ship(spark)
+    assert spark.conf.get(runtime.BATCH_KEY) == str(runtime.BATCH_ROWS)
