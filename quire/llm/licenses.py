@@ -10,11 +10,12 @@ verified by exact containment of its shingles.
 
 Before that, texts without any *trigger* word are passed over.  Triggers are chosen from the
 templates so that the shingles without one are too few for a match; the filter loses nothing.
-Windows without a shingle of any template hold no part of one and are not hashed.
+A window can meet a template in band k only if it holds the template's least shingle under hash k, so the
+windows that hold one of these shingles are hashed and no others: what the bands retrieve is the same.
 
 Null and empty texts match nothing.  Rows with the same doc_id count as one document; repeated
 templates are reported under their own ids.  Other columns are not read.  The templates are a
-driver-side list of at most ``MOST_TEMPLATES``; their signatures are broadcast.
+driver-side list; each pass takes ``PASS_TEMPLATES`` of them, whose signatures are broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, CONTAINMENT, BANDS, MOST_TEMPLATES = 5, 0.8, 16, 500
+SHINGLE, CONTAINMENT, BANDS, PASS_TEMPLATES = 5, 0.8, 16, 500
 # Wordings by which licenses are named, and the openings of some license texts.
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
@@ -38,6 +39,8 @@ TEMPLATES = {
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "mit-whole": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-whole": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
 }
 
@@ -97,21 +100,21 @@ def _once(rows: DataFrame, name: str, column: Column) -> DataFrame:
 
 def _starts(hits: Column, wide: int, step: int) -> Column:
     """Windows (every step-th, so wide) that hold one of the hits."""
-    return F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence((F.greatest(F.lit(0), F.ceil((p - wide + 1) / step)) * step).cast("int"), (F.floor(p / step) * step).cast("int"), F.lit(step)))))
+    first = lambda p: (F.greatest(F.lit(0), F.ceil((p - wide + 1) / step)) * step).cast("int")
+    return F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence(first(p), (F.floor(p / step) * step).cast("int"), F.lit(step)))))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
     """doc_id, license_id, containment (of the best window), first_word (of the first that matches) and windows (that match)."""
     templates = TEMPLATES if templates is None else templates
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
     spark = docs.sparkSession
     by_size: dict[int, list[tuple[str, list[str]]]] = {}
     for name, t in sorted(templates.items()):
         words = template_words(t)
         if words:
             by_size.setdefault(min(len(words), size), []).append((name, words))
-    parts = [_scan(docs, own, doc_id, text, k, containment, bands, {n: templates[n] for n, _ in own}) for k, own in sorted(by_size.items())]
+    blocks = [(k, own[i : i + PASS_TEMPLATES]) for k, own in sorted(by_size.items()) for i in range(0, len(own), PASS_TEMPLATES)]
+    parts = [_scan(docs, own, doc_id, text, k, containment, bands, {n: templates[n] for n, _ in own}) for k, own in blocks]
     if not parts:
         return spark.createDataFrame([], "doc_id long, license_id string, containment double, first_word long, windows long")
     out = parts[0]
@@ -132,11 +135,12 @@ def _scan(docs, own, doc_id, text, size, containment, bands, templates) -> DataF
     some = F.lit(False)
     for w in triggers(templates, size, containment):
         some = some | low.contains(w)
-    known = sorted({x for r in theirs.select("theirs").collect() for x in r[0]})
     base = _once(docs.filter(some).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "words", _words(F.col("text"))).select("doc_id", "words")
     base = _once(base, "sh", _shingles(F.col("words"), size)).select("doc_id", "sh")
+    least = F.array(*[F.array_min(F.transform("theirs", lambda x: F.struct(F.xxhash64(x, F.lit(k)).alias("h"), x.alias("x"))))["x"] for k in range(bands)])  # noqa: B023
+    known = sorted({x for r in theirs.select(least.alias("x")).collect() for x in r[0]})
     at = F.when(F.size("sh") > 0, F.sequence(F.lit(0), F.size("sh") - 1)).otherwise(F.array().cast("array<int>"))
-    base = _once(base, "hits", F.filter(at, lambda i: F.array_contains(F.lit(known), F.get("sh", i)))).filter(F.size("hits") > 0)
+    base = _once(base, "hits", F.filter(at, lambda i: F.get("sh", i).isin(known))).filter(F.size("hits") > 0)
 
     def windows(n: int) -> Column:
         wide, step = max(1, n + stride(n) - size), stride(n)
