@@ -93,9 +93,9 @@ def page_feeds(spark, sf_dir):
     from quire.functions.url import host_key
 
     pages = table(spark, sf_dir, "pages").withColumn("host", host_key(F.col("url")))
-    # a site of any size is many feeds: no group grows with it
-    feeds_of = pages.groupBy("host").agg(F.ceil(F.count("*") / FEED_ITEMS).alias("feeds"))
-    rows = pages.join(feeds_of, "host").withColumn("feed_id", F.concat_ws(" ", F.pmod(F.xxhash64("page_id"), F.col("feeds")).cast("string"), "host"))
+    # pages are dealt to as many lots as hold FEED_ITEMS each: a site has no more in a lot, and no group or task grows with it
+    lots = max(1, pages.count() // FEED_ITEMS)
+    rows = pages.withColumn("feed_id", F.concat_ws(" ", F.pmod(F.xxhash64("page_id"), F.lit(lots)).cast("string"), "host"))
     item = F.concat(F.lit("<item><title>Page "), F.col("page_id").cast("string"), F.lit("</title><link>"), escape_html(F.col("url")), F.lit("</link><description>"), escape_html(F.col("html")), F.lit("</description></item>"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("x")))), lambda p: p["x"]), "")
     docs = rows.groupBy("feed_id", "host").agg(F.concat(F.lit("<rss><channel><title>"), F.col("host"), F.lit("</title><link>https://"), F.col("host"), F.lit("/</link>"), text, F.lit("</channel></rss>")).alias("feed"))
