@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quire.llm.block_max import OP13_SQL, op13_block_max_search
 from quire.llm.decontaminate import OP5_SQL, op5_template_decontamination
 from quire.llm.html_density import op8_html_density
 from quire.llm.language_id import op4_language_id
@@ -11,6 +12,7 @@ from quire.llm.near_dedup import op10_minhash_near_dedup
 from quire.llm.packing import op7_curve_packing
 from quire.llm.pii import op3_pii_crf
 from quire.llm.recompression_dedup import op2_recompression_dedup
+from quire.llm.rolling_users import OP12_SQL, op12_rolling_users
 from quire.llm.suffix_dedup import op1_suffix_dedup
 
 
@@ -32,9 +34,11 @@ def queries():
         "op8_html_density": op8_html_density,
         "op9_license_scan": op9_license_scan,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op12_rolling_users": op12_rolling_users,
+        "op13_block_max_search": op13_block_max_search,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_template_decontamination": OP5_SQL, "op9_license_scan": op9_sql()}
+    return {"op5_template_decontamination": OP5_SQL, "op9_license_scan": op9_sql(), "op12_rolling_users": OP12_SQL, "op13_block_max_search": OP13_SQL}
