@@ -1,8 +1,8 @@
 """Distinct users of trailing windows, by bitsets of minutes.
 
 The timeline of one key (here a kind) is cut into chunks of CHUNK minutes.  Inside a chunk the minutes of
-one user are the bits of a big integer; clicks of the window before the chunk come along, so no chunk
-looks at another.  Dilating the bits by a window's length, with shifts that double, sets every minute
+one user are the bits of a big integer of 64-bit words; clicks of the window before the chunk come along, so no chunk
+looks at another.  The integers of many users stand end to end in one, with room between them.  Dilating the bits by a window's length, with shifts that double, sets every minute
 whose window holds a click.  For hot users three thermometer planes hold "at least 1, 2, 3 clicks"; the planes of
 two adjacent windows add up to those of the joined one, and a window of any length is put together from
 windows of powers of two.  Where a dilated bitset rises and falls, one is added and taken off; the sums of these edges
@@ -23,25 +23,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.blobs import U
 from quire.runtime import materialize, ship
 
-CHUNK = 1 << 15  # minutes
+CHUNK = 1 << 16  # minutes
 WINDOWS = {"short": 5, "middle": 30, "long": 10080}
 HOT, HOT_WINDOW = 3, 10080
-FEW = 24  # bits that are read one by one
+ROWS = 1 << 15  # rows of users and minutes that are worked on together
+WORDS = 8192  # words of the big integer that holds the islands of many users
 EDGES = "key string, chunk long, minute long, present boolean, edges array<long>"
 
 
-def dilate(bits: int, length: int) -> int:
-    """Bit m is set where one of bits m - length + 1 to m is."""
-    span = 1
-    while span * 2 <= length:
-        bits |= bits << span
-        span *= 2
-    return bits | bits << (length - span)
+def shifted(bits: np.ndarray, n: int) -> np.ndarray:
+    """The big integer (64-bit words, the lowest first) times 2 ** n, in as many words."""
+    words, n = divmod(n, 64)
+    out = np.zeros_like(bits)
+    if words < len(bits):
+        out[words:] = bits[: len(bits) - words] << U(n)
+        if n:
+            out[words + 1 :] |= bits[: len(bits) - words - 1] >> U(64 - n)
+    return out
+
+
+def dilate(bits: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
+    """For each length: bit m is set where one of bits m - length + 1 to m is."""
+    out, span = {}, 1
+    for length in sorted(lengths):
+        while span * 2 <= length:
+            bits = bits | shifted(bits, span)
+            span *= 2
+        out[length] = bits | shifted(bits, length - span) if length > span else bits
+    return out
 
 
-def add(a: list[int], b: list[int]) -> list[int]:
+def add(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
     """Planes of the sums of two thermometers: plane k is set where a and b have at least k + 1 together."""
     out = []
     for k in range(len(a)):
@@ -52,128 +67,158 @@ def add(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def hot(planes: list[int], length: int) -> int:
-    """Bit m is set where the clicks of minutes m - length + 1 to m reach the top plane's number."""
-    have, span, done, reach = None, 1, planes, 0
+def window_planes(planes: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """Plane k: bit m is set where the clicks of minutes m - length + 1 to m are more than k."""
+    parts, span = [], 1
     while True:
         if length & span:
-            moved = [p << reach for p in done]
-            have, reach = moved if have is None else add(have, moved), reach + span
+            parts.append((span, planes))
         if span * 2 > length:
-            return have[-1]
-        done = add(done, [p << span for p in done])
+            break
+        planes = add(planes, [shifted(p, span) for p in planes])
         span *= 2
+    reach, have = parts.pop()
+    while parts:  # from the longest down, so that most shifts are by whole words
+        span, part = parts.pop()
+        have, reach = add(have, [shifted(p, reach) for p in part]), reach + span
+    return have
+
+
+def number(at: np.ndarray, words: int) -> np.ndarray:
+    """The big integer whose set bits are the rising positions."""
+    out = np.zeros(words, U)
+    if len(at):
+        word = at >> 6
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[first]] = np.bitwise_or.reduceat(U(1) << (at & 63).astype(U), first)
+    return out
 
 
-def positions(bits: int) -> list[int] | np.ndarray:
+def positions(bits: np.ndarray) -> np.ndarray:
     """The set bits, in rising order."""
-    if bits.bit_count() <= FEW:
-        out = []
-        while bits:
-            low = bits & -bits
-            out.append(low.bit_length() - 1)
-            bits ^= low
-        return out
-    return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(-(-bits.bit_length() // 8), "little"), np.uint8), bitorder="little"))
-
+    some = np.flatnonzero(bits)
+    at, bit = np.nonzero(np.unpackbits(bits[some].view(np.uint8), bitorder="little").reshape(-1, 64))
+    return some[at] * 64 + bit
+
+
+class Windows:
+    """What is asked of the timelines, and the edges of rows of whole users."""
+
+    def __init__(self, windows: list[int], hot_clicks: int, hot_window: int, size: int):
+        self.windows, self.hot_clicks, self.hot_window, self.size = windows, hot_clicks, hot_window, size
+        self.gap = max(*windows, hot_window)
+
+    def edges(self, begin: np.ndarray, minute: np.ndarray, clicks: np.ndarray):
+        """begin: where users begin; minutes rise within a user.  Yields window number, minutes, and +1 or -1 for each edge.
+
+        Clicks of a user that no window holds together, as the gap between them is too long, lie apart: each *island* of clicks has
+        its own words, and so much room after it that nothing of it reaches the next one.
+        """
+        fresh = np.concatenate([[True], np.diff(minute) >= self.gap])
+        fresh[begin] = True
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(minute)) - 1
+        island = np.cumsum(fresh) - 1
+        words = (minute[last] - minute[first] + self.gap) // 64 + 2
+        start = (np.cumsum(words) - words) * 64
+        at = minute - minute[first][island] + start[island]
+        so_far = np.concatenate([[0], np.cumsum(clicks)])
+        crowd = so_far[1:] - so_far[np.searchsorted(at, at - self.hot_window, "right")] >= self.hot_clicks
+        crowded = np.logical_or.reduceat(crowd, first)
+        for kind in (False, True):
+            which = np.flatnonzero(crowded == kind)
+            if not len(which):
+                continue
+            piece = np.cumsum(words[which]) // WORDS
+            for some in np.split(which, np.flatnonzero(np.diff(piece)) + 1):
+                yield from self._piece(some, first, last, minute, clicks, words, kind)
+
+    def _piece(self, some, first, last, minute, clicks, words, crowded):
+        zero = (np.cumsum(words[some]) - words[some]) * 64
+        n = last[some] - first[some] + 1
+        rows = np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        base = zero - minute[first[some]]
+        at, many, total = minute[rows] + np.repeat(base, n), clicks[rows], int(words[some].sum())
+        bits = number(at, total)
+        done = {}
+        if crowded:
+            planes = window_planes([bits, *[number(at[many > k], total) for k in range(1, self.hot_clicks)]], self.hot_window)
+            done = {self.hot_window: planes[0], "hot": planes[-1]}
+        done |= dilate(bits, [w for w in self.windows if w not in done])
+        for row, key in enumerate([*self.windows, *["hot"] * crowded]):
+            edge = positions(done[key] ^ shifted(done[key], 1))
+            mine = np.searchsorted(zero, edge, "right") - 1
+            yield row, edge - base[mine], np.where(np.arange(len(edge)) & 1, -1, 1)
+
+
+def _edges(ask: Windows):
+    """Rows sorted by key, chunk, user and minute to the edges of each chunk.
+
+    Users are worked on in lots of about ROWS rows; one user has as many rows as a chunk and a window have minutes, at most.
+    """
 
-def number(at: np.ndarray) -> int:
-    """The bitset of rising positions."""
-    if len(at) <= FEW:
-        out = 0
-        for i in at.tolist():
-            out |= 1 << i
+    def lots(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < ROWS:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            same = _same(t)
+            cut = np.flatnonzero(~same)
+            to = int(cut[-1]) if len(cut) else 0
+            if to:
+                yield t.slice(0, to)
+            held, n = t.slice(to).to_batches(), t.num_rows - to
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def _same(t):
+        """Whether a row is of the same key, chunk and user as the one before."""
+        out = np.ones(t.num_rows, bool)
+        out[0] = False
+        for c in (t["key"].combine_chunks().dictionary_encode().indices, t["chunk"], t["user"].fill_null(0), t["user"].is_null()):
+            c = c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy()
+            out[1:] &= c[1:] == c[:-1]
         return out
-    flat = np.zeros(int(at[-1]) + 1, np.uint8)
-    flat[at] = 1
-    return int.from_bytes(np.packbits(flat, bitorder="little").tobytes(), "little")
-
-
-class Chunk:
-    """The edges of one key's chunk, as far as this task has its users."""
-
-    def __init__(self, key: str, chunk: int, windows: list[int], hot_clicks: int, hot_window: int, size: int):
-        self.key, self.chunk, self.size = key, chunk, size
-        self.windows, self.hot_clicks, self.hot_window = windows, hot_clicks, hot_window
-        self.edges = np.zeros((len(windows) + 1, size), np.int64)
-        self.present = np.zeros(size, bool)
-
-    def put(self, row: int, bits: int, first: int) -> None:
-        """Edges of a bitset whose bit 0 is minute ``first`` of the chunk, which may be negative."""
-        at, edges, size = positions(bits ^ bits << 1), self.edges[row], self.size
-        if isinstance(at, list):
-            up = 1
-            for p in at:
-                p += first
-                if p < size:
-                    edges[max(p, 0)] += up
-                up = -up
-            return
-        at = at + first
-        sign = np.where(np.arange(len(at)) % 2, -1, 1)
-        keep = at < size
-        np.add.at(edges, np.maximum(at[keep], 0), sign[keep])
-
-    def user(self, minute: np.ndarray, clicks: np.ndarray) -> None:
-        """One user's minutes, rising, relative to the chunk; those before it are negative."""
-        first = int(minute[0])
-        at = minute - first
-        bits = number(at)
-        for row, length in enumerate(self.windows):
-            self.put(row, dilate(bits, length), first)
-        if clicks.sum() >= self.hot_clicks:
-            planes = [bits, *[number(at[clicks > k]) if (clicks > k).any() else 0 for k in range(1, self.hot_clicks)]]
-            self.put(len(self.windows), hot(planes, self.hot_window), first)
-
-    def batch(self) -> pa.RecordBatch:
-        at = np.flatnonzero(self.present | self.edges.any(axis=0))
-        flat = np.ascontiguousarray(self.edges[:, at].T).ravel()
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(self.edges)), pa.int32()), pa.array(flat))
-        n = len(at)
-        columns = [pa.array([self.key], pa.string()).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, self.chunk)), pa.array(at + self.chunk * self.size), pa.array(self.present[at]), lists]
-        return pa.RecordBatch.from_arrays(columns, ["key", "chunk", "minute", "present", "edges"])
-
-
-def _edges(windows: list[int], hot_clicks: int, hot_window: int, size: int):
-    """Rows sorted by key, chunk, user and minute to the edges of each chunk; a user's rows may go over several batches."""
 
     def run(batches):
-        now, held, owner = None, [], None
+        now, sums, present = None, None, None
 
         def flush():
-            if held and now is not None:
-                minute, clicks = (np.concatenate(x) for x in zip(*held))
-                now.user(minute, clicks)
-            held.clear()
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            code = batch["key"].dictionary_encode()
+            at = np.flatnonzero(present | sums.any(axis=0))
+            flat = np.ascontiguousarray(sums[:, at].T).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(sums)), pa.int32()), pa.array(flat))
+            columns = [pa.array([now[0]] * len(at), pa.string()), pa.array(np.full(len(at), now[1])), pa.array(at + now[1] * ask.size), pa.array(present[at]), lists]
+            return pa.RecordBatch.from_arrays(columns, ["key", "chunk", "minute", "present", "edges"])
+
+        for t in lots(batches):
+            begin = ~_same(t)
+            chunk, clicks = t["chunk"].to_numpy(), t["clicks"].to_numpy()
+            code = t["key"].combine_chunks().dictionary_encode()
             names, key = code.dictionary.to_pylist(), code.indices.to_numpy()
-            chunk, minute, clicks = (batch[c].to_numpy() for c in ("chunk", "minute", "clicks"))
-            known = batch["user"].is_valid().to_numpy(zero_copy_only=False)
-            user = batch["user"].fill_null(0).to_numpy()
-            edge = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]) | (user[1:] != user[:-1]) | (known[1:] != known[:-1])) + 1
-            minute = minute - chunk * size
-            bounds = [0, *edge.tolist(), batch.num_rows]
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                name, c = names[key[a]], int(chunk[a])
-                mine = (name, c, int(user[a]) if known[a] else None)
-                if mine != owner:
-                    flush()
-                    owner = mine
-                    if now is None or (now.key, now.chunk) != (name, c):
-                        if now is not None:
-                            yield now.batch()
-                        now = Chunk(name, c, windows, hot_clicks, hot_window, size)
-                part = minute[a:b]
-                now.present[part[part >= 0]] = True
-                if known[a]:
-                    held.append((part, clicks[a:b]))
-        flush()
+            minute = t["minute"].to_numpy() - chunk * ask.size
+            known = t["user"].is_valid().to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if now != (names[key[a]], int(chunk[a])):
+                    if now is not None:
+                        yield flush()
+                    now = names[key[a]], int(chunk[a])
+                    sums, present = np.zeros((len(ask.windows) + 1, ask.size), np.int64), np.zeros(ask.size, bool)
+                own = minute[a:b]
+                present[own[own >= 0]] = True
+                some = np.flatnonzero(known[a:b]) + a
+                if not len(some):
+                    continue
+                for row, at, sign in ask.edges(np.flatnonzero(begin[some]), minute[some], clicks[some]):
+                    keep = at < ask.size
+                    np.add.at(sums[row], np.maximum(at[keep], 0), sign[keep])
         if now is not None:
-            yield now.batch()
+            yield flush()
 
     return run
 
@@ -212,7 +257,7 @@ def rolling_users(clicks: DataFrame, click_id: str = "click_id", ts: str = "ts",
     dealt = materialize(dealt, "chunks")
     n = int(clicks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartitionByRange(n, "key", "chunk", F.xxhash64("user")).sortWithinPartitions("key", "chunk", "user", "minute")
-    edges = dealt.select("key", "chunk", "user", "minute", "clicks").mapInArrow(_edges(list(windows.values()), hot_clicks, hot_window, chunk), EDGES)
+    edges = dealt.select("key", "chunk", "user", "minute", "clicks").mapInArrow(_edges(Windows(list(windows.values()), hot_clicks, hot_window, chunk)), EDGES)
     names = [f"users_{w}" for w in windows] + ["hot_users"]
     sums = edges.groupBy("key", "chunk", "minute").agg(F.max("present").alias("present"), *[F.sum(F.col("edges")[i]).alias(x) for i, x in enumerate(names)])
     so_far = Window.partitionBy("key", "chunk").orderBy("minute").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -4,6 +4,7 @@ import datetime
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quire.llm import rolling_users as R
@@ -61,12 +62,20 @@ def test_planes(length):
     r = random.Random(length)
     at = sorted(r.randrange(20000) for _ in range(300))
     many = Counter(at)
-    planes = [sum(1 << m for m, n in many.items() if n > k) for k in range(4)]
-    one, top = R.dilate(planes[0], length), R.hot(planes, length)
+    planes = [R.number(np.array(sorted(m for m, n in many.items() if n > k), int), 480) for k in range(4)]
+    one, top = (set(R.positions(x).tolist()) for x in (R.dilate(planes[0], [length])[length], R.window_planes(planes, length)[3]))
     for m in [*range(0, 20000, 97), *at]:
         n = sum(m - length < x <= m for x in at)
-        assert (one >> m & 1, top >> m & 1) == (n >= 1, n >= 4)
-    assert list(R.positions(one)) == [i for i in range(one.bit_length()) if one >> i & 1]
+        assert (m in one, m in top) == (n >= 1, n >= 4)
+    both = R.dilate(planes[0], [length + 7, 1, length])
+    assert all((both[n] == R.dilate(planes[0], [n])[n]).all() for n in both)
+
+
+def test_shift():
+    bits = np.array([3, 1 << 63, 0, 5], np.uint64)
+    whole = sum(int(w) << 64 * i for i, w in enumerate(bits))
+    for n in (0, 1, 63, 64, 65, 128, 200, 255, 256, 300):
+        assert sum(int(w) << 64 * i for i, w in enumerate(R.shifted(bits, n))) == (whole << n) % 2**256
 
 
 def test_nobody_and_empty(spark):
