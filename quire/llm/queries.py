@@ -5,6 +5,7 @@ from __future__ import annotations
 from quire.llm.block_max import OP13_SQL, op13_block_max_search
 from quire.llm.decontaminate import OP5_SQL, op5_template_decontamination
 from quire.llm.html_density import op8_html_density
+from quire.llm.jaccard_join import OP11_SQL, op11_jaccard_join
 from quire.llm.language_id import op4_language_id
 from quire.llm.licenses import op9_license_scan, op9_sql
 from quire.llm.matroska import op6_matroska
@@ -34,6 +35,7 @@ def queries():
         "op8_html_density": op8_html_density,
         "op9_license_scan": op9_license_scan,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_jaccard_join": op11_jaccard_join,
         "op12_rolling_users": op12_rolling_users,
         "op13_block_max_search": op13_block_max_search,
         "pipeline": pipeline,
@@ -41,4 +43,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_template_decontamination": OP5_SQL, "op9_license_scan": op9_sql(), "op12_rolling_users": OP12_SQL, "op13_block_max_search": OP13_SQL}
+    return {"op5_template_decontamination": OP5_SQL, "op9_license_scan": op9_sql(), "op11_jaccard_join": OP11_SQL, "op12_rolling_users": OP12_SQL, "op13_block_max_search": OP13_SQL}
