@@ -234,15 +234,17 @@ def _fits(percent: int):
 
 
 def _stars(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of each shingle's members with one centre, a member of its largest component; not those of one component."""
-    order = F.struct(F.xxhash64(F.col("id"), F.lit(k)), "id", "size") if k else F.struct(-F.col("id"), F.col("id").alias("own"), "size")
+    """Pairs of each shingle's members with one centre, a member of its largest component; not those of one component.
+
+    The first centre is the member with the fewest rarer shingles, which differs least from the others; later ones are dealt by k.
+    """
+    order = F.struct(F.xxhash64("id", F.lit(k)) if k else -F.col("place").cast("long"), "id", "size")
     heads = rows.groupBy("name", "part").agg(F.max(order).alias("head"), F.count("*").alias("n"))
     top = heads.groupBy("name").agg(F.max(F.struct("n", "head", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     names = ("head", "part")
     top = materialize(top.select("name", *[F.col(f"top.{c}").alias(f"{c}_a") for c in names]), "join-centres")
     near = rows.join(top, "name").filter("part <> part_a")
-    centre = F.col("head_a.id") if k else F.col("head_a.own")
-    near = near.withColumn("a", centre).filter(100 * F.least("size", "head_a.size") >= percent * F.greatest("size", "head_a.size"))
+    near = near.withColumn("a", F.col("head_a.id")).filter(100 * F.least("size", "head_a.size") >= percent * F.greatest("size", "head_a.size"))
     return near.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).filter("a <> b").distinct()
 
 
