@@ -1,7 +1,7 @@
 """Numbers that run through a book: chapters, links and notes.
 
-A book is a key; its order is an explicit position.  Windows run over the book's own rows, so
-many books spread over the cluster and one very large book is one sorted task of narrow rows.
+A book is a key; its order is an explicit position.  Numbers are running sums in two levels (``scan``), so one very large book is
+numbered by many tasks.
 """
 
 from __future__ import annotations
@@ -9,18 +9,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import scan
+
 # Titles of parts that carry no number, and titles of contents pages.
 UNNUMBERED = ("introduction", "conclusion", "preface", "foreword", "prologue", "epilogue", "afterword", "acknowledgments", "acknowledgements", "references", "bibliography", "works cited", "notes", "glossary", "index", "abstract", "dedication", "appendix", "appendices")
 CONTENTS = ("contents", "table of contents", "toc")
-TYPED = "^\\s*(\\d{1,4}|[IVXLCDM]{1,8})\\.\\s+(\\S.*)$"
+ROMAN = "IVXLCDM"
 
 
 def chapter_sequence(chapters: DataFrame, book: str, pos: str, numbered: Column, number: Column | None = None) -> DataFrame:
     """seq: the running count of numbered chapters, null for others; display: the typed number or seq."""
-    w = Window.partitionBy(book).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seq = F.when(numbered, F.sum(numbered.cast("long")).over(w))
-    shown = seq.cast("string") if number is None else F.coalesce(number, seq.cast("string"))
-    return chapters.withColumns({"seq": seq, "display": F.when(numbered, shown)})
+    extra = {"is_numbered": numbered} | ({} if number is None else {"typed_number": number})
+    counted = scan.running(chapters.withColumns(extra), [book], [pos], seq=numbered)
+    seq = F.when(F.col("is_numbered"), F.col("seq"))
+    shown = seq.cast("string") if number is None else F.coalesce("typed_number", seq.cast("string"))
+    return counted.withColumns({"seq": seq, "display": F.when(F.col("is_numbered"), shown)}).drop(*extra)
+
+
+def typed_figure(title: Column) -> tuple[Column, Column]:
+    """The figure that a title begins with and the words after it, nulls where it has none: a number, a dot, a blank."""
+    lead = lambda c: F.regexp_replace(c, "^\\s+", "")
+    head, tail = lead(F.substring_index(title, ".", 1)), F.substr(title, F.locate(".", title) + 1)
+    arabic = F.length(head).between(1, 4) & (F.translate(head, "0123456789", "") == "")
+    roman = F.length(head).between(1, 8) & (F.translate(head, ROMAN, "") == "")
+    rest = lead(tail)
+    found = (F.locate(".", title) > 0) & (arabic | roman) & (rest != tail) & (rest != "")
+    return F.when(found, head), F.when(found, rest)
 
 
 def is_furniture(title: Column) -> Column:
@@ -36,11 +50,10 @@ def classify(chapters: DataFrame, book: str, pos: str, title: str = "title") ->
     """
     from quire.functions.text import number_value
 
-    figure, rest = F.regexp_extract(title, TYPED, 1), F.regexp_extract(title, TYPED, 2)
-    rows = chapters.withColumns({"figure": F.when(figure != "", figure), "rest": rest})
+    figure, rest = typed_figure(F.col(title))
+    rows = chapters.withColumns({"figure": figure, "rest": rest})
     rows = rows.withColumn("value", F.when(F.col("figure").isNotNull(), number_value(F.col("figure"))))
-    rank = F.sum(F.col("value").isNotNull().cast("long")).over(Window.partitionBy(book).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    typed = rows.withColumn("rank", rank).groupBy(book).agg(((F.count("value") >= 2) & F.coalesce(F.bool_and(F.when(F.col("value").isNotNull(), F.col("value") == F.col("rank"))), F.lit(False))).alias("typed"))
+    typed = scan.running(rows, [book], [pos], rank=F.col("value").isNotNull()).groupBy(book).agg(((F.count("value") >= 2) & F.coalesce(F.bool_and(F.when(F.col("value").isNotNull(), F.col("value") == F.col("rank"))), F.lit(False))).alias("typed"))
     out = rows.join(typed, book)
     return out.select(
         *[F.when(F.col("typed") & F.col("figure").isNotNull(), F.col("rest")).otherwise(F.col(c)).alias(c) if c == title else F.col(c) for c in chapters.columns],
@@ -58,20 +71,18 @@ def is_source_toc(title: Column, html: Column) -> Column:
 
 def link_numbers(links: DataFrame, book: str, order: list[str]) -> DataFrame:
     """number: 1, 2, ... through the book's call links."""
-    return links.withColumn("number", F.row_number().over(Window.partitionBy(book).orderBy(*order)).cast("long"))
-
-
-def endnote_numbers(links: DataFrame, book: str, url: str, order: list[str]) -> DataFrame:
-    """number of each call where an address keeps the number of its first call."""
-    first = links.groupBy(book, url).agg(F.min(F.struct(*order)).alias("first"))
-    ranked = first.select(book, url, F.row_number().over(Window.partitionBy(book).orderBy("first")).cast("long").alias("number"))
-    return links.join(ranked, [book, url])
+    return scan.numbered(links, [book], order)
 
 
 def endnotes(links: DataFrame, book: str, url: str, order: list[str]) -> DataFrame:
     """One row for each note: book, number, url."""
     first = links.groupBy(book, url).agg(F.min(F.struct(*order)).alias("first"))
-    return first.select(book, F.row_number().over(Window.partitionBy(book).orderBy("first")).cast("long").alias("number"), url)
+    return scan.numbered(first, [book], ["first"]).select(book, "number", url)
+
+
+def endnote_numbers(links: DataFrame, book: str, url: str, order: list[str]) -> DataFrame:
+    """number of each call where an address keeps the number of its first call."""
+    return links.join(endnotes(links, book, url, order), [book, url])
 
 
 def renumber_runs(items: DataFrame, key: str, pos: str, flag: Column) -> DataFrame:

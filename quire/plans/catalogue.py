@@ -70,11 +70,12 @@ def _lines(spark, sf_dir):
     return layout.lines(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
 
 
-def _chapters(spark, sf_dir):
-    """Conversations as books: a turn is a chapter, a system turn is matter."""
+def _chapters(spark, sf_dir, html=True, numbers=True):
+    """Conversations as books: a turn is a chapter, a system turn is matter.  Numbers, and bodies of chapters, where they are wanted."""
     t = table(spark, sf_dir, "conversations")
     title = F.substring(T.normalize_ws(F.regexp_extract("text", "^([^\\n]*)", 1)), 1, 40)
-    return numbering.chapter_sequence(t.withColumns({"title": title, "html": T.text_to_html(F.col("text"))}), "conv_id", "turn", F.col("role") != "system")
+    rows = t.select("conv_id", "turn", "role", title.alias("title"), *[T.text_to_html(F.col("text")).alias("html")] * html)
+    return numbering.chapter_sequence(rows, "conv_id", "turn", F.col("role") != "system") if numbers else rows
 
 
 _CHAPTERS = rf"""chapters AS (
@@ -205,19 +206,19 @@ def first_source_hint(spark, sf_dir):
 
 @query(f"WITH {_CHAPTERS} SELECT conv_id, turn, CAST(coalesce(seq, 0) AS BIGINT) AS seq, CAST(CAST(seq AS BIGINT) AS VARCHAR) AS display FROM chapters")
 def chapter_numbering(spark, sf_dir):
-    return _chapters(spark, sf_dir).select("conv_id", "turn", F.coalesce("seq", F.lit(0)).alias("seq"), "display")
+    return _chapters(spark, sf_dir, html=False).select("conv_id", "turn", F.coalesce("seq", F.lit(0)).alias("seq"), "display")
 
 
 @query(f"""WITH {_CHAPTERS} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS entry,
   CASE WHEN seq IS NOT NULL THEN CAST(CAST(seq AS BIGINT) AS VARCHAR) || '. ' || title ELSE title END AS label FROM chapters WHERE title <> ''""")
 def book_toc(spark, sf_dir):
-    return books.contents(_chapters(spark, sf_dir), "conv_id", "turn", "title", "display")
+    return books.contents(_chapters(spark, sf_dir, html=False), "conv_id", "turn", "title", "display")
 
 
 @query(f"""WITH {_CHAPTERS} SELECT conv_id, count(*) FILTER (numbered) AS chapters, count(*) FILTER (NOT numbered) AS matter,
   CAST(sum({_COUNT.format("coalesce(html, '')")}) AS BIGINT) AS words, CAST(sum(len(regexp_extract_all(coalesce(html, ''), '(?i)<img\\b'))) AS BIGINT) AS images FROM chapters GROUP BY conv_id""")
 def book_stats(spark, sf_dir):
-    return books.stats(_chapters(spark, sf_dir), "conv_id", F.col("role") != "system", "html")
+    return books.stats(_chapters(spark, sf_dir, numbers=False), "conv_id", F.col("role") != "system", "html")
 
 
 @query(f"""WITH {_CHAPTERS} SELECT conv_id, string_agg('<section id="chapter-' || turn || '">' || CASE WHEN seq IS NOT NULL THEN '<p class="chapter-number">Chapter ' || CAST(seq AS BIGINT) || '</p>' ELSE '' END

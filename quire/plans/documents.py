@@ -140,24 +140,21 @@ _CALLS = rf"""p AS (SELECT page_id, {_HOST.format("url")} AS host, len(regexp_ex
 s AS (SELECT *, coalesce(sum(calls) OVER (PARTITION BY host ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS start FROM p)"""
 
 
-def _noted(spark, sf_dir):
-    """Each page's whole markup with absolute addresses, its calls, and the number at which they start in its site."""
-    from pyspark.sql import Window
-
+def _called(spark, sf_dir):
+    """Each page's whole markup with absolute addresses; the number of its calls, and the number at which they start in its site."""
     from quire.functions.url import host_key, origin
+    from quire.operators import scan
 
     html = F.regexp_replace("html", F.lit('(?is)(<a\\b[^>]*?href=")/'), F.concat(F.lit("$1"), origin(F.col("url")), F.lit("/")))
     pages = table(spark, sf_dir, "pages").select(host_key(F.col("url")).alias("host"), "page_id", html.alias("html"))
-    calls = map_rows(pages.withColumn("m", F.col("html")), "calls long", lambda m: {"calls": len(notes.call_links(m))}, "m").drop("error")
-    before = Window.partitionBy("host").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    first = calls.select("host", "page_id", "calls").withColumn("start", F.coalesce(F.sum("calls").over(before), F.lit(0)) + 1)
-    return calls.drop("calls").join(first, ["host", "page_id"])
+    calls = map_rows(pages, "calls long", lambda m: {"calls": len(notes.call_links(m))}, "html").drop("error")
+    return pages, scan.running(calls, ["host"], ["page_id"], exclusive=True, start=F.col("calls")).withColumn("start", F.col("start") + 1)
 
 
 @query(f"WITH {_CALLS} SELECT host, page_id, CAST(calls AS BIGINT) AS calls, CAST(start AS BIGINT) AS start FROM s")
 def link_calls(spark, sf_dir):
     """Phase one: the calls of each page and where its site's numbering stands."""
-    return _noted(spark, sf_dir).drop("html")
+    return _called(spark, sf_dir)[1]
 
 
 @query(rf"""WITH {_CALLS} SELECT host, page_id, CAST(start + calls AS BIGINT) AS next, CAST(calls AS BIGINT) AS labels, CASE WHEN calls > 0 THEN 'L' || CAST(start AS BIGINT) END AS first_label FROM s""")
@@ -170,7 +167,8 @@ def link_notes(spark, sf_dir):
         found = [labels.line(i) for i in labels.find("a") if (labels.attrs[i].get("href") or "").startswith("#ln-")]
         return {"next": after, "labels": len(found), "first_label": found[0] if found else None}
 
-    return map_rows(_noted(spark, sf_dir).drop("calls"), "next long, labels long, first_label string", rule, "html", "start").drop("error")
+    pages, calls = _called(spark, sf_dir)
+    return map_rows(pages.join(calls.drop("calls"), ["host", "page_id"]), "next long, labels long, first_label string", rule, "html", "start").drop("error")
 
 
 @query()

@@ -26,7 +26,7 @@ def theme_margins(spark, sf_dir):
 @query(f"""WITH {_CHAPTERS}, b AS (SELECT conv_id, count(*) AS n, sum({_COUNT.format("coalesce(html, '')")}) AS words FROM chapters GROUP BY conv_id),
 p AS (SELECT conv_id, CAST(ceil(words / 250.0 * 1.3) + 2 + ceil(n * 1.5) + 2 AS BIGINT) AS n FROM b) SELECT conv_id, CAST(greatest(n + n % 2, 4) AS BIGINT) AS pages FROM p""")
 def page_estimates(spark, sf_dir):
-    b = _chapters(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(T.word_count(F.col("html"))).alias("words"))
+    b = _chapters(spark, sf_dir, numbers=False).groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(T.word_count(F.col("html"))).alias("words"))
     return b.select("conv_id", layout.estimate_pages(F.col("words"), F.col("n"), F.lit(250.0)).cast("long").alias("pages"))
 
 

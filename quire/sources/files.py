@@ -6,13 +6,14 @@ of chapters: book_id, path, pos, title, html, author, error.  A file that can't
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import markdown
 from quire.functions.arrow import map_rows
 from quire.functions.scalar import decode_body
 from quire.functions.tree import Fragment
+from quire.operators.scan import running
 from quire.operators.article import extract, split_chapters
 from quire.runtime import materialize
 from quire.sources import pdf
@@ -81,12 +82,12 @@ def read_pdfs(files: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, folder: str, book_id: str = "book") -> DataFrame:
     """The folder's chapters in order of file names; error says what could not be read, or was left out.
 
-    Files are numbered by their paths alone, so no task sorts their text.
+    Positions are running sums over the sorted paths, in blocks: no task has all files, and none sorts their text.
     """
     files = scan(spark, folder)
     rest = map_rows(files.filter("kind <> 'pdf'"), PARTS, read, "kind", "name", "content").select("path", "parts", "doc_title", "author", "error")
     rows = materialize(rest.unionByName(read_pdfs(files.filter("kind = 'pdf'"))), "files")
     counts = rows.select("path", F.greatest(F.coalesce(F.size("parts"), F.lit(0)), F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(book_id)).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = rows.join(counts.select("path", before.alias("before")), "path").select("path", "before", "doc_title", "author", "error", F.posexplode_outer("parts").alias("part", "p"))
+    before = running(counts.withColumn("book", F.lit(book_id)), ["book"], ["path"], exclusive=True, before=F.col("n"))
+    parts = rows.join(before.select("path", "before"), "path").select("path", "before", "doc_title", "author", "error", F.posexplode_outer("parts").alias("part", "p"))
     return parts.select(F.lit(book_id).alias("book_id"), "path", (F.col("before") + F.coalesce("part", F.lit(0))).cast("long").alias("pos"), "p.title", "p.html", "doc_title", "author", "error")
