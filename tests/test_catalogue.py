@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quire.plans import catalogue, documents, more, rewriting, wider  # noqa: F401
+from quire.plans import catalogue, documents, more, rewriting, trees, wider  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
