@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.operators import dom
-from quire.plans.catalogue import _UNESCAPE, query, table
+from quire.operators import closure, dom
+from quire.plans.catalogue import _LINES, _LINKS, _UNESCAPE, _lines, _links, query, table
 from quire.runtime import materialize
 
 _SHOWN = _UNESCAPE.format("regexp_replace({0}, '<[^>]*>', '', 'g')")
@@ -53,3 +54,31 @@ def page_elements(spark, sf_dir):
     heads = dom.headings(every, "page_id").groupBy("page_id").agg(F.count("*").alias("headings"), F.sum("chars").alias("heading_chars"))
     out = counts.join(linked, "page_id", "left").join(heads, "page_id", "left")
     return out.select("page_id", "elements", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("links", "headings", "heading_chars")])
+
+
+_STEPS = """target AS (SELECT DISTINCT host, target FROM links), turn AS (SELECT host, target, coalesce(lead(target) OVER w, first_value(target) OVER w) AS next FROM target WINDOW w AS (PARTITION BY host ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+step AS (SELECT host || ' ' || target AS source, host || ' ' || next AS next FROM turn WHERE length(target) % 4 <> 0)"""
+
+
+@query(rf"""WITH RECURSIVE {_LINKS}, {_STEPS},
+walk AS (SELECT source, next AS here, 1 AS hops FROM step UNION ALL SELECT w.source, s.next, w.hops + 1 FROM walk w JOIN step s ON s.source = w.here WHERE w.hops <= 10),
+ends AS (SELECT source, max(hops) AS hops, arg_max(here, hops) AS here FROM walk GROUP BY source)
+SELECT source, CASE WHEN hops <= 10 THEN here END AS final, CAST(CASE WHEN hops <= 10 THEN hops ELSE 0 END AS BIGINT) AS hops, CASE WHEN hops > 10 THEN 'more than 10 steps' END AS error FROM ends""")
+def redirect_targets(spark, sf_dir):
+    """Where the links of each site end up, if each target whose length isn't divisible by four redirects to the next one of its site, the last to the first."""
+    targets = _links(spark, sf_dir).select("host", "target").distinct()
+    order = Window.partitionBy("host").orderBy("target")
+    after = F.coalesce(F.lead("target").over(order), F.first("target").over(order))
+    steps = targets.withColumn("next", after).filter(F.length("target") % 4 != 0)
+    return closure.followed(steps.select(F.concat_ws(" ", "host", "target").alias("source"), F.concat_ws(" ", "host", "next").alias("next")), "source", "next").withColumn("hops", F.coalesce("hops", F.lit(0)).cast("long"))
+
+
+@query(rf"""WITH RECURSIVE {_LINES}, own AS (SELECT doc_id, line_no, length(line) % 5 AS kind, length(line) AS n FROM lines),
+base AS (SELECT doc_id, line_no, line_no - 1 - kind AS parent, CASE WHEN n % 3 = 0 THEN n END AS size, CASE WHEN n % 7 = 0 THEN n END AS lead FROM own),
+walk AS (SELECT doc_id, line_no, parent, size, lead, 0 AS d FROM base UNION ALL SELECT w.doc_id, w.line_no, b.parent, coalesce(w.size, b.size), coalesce(w.lead, b.lead), d + 1 FROM walk w JOIN base b ON b.doc_id = w.doc_id AND b.line_no = w.parent WHERE d < 63)
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(coalesce(any_value(size), 0) AS BIGINT) AS size, CAST(coalesce(any_value(lead), 0) AS BIGINT) AS lead FROM (SELECT *, max(d) OVER (PARTITION BY doc_id, line_no) AS deepest FROM walk) WHERE d = deepest GROUP BY doc_id, line_no""")
+def inherited_styles(spark, sf_dir):
+    """Lines as styles: each is based on a line up to five before it, and takes size and leading from the nearest that sets them."""
+    n = F.length("line")
+    rows = _lines(spark, sf_dir).select("doc_id", "line_no", F.struct("doc_id", "line_no").alias("style"), F.struct("doc_id", (F.col("line_no") - 1 - n % 5).alias("line_no")).alias("parent"), F.when(n % 3 == 0, n).alias("size"), F.when(n % 7 == 0, n).alias("lead"))
+    return closure.inherited(rows, "style", "parent", ["size", "lead"]).select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("line_no", "size", "lead")])
