@@ -226,10 +226,14 @@ def _with_parts(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
 
 
+def _reach(x: str, percent: int, length):
+    """The length of the prefix of side x of a pair in which the pair, if linked, shares that many shingles."""
+    return F.col(f"size_{x}") - needed(F.col("size_a") + 0, F.col("size_b"), percent) + length
+
+
 def _fits(percent: int):
-    """Whether a shared shingle of a and b stands in the prefixes of the pair, by its smaller l."""
-    least, length = needed(F.col("size_a") + 0, F.col("size_b"), percent), F.least("l_a", "l_b")
-    inside = [F.col(f"place_{x}") < F.col(f"size_{x}") - least + length for x in "ab"]
+    """Whether a shared shingle of a and b stands in the shortest prefixes of the pair, and their sizes allow a link."""
+    inside = [F.col(f"place_{x}") < _reach(x, percent, 1) for x in "ab"]
     return inside[0] & inside[1] & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
 
 
@@ -251,6 +255,7 @@ def _stars(rows: DataFrame, k: int, percent: int) -> DataFrame:
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that share as many shingles of their prefixes as the smaller l of the two.
 
+    They share one in the prefixes for l = 1 too, which are the shortest: that is what they are met by.
     Of each shingle, members outside its largest component are paired with the members of other components.
     """
     parts = rows.groupBy("name", "part").agg(F.count("*").alias("n"))
@@ -262,8 +267,15 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     two = rows.select("name", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "largest", *[F.col(c).alias(f"{c}_b") for c in columns])
     once = (F.col("part_b") == F.col("largest")) | (F.col("id_a") < F.col("id_b"))
     met = one.join(two, ["name", "salt"]).filter((F.col("part_a") != F.col("part_b")) & once & _fits(percent))
-    pairs = met.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l_b")).alias("l"))
-    return pairs.filter("shared >= l").select("a", "b")
+    length = F.least("l_a", "l_b")
+    pairs = met.select("id_a", "id_b", length.alias("l"), _reach("a", percent, length).alias("reach_a"), _reach("b", percent, length).alias("reach_b"))
+    pairs = materialize(pairs.groupBy("id_a", "id_b").agg(*[F.first(c).alias(c) for c in ("l", "reach_a", "reach_b")]), "join-candidates")
+    # one shared shingle in the shortest prefixes is sure to be there; the longer ones are looked through for l of them
+    held = {x: rows.select(F.col("id").alias(f"id_{x}"), "name", F.col("place").alias(f"place_{x}")) for x in "ab"}
+    more = pairs.filter("l > 1").join(held["a"], "id_a").filter("place_a < reach_a").join(held["b"], ["id_b", "name"]).filter("place_b < reach_b")
+    enough = more.groupBy("id_a", "id_b", "l").agg(F.count("*").alias("shared")).filter("shared >= l").select("id_a", "id_b")
+    found = pairs.filter("l = 1").select("id_a", "id_b").unionByName(enough)
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
