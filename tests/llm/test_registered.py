@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from quire.llm import html_density, matroska, pii, queries
+from tests.llm import test_block_max, test_jaccard_join, test_rolling_users
 from tests.llm.test_dedup import components, covered
 from tests.llm.test_text_ops import plain_spans, tokenizer
 
@@ -17,6 +18,10 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.s
 PII = ["write to a.b@c9.example.org or call +1 (212) 555-0147", "token = \"0123456789abcdef0123456789abcdef01234567\" from 10.0.0.1", "card 4111 1111 1111 1111 and 4111 1111 1111 1112"]
 
 
+CLICKS = pa.schema([("click_id", pa.int64()), ("ts", pa.timestamp("us")), ("arrived_at", pa.timestamp("us")), ("client_id", pa.int64()), ("kind", pa.string()), ("value", pa.float64()), ("props", pa.string()), ("minute", pa.string()), ("chunk", pa.string())])
+CLICK_ROWS = [(i % 45, None if i % 11 == 0 else i * 7_000_000_000, None, None if i % 5 == 0 else i % 4, None if i % 13 == 0 else "view" if i % 3 else "buy", 1.0, "{}", "m", "c") for i in range(60)]
+
+
 @pytest.fixture(scope="module")
 def folder(rows, tmp_path_factory):
     """documents, pages and benchmark of one small table, and of an empty one."""
@@ -29,6 +34,8 @@ def folder(rows, tmp_path_factory):
         pq.write_table(pa.Table.from_pylist([dict(zip(SCHEMA.names, r)) for r in some[keep]], SCHEMA), out / name / "documents.parquet")
         pq.write_table(pa.table({"page_id": pa.array([p[0] for p in pages[keep]], pa.int64()), "url": pa.array([p[1] for p in pages[keep]], pa.string()), "html": pa.array([p[2] for p in pages[keep]], pa.string())}), out / name / "pages.parquet")
         pq.write_table(pa.table({"item_id": pa.array([1, 2][keep], pa.int64()), "text": pa.array(["Which river flows through the old town of Paris", None][keep], pa.string())}), out / name / "benchmark.parquet")
+        clicks = [dict(zip(CLICKS.names, c)) for c in CLICK_ROWS[keep]]
+        pq.write_table(pa.Table.from_pylist(clicks, CLICKS), out / name / "clicks.parquet")
     return out, every, pages
 
 
@@ -123,3 +130,20 @@ def test_op10(spark, folder):
     _, every, _ = folder
     want = components(every, 5, 0.8)
     assert Counter((r.doc_id, r.class_id) for r in run(spark, folder, "op10_minhash_near_dedup")) == Counter((i, want.get(i, i)) for i, _ in every)
+
+
+def test_op11(spark, folder):
+    _, every, _ = folder
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id) for r in run(spark, folder, "op11_jaccard_join"))
+    assert got == test_jaccard_join.brute(every)
+
+
+def test_op12(spark, folder):
+    rows = [(c, None if t is None else t // 60_000_000, k, u) for c, t, _, u, k, *_ in CLICK_ROWS]
+    assert Counter(map(tuple, run(spark, folder, "op12_rolling_users"))) == Counter(test_rolling_users.brute(rows, (5, 30, 10080), 3, 10080))
+
+
+def test_op13(spark, folder):
+    _, every, _ = folder
+    items = [(1, "Which river flows through the old town of Paris"), (2, None)]
+    assert Counter(map(tuple, run(spark, folder, "op13_block_max_search"))) == test_block_max.brute(every, items, 10)
