@@ -469,6 +469,15 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
 CHUNK = 400_000
 
 
+DIGITS = range(8, 16)  # of a phone, by pattern or by the field
+
+
+def _fits(text: str, span: tuple[str, int, int]) -> bool:
+    """Whether an added span may be what it is called: a phone has as many digits as the pattern asks for."""
+    kind, start, end = span
+    return kind != "phone" or sum(c.isdecimal() for c in text[start:end]) in DIGITS
+
+
 def find_batch(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """(pattern spans, added spans that touch none of them) of each text."""
     out, at = [], 0
@@ -482,13 +491,13 @@ def find_batch(texts: list[str], field: Field) -> list[tuple[list, list]]:
             added = field_spans(some, field)
         for text, more in zip(some, added, strict=True):
             base = pattern_spans(text)
-            out.append((base, [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]))
+            out.append((base, [s for s in more if _fits(text, s) and not any(s[1] < b and a < s[2] for _, a, b in base)]))
         at = end
     return out
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
-    """doc_id, base and added: arrays of (kind, start, end), by kind and start."""
+    """doc_id, base and added: arrays of (kind, start, end); base by kind and start, added in order of the text."""
     ship(docs.sparkSession)
     field = field or default_field()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -506,11 +515,13 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", field: Fie
 
 
 def op3_pii_crf(spark, sf_dir: str) -> DataFrame:
-    """The contract's digest of ``find`` over the whole of documents."""
+    """The contract's digest of ``find`` over the whole of documents; spans are base and added ones by kind (KINDS, then ADDED), then start."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
+    order = F.array(*[F.lit(k) for k in dict.fromkeys([*KINDS, *ADDED])])
+    ranked = F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(ranked)).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -15,7 +15,7 @@ from tests.llm.test_dedup import components, covered
 from tests.llm.test_text_ops import plain_spans, tokenizer
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("bucket", pa.string()), ("label", pa.string()), ("w", pa.string())])
-PII = ["write to a.b@c9.example.org or call +1 (212) 555-0147", "token = \"0123456789abcdef0123456789abcdef01234567\" from 10.0.0.1", "card 4111 1111 1111 1111 and 4111 1111 1111 1112"]
+PII = ["write to a.b@c9.example.org or call +1 (212) 555-0147", "token = \"0123456789abcdef0123456789abcdef01234567\" from 10.0.0.1", "card 4111 1111 1111 1111 and 4111 1111 1111 1112", "token = abcd1234abcd1234abcd1234abcd1234 my name is Ann Lee, call 212-555-0147 or phone: 212-555-0199 or +1 (212) 555-0147, card 4465758382889437"]
 
 
 CLICKS = pa.schema([("click_id", pa.int64()), ("ts", pa.timestamp("us")), ("arrived_at", pa.timestamp("us")), ("client_id", pa.int64()), ("kind", pa.string()), ("value", pa.float64()), ("props", pa.string()), ("minute", pa.string()), ("chunk", pa.string())])
@@ -79,8 +79,10 @@ def test_op3(spark, folder):
     assert got == want
     for r in run(spark, folder, "op3_pii_crf"):
         spans = [s.split(":") for s in r.spans.split(",")] if r.spans else []
-        base = r.n_email + r.n_ip + r.n_card + r.n_phone
-        assert r.n_spans == len(spans) >= base and all(k in pii.ADDED for k, _, _ in spans[base:])
+        order = list(dict.fromkeys([*pii.KINDS, *pii.ADDED]))
+        assert spans == sorted(spans, key=lambda x: (order.index(x[0]), int(x[1]))) and len(set(map(tuple, spans))) == len(spans) == r.n_spans
+        n = Counter(k for k, _, _ in spans)
+        assert (n["email"], n["ip"], n["card"]) == (r.n_email, r.n_ip, r.n_card) and n["phone"] >= r.n_phone and set(n) <= set(order)
     secret = [r for r in run(spark, folder, "op3_pii_crf") if r.doc_id == 31]
     assert len(secret) == 2 and all("secret:9:49" in r.spans for r in secret)
 
