@@ -9,7 +9,8 @@ from quire.operators import closure, dom
 from quire.plans.catalogue import _LINES, _LINKS, _UNESCAPE, _lines, _links, query, table
 from quire.runtime import materialize
 
-_SHOWN = _UNESCAPE.format("regexp_replace({0}, '<[^>]*>', '', 'g')")
+# some headings of these pages end in "&amp" without its semicolon, which HTML reads as the sign too
+_SHOWN = _UNESCAPE.format("regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&amp([^;]|$)', '&amp;\\1', 'g')")
 _CHARS = f"CAST(length(regexp_replace({_SHOWN}, '\\s', '', 'g')) AS BIGINT)"
 _COMMAS = f"CAST(length({_SHOWN}) - length(translate({_SHOWN}, ',、', '')) AS BIGINT)"
 
