@@ -23,6 +23,7 @@ exactly: every symbol carries the words that its forming looked at.
 from __future__ import annotations
 
 import functools
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -151,19 +152,18 @@ class _Bucket:
 
 def _keys(table: pa.Table, window: int, rounds: int, shards: int) -> pa.Table:
     b = _Bucket(table, window, rounds)
-    cut = shard_cuts(b.keys, shards)
-    on = [k for k in range(shards) if cut[k] < cut[k + 1]]
+    on, cut = shard_cuts(b.keys, shards)
     return pa.table({
         "shard": pa.array(on, pa.int32()),
         "bucket": pa.array([table["bucket"][0].as_py()] * len(on), pa.int32()),
-        "keys": pa.array([b.keys[cut[k] : cut[k + 1]].tobytes() for k in on], pa.binary()),
-        "here": pa.array([bits(b.shared_here[cut[k] : cut[k + 1]]) for k in on], pa.binary()),
+        "keys": pa.array([b.keys[i:j].tobytes() for i, j in pairwise(cut)], pa.binary()),
+        "here": pa.array([bits(b.shared_here[i:j]) for i, j in pairwise(cut)], pa.binary()),
     })
 
 
 def _with_candidates(docs: pa.Table, answers: pa.Table, window: int, rounds: int, shards: int) -> _Bucket:
     b = _Bucket(docs, window, rounds)
-    b.candidates(replies(answers, 0, shard_cuts(b.keys, shards)))
+    b.candidates(replies(answers, 0, *shard_cuts(b.keys, shards)))
     return b
 
 
@@ -171,14 +171,13 @@ def _windows(docs: pa.Table, answers: pa.Table, window: int, rounds: int, shards
     if not len(docs):
         return pa.table({"shard": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
     b = _with_candidates(docs, answers, window, rounds, shards)
-    cut = shard_cuts(b.name_a, shards)
-    on = [k for k in range(shards) if cut[k] < cut[k + 1]]
+    on, cut = shard_cuts(b.name_a, shards)
     return pa.table({
         "shard": pa.array(on, pa.int32()),
         "bucket": pa.array([docs["bucket"][0].as_py()] * len(on), pa.int32()),
-        "a": pa.array([b.name_a[cut[k] : cut[k + 1]].tobytes() for k in on], pa.binary()),
-        "b": pa.array([b.name_b[cut[k] : cut[k + 1]].tobytes() for k in on], pa.binary()),
-        "ids": pa.array([pack(b.entry_id[cut[k] : cut[k + 1]]) for k in on], pa.binary()),
+        "a": pa.array([b.name_a[i:j].tobytes() for i, j in pairwise(cut)], pa.binary()),
+        "b": pa.array([b.name_b[i:j].tobytes() for i, j in pairwise(cut)], pa.binary()),
+        "ids": pa.array([pack(b.entry_id[i:j]) for i, j in pairwise(cut)], pa.binary()),
     })
 
 
@@ -212,7 +211,7 @@ def _cover(docs: pa.Table, answers: pa.Table, window: int, rounds: int, shards:
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "spans": pa.array([], SPAN), "kept": pa.array([], pa.binary())})
     b = _with_candidates(docs, answers, window, rounds, shards)
     w = b.words
-    flag = replies(answers, 1, shard_cuts(b.name_a, shards))[b.entry] if len(b.at) else np.zeros(0, bool)
+    flag = replies(answers, 1, *shard_cuts(b.name_a, shards))[b.entry] if len(b.at) else np.zeros(0, bool)
     if len(b.at):
         flag |= (b.ids[w.doc[b.at]] > b.entry_id[b.entry]) | b.again
     n = len(w.start)

@@ -21,6 +21,7 @@ Both exchanges hold packed arrays; the exchange of texts is made once and read t
 from __future__ import annotations
 
 import functools
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -130,14 +131,13 @@ class _Bucket:
 
 def _grams(table: pa.Table, length: int, gram: int, shards: int) -> pa.Table:
     b = _Bucket(table, length, gram)
-    cut = shard_cuts(b.grams, shards)
-    on = [k for k in range(shards) if cut[k] < cut[k + 1]]
+    on, cut = shard_cuts(b.grams, shards)
     bucket = table["bucket"][0].as_py() if len(table) else 0
     return pa.table({
         "shard": pa.array(on, pa.int32()),
         "bucket": pa.array([bucket] * len(on), pa.int32()),
-        "keys": pa.array([b.grams[cut[k] : cut[k + 1]].tobytes() for k in on], pa.binary()),
-        "here": pa.array([bits(b.shared_here[cut[k] : cut[k + 1]]) for k in on], pa.binary()),
+        "keys": pa.array([b.grams[i:j].tobytes() for i, j in pairwise(cut)], pa.binary()),
+        "here": pa.array([bits(b.shared_here[i:j]) for i, j in pairwise(cut)], pa.binary()),
     })
 
 
@@ -166,11 +166,12 @@ def shared_keys(table: pa.Table) -> pa.Table:
 REPLY = "bucket int, shard int, stage int, bits binary"
 
 
-def replies(table: pa.Table, stage: int, cut: np.ndarray) -> np.ndarray:
+def replies(table: pa.Table, stage: int, on: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """The shards' bits of one stage, in the order of the keys that were sent."""
     out = np.zeros(int(cut[-1]), bool)
     t = table.to_pydict() if len(table) else {"shard": [], "stage": [], "bits": []}
-    for k, at, b in zip(t["shard"], t["stage"], t["bits"], strict=True):
+    place = np.searchsorted(on, t["shard"])
+    for k, at, b in zip(place, t["stage"], t["bits"], strict=True):
         if at == stage:
             out[cut[k] : cut[k + 1]] = unbits(b, int(cut[k + 1] - cut[k]))
     return out
@@ -178,15 +179,10 @@ def replies(table: pa.Table, stage: int, cut: np.ndarray) -> np.ndarray:
 
 def _with_candidates(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards: int) -> _Bucket:
     b = _Bucket(docs, length, gram)
-    b.candidates(replies(answers, 0, shard_cuts(b.grams, shards)))
+    b.candidates(replies(answers, 0, *shard_cuts(b.grams, shards)))
     return b
 
 
-def _entry_cuts(b: _Bucket, shards: int) -> np.ndarray:
-    """Where each part of each shard begins."""
-    return shard_cuts(b.entry_gram, shards * PARTS)
-
-
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0], first[0]+1, ... size[0] numbers, then the next."""
     before = np.cumsum(size) - size
@@ -197,48 +193,41 @@ def _entries(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards:
     if not len(docs):
         return pa.table({"shard": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary()), "size": pa.array([], pa.binary()), "ids": pa.array([], pa.binary()), "parts": pa.array([], pa.binary())})
     b = _with_candidates(docs, answers, length, gram, shards)
-    fine = _entry_cuts(b, shards)
-    cut = fine[::PARTS]
-    on = [k for k in range(shards) if cut[k] < cut[k + 1]]
+    on, cut = shard_cuts(b.entry_gram, shards)
     size = b.strings + length - 1
-    data = [pack(b.data[_ranges(b.first[b.head[cut[k] : cut[k + 1]]], size[cut[k] : cut[k + 1]])]) for k in on]
+    part = (mix(b.entry_gram) % U(PARTS)).astype(np.uint8)
     return pa.table({
         "shard": pa.array(on, pa.int32()),
         "bucket": pa.array([docs["bucket"][0].as_py()] * len(on), pa.int32()),
-        "data": pa.array(data, pa.binary()),
-        "size": pa.array([pack(size[cut[k] : cut[k + 1]].astype(np.int32)) for k in on], pa.binary()),
-        "ids": pa.array([pack(b.entry_id[cut[k] : cut[k + 1]]) for k in on], pa.binary()),
-        "parts": pa.array([(fine[k * PARTS : (k + 1) * PARTS + 1] - cut[k]).astype(np.int32).tobytes() for k in on], pa.binary()),
+        "data": pa.array([pack(b.data[_ranges(b.first[b.head[i:j]], size[i:j])]) for i, j in pairwise(cut)], pa.binary()),
+        "size": pa.array([pack(size[i:j].astype(np.int32)) for i, j in pairwise(cut)], pa.binary()),
+        "ids": pa.array([pack(b.entry_id[i:j]) for i, j in pairwise(cut)], pa.binary()),
+        "parts": pa.array([pack(part[i:j]) for i, j in pairwise(cut)], pa.binary()),
     })
 
 
 def _suffixes(table: pa.Table, length: int) -> pa.Table:
     """One shard: sort the suffixes of its distinct runs; answer which strings an earlier document has."""
-    sizes = [unpack(x, np.int32).astype(np.int64) for x in table["size"].to_pylist()]
-    ids = [unpack(x, np.int64) for x in table["ids"].to_pylist()]
-    data = [unpack(x, np.uint8) for x in table["data"].to_pylist()]
-    parts = [np.frombuffer(x, np.int32) for x in table["parts"].to_pylist()]
-    ends = [np.concatenate([[0], np.cumsum(x)]) for x in sizes]
-    answers: list[list[np.ndarray]] = [[] for _ in sizes]
-    for k in range(PARTS):
-        on = [j for j, p in enumerate(parts) if p[k] < p[k + 1]]
-        if not on:
-            continue
-        size = [sizes[j][parts[j][k] : parts[j][k + 1]] for j in on]
-        found = _earlier(
-            np.concatenate([data[j][ends[j][parts[j][k]] : ends[j][parts[j][k + 1]]] for j in on]),
-            np.concatenate(size),
-            np.concatenate([ids[j][parts[j][k] : parts[j][k + 1]] for j in on]),
-            length,
-        )
-        cut = np.cumsum([0, *[int((x - length + 1).sum()) for x in size]])
-        for j, a, b in zip(on, cut[:-1], cut[1:], strict=True):
-            answers[j].append(found[a:b])
+    def column(name, dtype):
+        return [unpack(x.as_py(), dtype) for x in table[name]]
+
+    sizes = column("size", np.int32)
+    rows = np.cumsum([0, *[len(x) for x in sizes]])
+    size = np.concatenate(sizes).astype(np.int64)
+    ids, part, data = (np.concatenate(column(*x)) for x in (("ids", np.int64), ("parts", np.uint8), ("data", np.uint8)))
+    begin = np.cumsum(size) - size
+    before = np.concatenate([[0], np.cumsum(size - length + 1)])  # strings of earlier runs
+    found = np.empty(int(before[-1]), bool)
+    order = np.argsort(part, kind="stable")
+    for i, j in pairwise(np.searchsorted(part[order], np.arange(PARTS + 1))):
+        if i < j:
+            on = order[i:j]
+            found[_ranges(before[on], size[on] - length + 1)] = _earlier(data[_ranges(begin[on], size[on])], size[on], ids[on], length)
     return pa.table({
         "bucket": table["bucket"].cast(pa.int32()),
         "shard": table["shard"].cast(pa.int32()),
         "stage": pa.array([1] * len(sizes), pa.int32()),
-        "bits": pa.array([bits(np.concatenate(x)) for x in answers], pa.binary()),
+        "bits": pa.array([bits(found[i:j]) for i, j in pairwise(before[rows])], pa.binary()),
     })
 
 
@@ -295,9 +284,9 @@ def _cover(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards: in
     if not len(docs):
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], SPAN), "kept": pa.array([], pa.binary())})
     b = _with_candidates(docs, answers, length, gram, shards)
-    cut = _entry_cuts(b, shards)[::PARTS]
+    on, cut = shard_cuts(b.entry_gram, shards)
     before = np.concatenate([[0], np.cumsum(b.strings)])
-    earlier = replies(answers, 1, before[cut])
+    earlier = replies(answers, 1, on, before[cut])
     strings = b.strings[b.entry]
     flag = earlier[_ranges(before[:-1][b.entry], strings)]
     flag |= np.repeat(b.ids[b.doc[b.run]] > b.entry_id[b.entry], strings)

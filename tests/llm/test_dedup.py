@@ -78,8 +78,22 @@ def test_no_shard_gets_over_twice_the_mean():
 
     table = pa.table({"doc_id": list(range(40)), "text": [words(1500, 7000 + i) for i in range(40)]})
     with np.errstate(over="ignore"):
-        cut = np.diff(shard_cuts(_Bucket(table, 50, 20).grams, 64))
-    assert cut.min() > 0 and cut.max() < 2 * cut.mean()
+        on, cut = shard_cuts(_Bucket(table, 50, 20).grams, 64)
+    assert list(on) == list(range(64)) and np.diff(cut).max() < 2 * np.diff(cut).mean()
+
+
+def test_cuts_cost_what_the_keys_do():
+    from quire.llm.blobs import U, shard_cuts
+
+    keys = np.sort(np.random.default_rng(5).integers(0, 1 << 64, 500, dtype=np.uint64, endpoint=False))
+    keys = np.concatenate([np.zeros(2, U), keys, np.full(1, (1 << 64) - 1, U)])
+    for n in (1, 2, 64, 1000, 10**9, 1 << 31):
+        on, cut = shard_cuts(keys, n)
+        assert len(on) <= len(keys) and len(cut) == len(on) + 1 and (np.diff(cut) > 0).all() and cut[-1] == len(keys)
+        step = ((1 << 64) - 1) // n
+        want = [min(int(k) // step, n - 1) for k in keys]
+        assert want == [int(s) for s, i, j in zip(on, cut[:-1], cut[1:]) for _ in range(j - i)]
+    assert [len(x) for x in shard_cuts(keys[:0], 1 << 31)] == [0, 1]
 
 
 def test_long_runs_of_one_byte_are_placed_at_once():
