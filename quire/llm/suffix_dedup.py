@@ -9,8 +9,11 @@ Plan.  Each string belongs to the smallest hash of the ``gram``-byte grams in it
 strings with one such gram form a *run*; equal strings have equal grams, so runs can be dealt
 to shards by gram and no repeat is split between shards.
 
-1. buckets send the distinct grams of their runs, shards answer which occur in two documents;
-2. buckets send the distinct runs of those grams, as bytes, with their smallest doc_id; a shard
+1. buckets send the distinct grams of their runs, how many different runs each has and a hash of
+   these; shards answer which occur in two documents, and which are *hot*: of more than ``hot`` runs;
+2. buckets send the distinct runs of the shared grams, as bytes, with their smallest doc_id.  A phrase of fewer
+   than ``length`` bytes may stand in any number of documents, each time in another run: runs of hot grams are cut into
+   their strings, each dealt by its own hash, so that no gram fills a shard.  A shard
    concatenates its runs, sorts their suffixes by induced sorting (``sais``), takes permuted
    common prefixes, and answers for each string whether an earlier document has it;
 3. buckets turn the answers into covered bytes.
@@ -34,6 +37,7 @@ from quire.llm.words import spans
 from quire.runtime import ship
 
 LENGTH, GRAM = 50, 20
+HOT = 1024  # runs of one gram that may meet in a shard
 PARTS = 32  # a shard's runs are sorted in so many parts, by gram, one after the other
 LEAST_ID = -(1 << 63)
 DEAL = 0x94D049BB133111EB
@@ -111,20 +115,44 @@ class _Bucket:
         np.maximum.at(high, self.which, ids)
         self.shared_here = low < high
 
-    def candidates(self, shared: np.ndarray) -> None:
-        """Keep the runs of shared grams; name equal runs.  run, entry (by gram), entries' first run and least doc_id."""
-        self.run = np.flatnonzero(shared[self.which]) if len(self.which) else np.zeros(0, np.int64)
-        a, b, which = self.first[self.run], self.last[self.run] + self.length - 1, self.which[self.run]
-        sums = [spans(self.data, a, b, seed, base) for seed, base in ((3, 0xD6E8FEB86659FD93), (5, 0xCA5A826395121157))]
-        order = np.lexsort((self.run, sums[1], sums[0], b - a, which))
+    def variety(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each gram how many different runs it has here, and 16 bits that stand for the set of these."""
+        name = spans(self.data, self.first, self.last + self.length - 1, 13, 0xA0761D6478BD642F)
+        order = np.lexsort((name, self.which))
+        name, gram = name[order], self.which[order]
         new = np.ones(len(order), bool)
-        if len(order):
-            key = [x[order] for x in (which, b - a, *sums)]
-            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
+        new[1:] = (name[1:] != name[:-1]) | (gram[1:] != gram[:-1])
+        name, gram = name[new], gram[new]
+        if not len(gram):
+            return np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+        total = np.add.reduceat(name, np.flatnonzero(np.diff(gram, prepend=-1)))
+        return np.bincount(gram).astype(np.uint32), (mix(total) >> U(48)).astype(np.uint16)
+
+    def candidates(self, shared: np.ndarray, hot: np.ndarray) -> None:
+        """Keep the runs of shared grams, those of hot ones as single strings; name equal runs.
+
+        Sets run, key and entry (by key), and the entries' first run and least doc_id.
+        """
+        shared, hot = (x[self.which] if len(self.which) else np.zeros(0, bool) for x in (shared, shared & hot))
+        own, cut = np.flatnonzero(shared & ~hot), np.flatnonzero(hot)
+        strings = self.last[cut] - self.first[cut]
+        single = _ranges(self.first[cut], strings)
+        key = mix(spans(self.data, single, single + self.length, 15, 0xE7037ED1A0B428DB))
+        key = np.concatenate([self.grams[self.which[own]] if len(own) else np.zeros(0, U), key])
+        self.doc = np.concatenate([self.doc[own], np.repeat(self.doc[cut], strings)])
+        self.first, self.last = np.concatenate([self.first[own], single]), np.concatenate([self.last[own], single + 1])
+        self.run = np.arange(len(key))
+        size = self.last - self.first + self.length - 1
+        sums = []
+        for seed, base in ((3, 0xD6E8FEB86659FD93), (5, 0xCA5A826395121157)):
+            sums.append(np.concatenate([spans(self.data, self.first[i], self.first[i] + size[i], seed, base) for i in (slice(len(own)), slice(len(own), None))]))
+        order = np.lexsort((self.run, sums[1], sums[0], size, key))
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in (key, size, *sums)])
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.head = self.run[order[new]]  # runs come by doc_id, so the first of equal ones has the least
-        self.entry_gram = self.grams[self.which[self.head]] if len(order) else np.zeros(0, U)
+        self.entry_key = key[self.head]
         self.entry_id = self.ids[self.doc[self.head]] if len(order) else np.zeros(0, np.int64)
         self.strings = self.last[self.head] - self.first[self.head]
 
@@ -132,12 +160,15 @@ class _Bucket:
 def _grams(table: pa.Table, length: int, gram: int, shards: int) -> pa.Table:
     b = _Bucket(table, length, gram)
     on, cut = shard_cuts(b.grams, shards)
+    runs, sets = b.variety()
     bucket = table["bucket"][0].as_py() if len(table) else 0
     return pa.table({
         "shard": pa.array(on, pa.int32()),
         "bucket": pa.array([bucket] * len(on), pa.int32()),
         "keys": pa.array([b.grams[i:j].tobytes() for i, j in pairwise(cut)], pa.binary()),
         "here": pa.array([bits(b.shared_here[i:j]) for i, j in pairwise(cut)], pa.binary()),
+        "runs": pa.array([pack(runs[i:j]) for i, j in pairwise(cut)], pa.binary()),
+        "sets": pa.array([sets[i:j].tobytes() for i, j in pairwise(cut)], pa.binary()),
     })
 
 
@@ -163,6 +194,33 @@ def shared_keys(table: pa.Table) -> pa.Table:
     })
 
 
+def _gram_answers(table: pa.Table, hot: int) -> pa.Table:
+    """One shard: which grams two documents have, and (stage 2) which have more than ``hot`` different runs.
+
+    Buckets with the same set of runs count once: a passage of many documents has the same few runs everywhere.
+    """
+    every = np.concatenate([np.frombuffer(x.as_py(), U) for x in table["keys"]])
+    runs = np.concatenate([unpack(x.as_py(), np.uint32) for x in table["runs"]]).astype(np.int64)
+    sets = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table["sets"]])
+    order = np.lexsort((sets, every))
+    gram = np.diff(every[order], prepend=every[order[:1]] ^ U(1)) != 0
+    new = gram.copy()
+    new[1:] |= sets[order][1:] != sets[order][:-1]
+    # the runs of a gram: a sum over its different sets
+    total = np.add.reduceat(np.where(new, runs[order], 0), np.flatnonzero(gram))
+    much = np.empty(len(every), bool)
+    much[order] = (total > hot)[np.cumsum(gram) - 1]
+    cut = np.cumsum([0, *[len(x.as_py()) // 8 for x in table["keys"]]])
+    some = [k for k, (i, j) in enumerate(pairwise(cut)) if much[i:j].any()]
+    said = pa.table({
+        "bucket": table["bucket"].cast(pa.int32()).take(pa.array(some, pa.int64())),
+        "shard": table["shard"].cast(pa.int32()).take(pa.array(some, pa.int64())),
+        "stage": pa.array([2] * len(some), pa.int32()),
+        "bits": pa.array([bits(much[cut[k] : cut[k + 1]]) for k in some], pa.binary()),
+    })
+    return pa.concat_tables([shared_keys(table), said])
+
+
 REPLY = "bucket int, shard int, stage int, bits binary"
 
 
@@ -179,7 +237,8 @@ def replies(table: pa.Table, stage: int, on: np.ndarray, cut: np.ndarray) -> np.
 
 def _with_candidates(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards: int) -> _Bucket:
     b = _Bucket(docs, length, gram)
-    b.candidates(replies(answers, 0, *shard_cuts(b.grams, shards)))
+    cuts = shard_cuts(b.grams, shards)
+    b.candidates(replies(answers, 0, *cuts), replies(answers, 2, *cuts))
     return b
 
 
@@ -193,9 +252,9 @@ def _entries(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards:
     if not len(docs):
         return pa.table({"shard": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary()), "size": pa.array([], pa.binary()), "ids": pa.array([], pa.binary()), "parts": pa.array([], pa.binary())})
     b = _with_candidates(docs, answers, length, gram, shards)
-    on, cut = shard_cuts(b.entry_gram, shards)
+    on, cut = shard_cuts(b.entry_key, shards)
     size = b.strings + length - 1
-    part = (mix(b.entry_gram) % U(PARTS)).astype(np.uint8)
+    part = (mix(b.entry_key) % U(PARTS)).astype(np.uint8)
     return pa.table({
         "shard": pa.array(on, pa.int32()),
         "bucket": pa.array([docs["bucket"][0].as_py()] * len(on), pa.int32()),
@@ -284,7 +343,7 @@ def _cover(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards: in
     if not len(docs):
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], SPAN), "kept": pa.array([], pa.binary())})
     b = _with_candidates(docs, answers, length, gram, shards)
-    on, cut = shard_cuts(b.entry_gram, shards)
+    on, cut = shard_cuts(b.entry_key, shards)
     before = np.concatenate([[0], np.cumsum(b.strings)])
     earlier = replies(answers, 1, on, before[cut])
     strings = b.strings[b.entry]
@@ -306,10 +365,11 @@ def _cover(docs: pa.Table, answers: pa.Table, length: int, gram: int, shards: in
     })
 
 
-def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (removed byte ranges) and kept (remaining bytes).
 
     Null text: empty.  An empty table gives an empty table.  Other columns are not read.
+    ``hot`` bounds the runs of one gram in a shard; it moves work and changes no result.
     """
     if not 8 <= gram < length:
         raise ValueError("gram must be at least 8 and smaller than length")
@@ -317,8 +377,8 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n, shards = deal(docs, text)
     own = bucketed(docs, n, doc_id, text)
     f = functools.partial
-    one = own.groupBy("bucket").applyInArrow(_wrap(f(_grams, length=length, gram=gram, shards=shards)), "shard int, bucket int, keys binary, here binary")
-    first = one.groupBy("shard").applyInArrow(_wrap(shared_keys), REPLY)
+    one = own.groupBy("bucket").applyInArrow(_wrap(f(_grams, length=length, gram=gram, shards=shards)), "shard int, bucket int, keys binary, here binary, runs binary, sets binary")
+    first = one.groupBy("shard").applyInArrow(_wrap(f(_gram_answers, hot=hot)), REPLY)
     two = own.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(_wrap2(f(_entries, length=length, gram=gram, shards=shards)), "shard int, bucket int, data binary, size binary, ids binary, parts binary")
     second = two.groupBy("shard").applyInArrow(_wrap(f(_suffixes, length=length)), REPLY)
     return own.groupBy("bucket").cogroup(first.unionByName(second).groupBy("bucket")).applyInArrow(_wrap2(f(_cover, length=length, gram=gram, shards=shards)), OUT)

@@ -58,9 +58,9 @@ def test_permuted_common_prefixes():
         assert same[b] == (data[a : a + 9] == data[b : b + 9])
 
 
-@pytest.mark.parametrize("length,gram", [(50, 20), (12, 8)])
-def test_suffix_dedup(docs, rows, length, gram):
-    got = Counter((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in dedup_suffixes(docs, length=length, gram=gram).collect())
+@pytest.mark.parametrize("length,gram,hot", [(50, 20, 1024), (50, 20, 1), (12, 8, 2)])
+def test_suffix_dedup(docs, rows, length, gram, hot):
+    got = Counter((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in dedup_suffixes(docs, length=length, gram=gram, hot=hot).collect())
     data = [(t or "").encode() for _, t in rows]
     want = Counter()
     for (i, _), b, c in zip(rows, data, covered(data, [i for i, _ in rows], length, False)):
@@ -82,6 +82,65 @@ def test_no_shard_gets_over_twice_the_mean():
     assert list(on) == list(range(64)) and np.diff(cut).max() < 2 * np.diff(cut).mean()
 
 
+def test_a_short_phrase_of_a_third_of_all_documents_fills_no_shard():
+    """The stages called one after the other: bytes that each shard gets, and the result against brute force."""
+    import pyarrow as pa
+
+    from quire.llm import suffix_dedup as s
+
+    r, phrase, shards = random.Random(8), "Licensed under the Apache License, Version 2.0.", 64
+    line = ["".join(r.choice("abcdefghij ") for _ in range(25)) for _ in range(12000)]
+    passage = "".join(r.choice("klmnop ") for _ in range(400))  # with the same runs everywhere
+    texts = []
+    for i in range(20000):
+        mid = phrase if i % 3 == 0 else passage if i % 50 == 1 else ""
+        texts.append(r.choice(line) + r.choice(line) + mid + r.choice(line) + r.choice(line))
+    texts[9000:9040] = texts[:40]  # copies
+    tables = [pa.table({"bucket": [b] * len(texts[b::64]), "doc_id": list(range(b, 20000, 64)), "text": texts[b::64]}) for b in range(64)]
+
+    def exchange(rows, key):
+        every = pa.concat_tables(rows)
+        return [every.filter(pa.compute.equal(every[key], k)) for k in pa.compute.unique(every[key]).to_pylist()]
+
+    with np.errstate(over="ignore"):
+        one = exchange([s._grams(t, 50, 20, shards) for t in tables], "shard")
+        first = exchange([s._gram_answers(t, s.HOT) for t in one], "bucket")
+        first = {t["bucket"][0].as_py(): t for t in first}
+        two = exchange([s._entries(t, first[b], 50, 20, shards) for b, t in enumerate(tables)], "shard")
+        second = {t["bucket"][0].as_py(): t for t in exchange([s._suffixes(t, 50) for t in two], "bucket")}
+        got = [s._cover(t, pa.concat_tables([first[b], second[b]]), 50, 20, shards) for b, t in enumerate(tables)]
+    sent = [sum(len(s.unpack(x.as_py(), np.uint8)) for x in t["data"]) for t in two]
+    assert len(sent) == shards and max(sent) < 4 * sum(sent) / shards
+    assert any(2 in t["stage"].to_pylist() for t in first.values())
+    kept = {i: bytes(k) for t in got for i, k in zip(t["doc_id"].to_pylist(), t["kept"].to_pylist())}
+    units = [t.encode() for t in texts]
+    want = covered(units, list(range(20000)), 50, False)
+    assert all(kept[i] == bytes(x for x, y in zip(u, c) if not y) for i, (u, c) in enumerate(zip(units, want)))
+
+
+def test_a_passage_of_all_buckets_is_not_hot():
+    import pyarrow as pa
+
+    from quire.llm import suffix_dedup as s
+    from tests.llm.conftest import words
+
+    passage, phrase = words(80, 71), words(7, 72)[:40]
+    with np.errstate(over="ignore"):
+        middle = set(s._Bucket(pa.table({"doc_id": [0], "text": [passage[60:-60]]}), 50, 20).grams.tolist())
+        for inner, hot in ((passage, False), (phrase, True)):
+            tables = [pa.table({"bucket": [b] * 2, "doc_id": [2 * b, 2 * b + 1], "text": [words(20, 3 * b) + inner + words(20, 3 * b + 1)] * 2}) for b in range(60)]
+            one = pa.concat_tables([s._grams(t, 50, 20, 1) for t in tables])
+            said = s._gram_answers(one, 20).to_pylist()
+            flags = {r["bucket"]: r["bits"] for r in said if r["stage"] == 2}
+            inside = set(s._Bucket(pa.table({"doc_id": [0], "text": [inner + "." * 50]}), 50, 20).grams.tolist())
+            found = set()
+            for r in one.to_pylist():
+                keys = np.frombuffer(r["keys"], np.uint64)
+                if r["bucket"] in flags:
+                    found |= set(keys[s.unbits(flags[r["bucket"]], len(keys))].tolist())
+            assert found & inside if hot else not found & middle
+
+
 def test_cuts_cost_what_the_keys_do():
     from quire.llm.blobs import U, shard_cuts
 
