@@ -5,6 +5,9 @@ White space is Python's: the Unicode class and U+001C to U+001F, but not U+200B.
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,3 +90,23 @@ def number_value(figure: Column) -> Column:
 def format_number(value: Column) -> Column:
     """At most two decimals, no zeros at the end."""
     return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", value.cast("double")), "0+$", ""), "\\.$", "")
+
+
+@functools.cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters that fold to one letter, and those that fold to several, by Unicode's full case folding."""
+    every = {chr(c): chr(c).casefold() for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000}
+    every = {a: b for a, b in every.items() if a != b}
+    return {a: b for a, b in every.items() if len(b) == 1}, {a: b for a, b in every.items() if len(b) > 1}
+
+
+def folded(text: Column) -> Column:
+    """Full case folding, as str.casefold: keys that compare and sort without regard to case.  Null stays null.
+
+    Letters that fold to several are looked up one by one, only in texts that hold some.
+    """
+    one, many = _folds()
+    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    whole = F.when(text.rlike("[" + "".join(many) + "]"), spelt).otherwise(text)
+    return F.translate(whole, "".join(one), "".join(one.values()))

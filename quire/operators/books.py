@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import escape_html, word_count
+from quire.functions.text import escape_html, folded, word_count
 
 
 def stats(chapters: DataFrame, book: str, numbered: Column, html: str) -> DataFrame:
@@ -61,9 +61,8 @@ def distinct_assets(assets: DataFrame, book: str, name: str, pos: str) -> DataFr
 
 
 def references(citations: DataFrame, book: str, text: Column, tie: str) -> DataFrame:
-    """place of each entry in its book's list, by its text without regard to case; a sharp s counts as two."""
-    folded = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
-    return citations.withColumn("place", F.row_number().over(Window.partitionBy(book).orderBy(folded, tie)).cast("long"))
+    """place of each entry in its book's list, by its text without regard to case: full case folding."""
+    return citations.withColumn("place", F.row_number().over(Window.partitionBy(book).orderBy(folded(text), tie)).cast("long"))
 
 
 def inline_assets(chapters: DataFrame, assets: DataFrame, key: list[str], html: str = "html") -> DataFrame:

@@ -23,6 +23,24 @@ def test_white_space(spark, raw, want):
     assert one(spark, text.normalize_ws(F.col("a")), a=raw) == want == tree.fold(raw)
 
 
+def test_every_letter_that_folds(spark):
+    import sys
+
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    rows = [(c,) for c in letters if c.casefold() != c] + [(a + c + "𐐀z",) for a in "aßİ" for c in ("Σ", "ﬃ", "ᾳ", "q", "")] + [("",), (None,)]
+    got = spark.createDataFrame(rows, "a string").select("a", text.folded(F.col("a")).alias("f")).collect()
+    assert len(got) > 1500 and [r.f for r in got] == [None if a is None else a.casefold() for (a,) in rows]
+
+
+def test_references_are_sorted_by_full_case_folding(spark):
+    names = ["straße", "Strasse", "STRAßEN", "ﬁn", "Fin", "fim", "ΣΑΣ", "σας", "Σασ a", "İz", "iz", "Ῥώ", "ꭰ", "Ꭰ", "𐐀b", "𐐨a"]
+    rows = [(b, i, n) for b in ("x", "y") for i, n in enumerate(names)]
+    out = books.references(spark.createDataFrame(rows, "book string, tie int, n string"), "book", F.col("n"), "tie").collect()
+    want = sorted(range(len(names)), key=lambda i: (names[i].casefold(), i))
+    for b in ("x", "y"):
+        assert [r.tie for r in sorted((r for r in out if r.book == b), key=lambda r: r.place)] == want
+
+
 @pytest.mark.parametrize("raw,want", [("my-first_post 2", "My First Post 2"), ("iPhone--tips", "IPhone Tips"), ("__", "")])
 def test_prettify(spark, raw, want):
     assert one(spark, text.prettify(F.col("a")), a=raw) == want
