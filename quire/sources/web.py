@@ -154,7 +154,7 @@ class WebSource(DataSource):
 
 def fetch(pages: DataFrame, url: str = "url", **options) -> DataFrame:
     """The rows of quire_web for a table of addresses: each address once, all of a host in one task, so that the limit by host holds."""
-    from quire.functions.url import host_key
+    from quire.functions.url import site_key
     from quire.runtime import ship
 
     ship(pages.sparkSession)
@@ -169,5 +169,5 @@ def fetch(pages: DataFrame, url: str = "url", **options) -> DataFrame:
             for at in range(0, len(urls), per_host * 4):  # bodies of a few pages at a time
                 yield pa.RecordBatch.from_pylist(list(fetcher.rows(urls[at : at + per_host * 4], per_host)), kinds)
 
-    dealt = pages.select(F.col(url).alias("url")).distinct().repartition(F.coalesce(host_key(F.col("url")), F.lit("")))
+    dealt = pages.select(F.col(url).alias("url")).distinct().repartition(F.coalesce(site_key(F.col("url")), F.lit("")))
     return dealt.sortWithinPartitions("url").mapInArrow(run, SCHEMA)

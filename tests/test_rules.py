@@ -62,6 +62,26 @@ def test_host(spark, raw, want):
     assert one(spark, url.host_key(F.col("a")), a=raw) == want
 
 
+def test_international_hosts(spark):
+    import random
+
+    hosts = ["bücher.example", "münchen.de", "straße.de", "例え.テスト", "пример.рф", "παράδειγμα.gr", "a.b", "", "x--ü.ö-ä.org", "ü", "ü.", "ü..x", "ñ" * 70 + ".es", "mañana.com", "𐐨a.org", "日本語。jp", "ümlaut.xn--bcher-kva.de", "üüüüü.ü", "אבג.קום", "مثال.إختبار"]
+    r = random.Random(9)
+    hosts += ["".join(r.choice("abz09äöüéñçшж中文字日ア한") for _ in range(r.randint(1, 30))) + ".org" for _ in range(300)]
+    want = []
+    for h in hosts:
+        try:
+            want.append(h.encode("idna").decode())
+        except UnicodeError:
+            want.append(h)
+    rows = [(f"https://u:p@www.{h.upper() if i % 3 == 0 and h.upper().lower() == h else h}:80/a?b", h) for i, h in enumerate(hosts)]
+    got = [r.k for r in spark.createDataFrame(rows, "u string, h string").select(url.site_key(F.col("u")).alias("k")).collect()]
+    wrong = [(h, g, w) for h, g, w in zip(hosts, got, want) if g != w]
+    assert not wrong
+    back = [(h, g) for h, g in zip(hosts, got) if g != h and g.startswith("xn--") and h.count(".") == 1]
+    assert len(back) > 200 and all(g.encode().decode("idna") == h.casefold().replace("。", ".") for h, g in back)
+
+
 def test_item_key(spark):
     key = lambda u: one(spark, url.item_key(F.col("a")), a=u)
     assert key("https://E.org/a/?utm_source=x&p=1&ref=2") == key("http://e.org/a?p=1") != key("http://e.org/a?p=2")
