@@ -331,46 +331,53 @@ class Field:
 
 
 def train(table: list[tuple[str, list[int]]], rounds: int = 120, rate: float = 0.15, l2: float = 0.0005) -> Field:
-    """Maximum likelihood with a ridge, by Adam on the whole table."""
+    """Maximum likelihood with a ridge, by Adam on the whole table.
+
+    Words with equal codes share their features, so scores and gradients are taken once for each code of the table; the
+    passes through the sentences multiply probabilities, scaled to a sum of one at each word.
+    """
     w = Words([s.encode() for s, _ in table])
     y = np.concatenate([x for _, x in table])
-    codes, size, k, n = shapes(w), w.count, len(LABELS), len(table)
+    kinds, which = np.unique(shapes(w), return_inverse=True)
+    by, none, size, k, n = unfold(kinds), len(kinds), w.count, len(LABELS), len(table)
     longest = int(size.max())
     here = np.arange(longest)[None, :] < size[:, None]
-    x = np.zeros((n, longest, N_FEATURES))
-    x[here] = unfold(codes)
-    gold = np.zeros((n, longest), np.int64)
-    gold[here] = y
-    before, after = np.zeros_like(x), np.zeros_like(x)
-    before[:, 1:], after[:, :-1] = x[:, :-1], x[:, 1:]
-    full = np.concatenate([before, x, after], 2)
-    one = np.eye(k)[gold] * here[..., None]
-    want_e = np.einsum("ntf,ntk->fk", full, one)
+    code, gold = np.full((n, longest + 2), none), np.zeros((n, longest), np.int64)  # a word without features on both sides
+    code[:, 1:-1][here], gold[here] = which, y
+    around = [code[:, i : i + longest] for i in range(3)]  # previous, this and next word
+    flat = [x[here] for x in around]
+
+    def by_code(values: np.ndarray) -> np.ndarray:
+        """(3 * features, labels): values of words, summed over each feature of the word before, the word and the word after."""
+        sums = [np.stack([np.bincount(at, values[:, j], none + 1)[:none] for j in range(k)], 1) for at in flat]
+        return np.concatenate([by.T @ x for x in sums])
+
+    want_e = by_code(np.eye(k)[y])
     both = here[:, 1:]
-    want_m = np.einsum("ntj,ntk->jk", one[:, :-1] * both[..., None], one[:, 1:])
+    want_m = np.bincount((gold[:, :-1] * k + gold[:, 1:])[both], minlength=k * k).reshape(k, k).astype(float)
     p = [np.zeros((3 * N_FEATURES, k)), np.zeros((k, k))]
     m1, m2 = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for step in range(1, rounds + 1):
-        e = full @ p[0]
+        parts = [np.vstack([by @ x, np.zeros((1, k))]) for x in p[0].reshape(3, N_FEATURES, k)]
+        e = sum(part[at] for part, at in zip(parts, around, strict=True))
         e[:, 0] += NO_START
-        moves = p[1] + FORBIDDEN
+        e = np.exp(e - e.max(2, keepdims=True))
+        moves = np.exp(p[1] + FORBIDDEN - p[1].max())
         a = np.zeros((n, longest, k))
-        a[:, 0] = e[:, 0]
+        a[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
         for t in range(1, longest):
-            z = a[:, t - 1, :, None] + moves
-            top = z.max(1)
-            a[:, t] = np.where(here[:, t, None], e[:, t] + top + np.log(np.exp(z - top[:, None]).sum(1)), a[:, t - 1])
-        total = a[:, -1].max(1)
-        total = total + np.log(np.exp(a[:, -1] - total[:, None]).sum(1))
-        b = np.zeros((n, longest, k))
+            z = (a[:, t - 1] @ moves) * e[:, t]
+            a[:, t] = np.where(here[:, t, None], z / np.maximum(z.sum(1, keepdims=True), 1e-300), a[:, t - 1])
+        b = np.full((n, longest, k), 1.0 / k)
         moved = np.zeros((k, k))
         for t in range(longest - 2, -1, -1):
-            z = moves + (e[:, t + 1] + b[:, t + 1])[:, None, :]
-            top = z.max(2)
-            b[:, t] = np.where(here[:, t + 1, None], top + np.log(np.exp(z - top[..., None]).sum(2)), 0)
-            moved += (np.exp(a[:, t, :, None] + z - total[:, None, None]) * here[:, t + 1, None, None]).sum(0)
-        post = np.exp(a + b - total[:, None, None]) * here[..., None]
-        grads = [(want_e - np.einsum("ntf,ntk->fk", full, post)) / n - l2 * p[0], (want_m - moved) / n - l2 * p[1]]
+            z = e[:, t + 1] * b[:, t + 1]
+            back = z @ moves.T
+            total = np.maximum((a[:, t] * back).sum(1, keepdims=True), 1e-300)
+            moved += (a[:, t] * here[:, t + 1, None] / total).T @ z * moves
+            b[:, t] = np.where(here[:, t + 1, None], back / np.maximum(back.sum(1, keepdims=True), 1e-300), 1.0 / k)
+        post = (a * b)[here]
+        grads = [(want_e - by_code(post / post.sum(1, keepdims=True))) / n - l2 * p[0], (want_m - moved) / n - l2 * p[1]]
         for i, g in enumerate(grads):
             m1[i] = 0.9 * m1[i] + 0.1 * g
             m2[i] = 0.999 * m2[i] + 0.001 * g * g
@@ -405,6 +412,7 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, begin: np.ndarray, size: np.n
         at = begin[:live] + t
         back[at] = z.argmax(1)
         best = z.max(1) + scores[at]
+        best -= best.max(1, keepdims=True)  # sums of a long line would lose digits
     for t in range(int(size[0]) - 1, -1, -1):
         live = int(np.searchsorted(-size, -t, "left"))  # lines longer than t
         at = begin[:live] + t
@@ -416,11 +424,37 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, begin: np.ndarray, size: np.n
     return label
 
 
-PIECE = 1000  # words of a longer line are decoded so many at a time; features see across, moves between pieces have no score
+# A longer line is decoded in pieces of PIECE words side by side, each with SHARED words more at both ends, whose labels are its neighbours'.
+# Where two pieces differ on a word at their border, the line is decoded whole.
+PIECE, SHARED = 1000, 60
 QUOTES = np.zeros(256, bool)
 QUOTES[list(b"\"'`,;.()[]{}<>")] = True
 
 
+def decode(scores: np.ndarray, moves: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The best label of each word of lines that lie end to end; a step of the decoder takes a word of every piece of every line."""
+    cuts = -(-size // PIECE)
+    line = np.repeat(np.arange(len(size)), cuts)
+    at = (np.arange(len(line)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * PIECE
+    left, right = np.maximum(at - SHARED, 0), np.minimum(at + PIECE + SHARED, size[line])
+    if not (cuts > 1).any():
+        return viterbi(scores, moves, begin, size)
+    held = right - left
+    start = np.cumsum(held) - held
+    take = np.repeat(begin[line] + left - start, held) + np.arange(held.sum())
+    many = viterbi(scores[take], moves, start, held)
+    label, own = np.zeros(len(scores), np.int8), np.repeat(at, held)
+    place = take - np.repeat(begin[line], held)
+    inner = (place >= own) & (place < own + PIECE)
+    label[take[inner]] = many[inner]
+    near = np.where(place < own, own - place, place - own - PIECE + 1) <= SHARED // 2
+    unlike = near & (many != label[take])
+    for i in np.unique(np.repeat(line, held)[unlike]):
+        some = slice(begin[i], begin[i] + size[i])
+        label[some] = viterbi(scores[some], moves, np.zeros(1, np.int64), size[i : i + 1])
+    return label
+
+
 def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     """For each text the field's spans of the kinds in ADDED, in code points."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
@@ -433,9 +467,7 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
     first = np.ones(n, bool)
     first[1:] = line[1:] != line[:-1]
     heads = np.flatnonzero(first)
-    place = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
-    begin = np.flatnonzero(place % PIECE == 0)  # a step of the decoder takes a word of every piece
-    label = viterbi(field.scores(shapes(w), first), field.moves, begin, np.diff(np.append(begin, n)))
+    label = decode(field.scores(shapes(w), first), field.moves, heads, np.diff(np.append(heads, n)))
     hit = np.flatnonzero(KEPT[label])
     if not len(hit):
         return out

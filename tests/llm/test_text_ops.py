@@ -76,6 +76,22 @@ HELD_OUT = {  # sentences that the labelled table has not
 FORMS = {"phone": ["phone_plain"], "secret": ["secret", "secret_short", "secret_key"], "name": ["name"], "address": ["address"], "account": ["account_ssn", "account_iban", "account_long", "account_pass"]}
 
 
+def test_a_line_of_many_words_is_decoded_as_a_short_one():
+    """Wherever the borders of pieces lie, and where the pieces' labels disagree, labels are those of the whole line."""
+    field, said = pii.default_field(), "She lives at 12 Baker Green Street today"
+    alone = [said[a:b] for _, a, b in pii.field_spans([said], field)[0]]
+    for before in (*range(985, 1015), 1990, 2000):
+        text = "word " * before + said + " and more" * 700
+        assert [text[a:b] for _, a, b in pii.field_spans([text], field)[0]] == alone, before
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 1, 2500, 3001, 7, 999, 1000, 1001])
+    begin = np.cumsum(sizes) - sizes
+    k = len(pii.LABELS)
+    for strong in (0.0, 4.0):  # with strong moves what lies far away decides
+        scores, moves = rng.normal(size=(sizes.sum(), k)).astype(np.float32), (rng.normal(size=(k, k)) + strong * 50 * np.eye(k)).astype(np.float32)
+        assert (pii.decode(scores, moves, begin, sizes) == pii.viterbi(scores, moves, begin, sizes)).all()
+
+
 def test_random_field_on_held_out_sentences():
     """Recall of 0.9 or more of every added kind, at the planted places, inside prose that holds no data; hardly any span there."""
     field, rng, found, total = pii.default_field(), np.random.default_rng(17), {}, {}
