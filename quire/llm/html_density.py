@@ -7,8 +7,9 @@ its blocks; inline elements are part of the block that holds them, whose own tex
 The node with the largest sum is found; the threshold is the smallest density on
 its path from the body; of the nodes that reach the threshold the one with the largest sum is
 the main text.  It widens to its parent, the body excepted, while blocks beside it that reach the threshold hold
-a ``WIDER`` part of its text or more; and, as a tie-break, to the article or main around it of
-whose text it holds more than half.
+a ``WIDER`` part of its text or more, or where a sister of it (same element with the same class, or a section or article like it) holds plain text, so that the
+short sections, titles and tails of an article come with its long ones; and, as a tie-break, to the article or main
+around it of whose text it holds more than half.
 
 Navigation, page heads and feet, forms, scripts, styles, hidden nodes and
 containers named as adverts, notices, sidebars or comments are dropped before.  A name that follows has-,
@@ -248,6 +249,10 @@ def measure(body: Node) -> list[Node]:
     return [n for n, _ in order if n.name in BLOCK or n is body]
 
 
+def class_of(node: Node) -> str:
+    return next((a or b or c for key, a, b, c in ATTRIBUTE.findall(node.attrs) if key.lower() == "class"), "")
+
+
 def main_node(root: Node, tie_break: bool = True) -> Node | None:
     body = next((n for n in walk(root) if isinstance(n, Node) and n.name == "body"), root)
     nodes = measure(body)
@@ -260,9 +265,12 @@ def main_node(root: Node, tie_break: bool = True) -> Node | None:
     main = max(good, key=lambda n: n.sum, default=best)
     here = main
     while here is not body and here.parent is not body and here.parent not in inside:
-        beside = sum(c.chars - c.links for c in here.parent.children if isinstance(c, Node) and c is not here and c.name in BLOCK and c.density >= threshold)
+        others = [c for c in here.parent.children if isinstance(c, Node) and c is not here and c.name in BLOCK and c.chars]
+        beside = sum(c.chars - c.links for c in others if c.density >= threshold)
+        kind = (here.name, class_of(here))
+        sister = (kind[1] or kind[0] in ("section", "article")) and any(2 * c.links <= c.chars and (c.name, class_of(c)) == kind for c in others)
         here = here.parent
-        if beside >= WIDER * (main.chars - main.links):
+        if sister or beside >= WIDER * (main.chars - main.links):
             main = here
     for n in _path(main) if tie_break else ():  # the part that holds most of an article stands for the whole of it
         if n.name in ("article", "main"):

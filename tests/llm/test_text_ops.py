@@ -369,6 +369,85 @@ def test_density_finds_articles_without_their_tags(spark):
         assert html_density.blocks(node) == html_density.blocks(next(n for n in html_density.walk(root) if getattr(n, "name", "") == "article"))
 
 
+def test_short_sections_of_an_article_stay():
+    prose = ("Long prose with many words, and more of them. " * 6).strip()
+    parts = [ARTICLE * 6, ARTICLE, "C, short"]
+    want = "\n\n".join(["Title", *[prose] * 7, "C, short"])
+    menu = "<div class=s2><a href=1>one page</a> <a href=2>and another</a></div>"
+    for open_, close in (("<div class=s>", "</div>"), ("<section>", "</section>"), ("<section class='a b'>", "</section>")):
+        inner = "<h1>Title</h1>" + "".join(open_ + x + close for x in parts)
+        assert html_density.extract(f"<body><div class=c>{inner}</div></body>") == want
+        assert html_density.extract(f"<body><div id=page><div class=c>{inner}</div><div class=b>an aside</div>{menu}</div></body>") == want
+    links = "<div class=s><a href=1>only</a> <a href=2>links</a></div>"
+    assert html_density.extract(f"<body><div><div class=s>{ARTICLE * 6}</div>{links}</div></body>") == "\n\n".join([prose] * 6)
+
+
+def test_densities_by_brute_force(spark):
+    """Counts of every block taken anew from its whole subtree, sums and the threshold from the definitions."""
+    import math
+
+    h = html_density
+    size = lambda x: len("".join(x.split()))
+
+    def linked(node):
+        return any(n.name == "a" for n in h._path(node))
+
+    def counts(parts, holder):
+        """characters, tags, linked characters, linked tags of children with all below them"""
+        chars = tags = links = link_tags = 0
+        for x in parts:
+            for n in h.walk(x) if isinstance(x, h.Node) else [x]:
+                if isinstance(n, h.Node):
+                    tags, link_tags = tags + 1, link_tags + linked(n)
+                    own = sum(size(c) for c in n.children if isinstance(c, str))
+                    chars, links = chars + own, links + (own if linked(n) else 0)
+                elif x is n:
+                    chars, links = chars + size(n), links + (size(n) if linked(holder) else 0)
+        return chars, tags, links, link_tags
+
+    def density(c, t, k, kt, share):
+        if c == 0:
+            return 0.0
+        t = max(t, 1)
+        x, base = (c / max(k, 1)) * (t / max(kt, 1)), math.log(c / max(c - k, 1) * k + share * c + math.e)
+        return c / t * (math.log(x) / math.log(base) if math.log(base) > 1e-9 else math.log(max(x, 1) + 1))
+
+    def inline(node):
+        """what belongs to a block's own text, and the blocks below it that inline elements hold"""
+        own, blocks = [], []
+        for c in node.children:
+            if isinstance(c, str):
+                own.append(c)
+            elif c.name in h.BLOCK:
+                blocks.append(c)
+            else:
+                own.append(c)
+                blocks += inline(c)[1]
+        return own, blocks
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    pages += [re.sub(r"<(/?)(article|main)\b", r"<\1div", x) for x in pages if x]
+    pages += [f"<body><div><div><p>{'word ' * n}<a href=x>{'link ' * k}</a></p><p>tail <b>of</b> it</div><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div></body>" for n in (1, 9, 80) for k in (0, 3, 50)]
+    seen = 0
+    for page in pages:
+        root = h.parse(page or "")
+        h.prune(root)
+        body = next((n for n in h.walk(root) if isinstance(n, h.Node) and n.name == "body"), root)
+        found = [n for n in h.measure(body) if n.name in h.BLOCK or n is body]
+        total = counts(body.children, body)
+        share = total[2] / total[0] if total[0] else 0.0
+        for n in found:
+            whole = counts(n.children, n)
+            assert (n.chars, n.tags, n.links, n.link_tags) == whole
+            assert math.isclose(n.density, density(*whole, share))
+            own, below = inline(n)
+            if any(isinstance(c, h.Node) and c in own and any(isinstance(x, h.Node) and x.name in h.BLOCK for x in h.walk(c)) for c in n.children):
+                continue  # blocks inside inline elements: none in these pages
+            assert math.isclose(n.sum, sum(density(*counts(b.children, b), share) for b in below) + density(*counts(own, n), share))
+            seen += 1
+    assert seen > 300
+
+
 def test_kept_columns_may_have_any_name(spark):
     rows = spark.createDataFrame([(1, "mine", "<p>x</p>")], "page_id long, source_html string, html string")
     assert html_density.main_text(rows, keep=("page_id", "source_html")).collect() == [(1, "mine", "x")]
