@@ -1,7 +1,8 @@
 """Web addresses as chapters, over a snapshot of what a crawler fetched.
 
 requests: book_id, pos, url.  snapshot: url, status, content_type, final_url, text; what it lacks could not be
-fetched.  Every address takes one route, decided by columns: it is a feed; a story platform that publishes
+fetched.  A snapshot that holds an address more than once tells its visits apart by a column visit; a request
+that has this column too means that visit, and all else that is read is the last visit of its address.  Every address takes one route, decided by columns: it is a feed; a story platform that publishes
 its texts in a feed; a page that stands on a mirror; an index page whose site has a feed; a short page whose
 site's feed has its text; a page that lists the site's own posts; or an article.  A fetch is a join, so each
 address is read once, whoever asks for it.
@@ -33,9 +34,22 @@ class Ingested(NamedTuple):
 
 
 def fetched(rows: DataFrame, web: DataFrame, address: str) -> DataFrame:
-    """rows with status, content_type, final_url and text of an address; without text where the fetch failed or is not there."""
-    w = web.select(F.col("url").alias("web_url"), "status", "content_type", F.coalesce("final_url", "url").alias("final_url"), F.when(F.col("status") < 400, F.coalesce("text", F.lit(""))).alias("text"))
-    return rows.join(w, F.col(address) == F.col("web_url"), "left").drop("web_url")
+    """rows with status, content_type, final_url and text of an address; without text where the fetch failed or is not there.
+
+    web may have visits: those that rows name are taken, else the last of each address.
+    """
+    w = web.select(F.col("url").alias("web_url"), "status", "content_type", F.coalesce("final_url", "url").alias("final_url"), F.when(F.col("status") < 400, F.coalesce("text", F.lit(""))).alias("text"), *[F.col(c).alias("web_visit") for c in _visit(web)])
+    there = F.col(address) == F.col("web_url")
+    if _visit(web):
+        if not _visit(rows):
+            last = web.groupBy(F.col("url").alias("last_url")).agg(F.max("visit").alias("visit"))
+            rows = rows.join(last, F.col(address) == F.col("last_url"), "left").drop("last_url")
+        there &= F.col("visit") == F.col("web_visit")
+    return rows.join(w, there, "left").drop("web_url", *(["visit", "web_visit"] if _visit(web) else []))
+
+
+def _visit(rows: DataFrame) -> list[str]:
+    return ["visit"] if "visit" in rows.columns else []
 
 
 def articles(rows: DataFrame) -> DataFrame:
@@ -87,7 +101,7 @@ def ingest(requests: DataFrame, web: DataFrame, order: str = "auto", max_items:
     fetch_full: read the pages of feed items always, never, or (None) where the feed gives a summary.  A null or
     repeated address is a request like any other; an empty table gives empty tables.
     """
-    asked = fetched(requests.select("book_id", F.col("pos").cast("long").alias("request"), "url"), web, "url")
+    asked = fetched(requests.select("book_id", F.col("pos").cast("long").alias("request"), "url", *_visit(requests)), web, "url").drop("visit")
     mirrored = asked.filter(F.col("status").isin(*REFUSED)).select(*ASK, "url", S.mirror(F.col("url")).alias("mirror")).filter("mirror is not null")
     mirrored = fetched(mirrored, web, "mirror").filter("text is not null").withColumn("mirrored", F.lit(True)).drop("mirror", "status", "content_type")
     is_page = F.col("text").isNotNull() & ~source.is_feed(F.col("text"), F.coalesce("content_type", F.lit("")))
@@ -174,11 +188,11 @@ def ingest(requests: DataFrame, web: DataFrame, order: str = "auto", max_items:
 
 
 def citations(links: DataFrame, web: DataFrame, url: str = "url") -> DataFrame:
-    """url, title, author, date and site_name of each distinct address whose page is there, is HTML and has a title.
+    """url, title, author, date and site_name of each distinct address (and visit, if links has it) whose page is there, is HTML and has a title.
 
     Addresses are fetched without their fragment; those that give no citation are absent.
     """
-    wanted = links.select(F.col(url).alias("url")).filter("url is not null and url <> ''").distinct().withColumn("page", F.regexp_replace("url", "#.*$", ""))
+    wanted = links.select(F.col(url).alias("url"), *_visit(links)).filter("url is not null and url <> ''").distinct().withColumn("page", F.regexp_replace("url", "#.*$", ""))
     kind = F.lower(F.trim(F.regexp_extract(F.coalesce("content_type", F.lit("")), "^([^;]*)", 1)))
     html = kind.contains("html") | ((kind == "") & F.substring("text", 1, 1024).rlike("(?i)<(!doctype|html)\\b"))
     got = articles(fetched(wanted, web, "page").filter(F.col("text").isNotNull() & html))
