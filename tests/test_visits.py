@@ -34,3 +34,7 @@ def test_visits_of_a_snapshot(spark):
     # without a visit it is the last one, for what is asked and for the pages of a feed's items
     out = crawl.ingest(spark.createDataFrame([("b", 0, f"{A}/p"), ("b", 1, f"{A}/feed"), ("b", 2, None)], "book_id string, pos long, url string"), web)
     assert [(r.request, r.title, "long prose" in r.html) for r in out.chapters.orderBy("pos").collect()] == [(0, "Third", True), (1, "New", True)]
+
+
+def test_snapshot_chapters(spark, sf):
+    same(spark, sf, "snapshot_chapters")
