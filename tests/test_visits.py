@@ -38,3 +38,7 @@ def test_visits_of_a_snapshot(spark):
 
 def test_snapshot_chapters(spark, sf):
     same(spark, sf, "snapshot_chapters")
+
+
+def test_collected_citations(spark, sf):
+    same(spark, sf, "collected_citations")
