@@ -52,3 +52,7 @@ def test_votes_pass_by_open_paragraphs():
 
 def test_article_texts(spark, sf):
     same(spark, sf, "article_texts")
+
+
+def test_site_books(spark, sf):
+    same(spark, sf, "site_books")
