@@ -56,3 +56,7 @@ def test_article_texts(spark, sf):
 
 def test_site_books(spark, sf):
     same(spark, sf, "site_books")
+
+
+def test_short_item_tallies(spark, sf):
+    same(spark, sf, "short_item_tallies")
