@@ -41,13 +41,22 @@ articles AS (SELECT page_id, url, title, {_WS.format(_UNESCAPE.format("regexp_re
 @query(f"WITH {_ARTICLES} SELECT page_id, title, words, CAST(length(words) AS BIGINT) AS visible FROM articles")
 def article_texts(spark, sf_dir):
     """The title and visible text of each page's article."""
-    found = extract_articles(spark, sf_dir).withColumn("words", links.visible(F.col("html")))
-    return found.select("page_id", "title", "words", F.length("words").cast("long").alias("visible"))
+    return with_texts(table(spark, sf_dir, "pages")).select("page_id", "title", "words", "visible")
+
+
+def with_texts(pages):
+    """The other columns of pages, one row for each, with the article and its words."""
+    found = _extracted(pages).withColumn("words", links.visible(F.col("html")))
+    return found.withColumn("visible", F.length("words").cast("long"))
+
+
+def _extracted(pages):
+    return map_rows(pages, "title string, html string, author string, date string, site_name string", lambda url, html: article.extract(html, url), "url", "html")
 
 
 @query()
 def extract_articles(spark, sf_dir):
-    return map_rows(table(spark, sf_dir, "pages"), "title string, html string, author string, date string, site_name string", lambda url, html: article.extract(html, url), "url", "html")
+    return _extracted(table(spark, sf_dir, "pages"))
 
 
 @query()

@@ -60,3 +60,11 @@ def test_site_books(spark, sf):
 
 def test_short_item_tallies(spark, sf):
     same(spark, sf, "short_item_tallies")
+
+
+def test_short_item_tallies_count_each_row_once(spark, sf, tmp_path):
+    """A page_id that comes again, with the same page or another, or is null, is a row like any other."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet")
+    again = rows.filter("page_id < 4").unionAll(rows.selectExpr("page_id % 2 + 2", "url", "html").filter("url like '%b.example.org%'")).unionAll(rows.selectExpr("null", "url", "html").limit(2))
+    rows.unionAll(again).write.parquet(f"{tmp_path}/pages.parquet")
+    same(spark, str(tmp_path), "short_item_tallies")
