@@ -52,17 +52,21 @@ def _visit(rows: DataFrame) -> list[str]:
     return ["visit"] if "visit" in rows.columns else []
 
 
-def articles(rows: DataFrame) -> DataFrame:
-    """rows (with text and final_url) and title, html, author, date, length, image, the feeds named in the head, and the posts listed."""
+def read_page(text: str | None, base: str | None) -> dict:
+    """What ``articles`` makes of one page: the page is parsed once, and its article once."""
+    page = tree.Fragment(text)
+    named = source.discover(page, base or "")  # before the article is cut out of the page
+    doc = article.extract(page, base or "")
+    doc["date"] = (article.parse_date(doc["date"]) or None) if doc["date"] else None
+    doc["date"] = doc["date"].isoformat() if doc["date"] else None
+    own = tree.Fragment(doc["html"])
+    return doc | {"length": tree.visible_length(own), "image": tree.has_image(own), "feeds": named, "targets": S.list_targets(own, base or "", U.INDEX_PATHS)}
 
-    def read(text, base):
-        doc = article.extract(text, base or "")
-        doc["date"] = (article.parse_date(doc["date"]) or None) if doc["date"] else None
-        doc["date"] = doc["date"].isoformat() if doc["date"] else None
-        return doc | {"length": tree.visible_length(doc["html"]), "image": tree.has_image(doc["html"]), "feeds": source.discover(text, base or ""), "targets": S.list_targets(doc["html"], base or "", U.INDEX_PATHS)}
 
+def articles(rows: DataFrame) -> DataFrame:
+    """rows (with text and final_url) and title, html, author, date, length, image, the feeds named in the head, and the posts listed."""
     made = "title string, html string, author string, date string, site_name string, length long, image boolean, feeds array<string>, targets array<string>"
-    return map_rows(rows.withColumn("base", F.col("final_url")), made, read, "text", "base").drop("error")
+    return map_rows(rows.withColumn("base", F.col("final_url")), made, read_page, "text", "base").drop("error")
 
 
 def _clean(items: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.arrow import map_rows
-from quire.functions.tree import Fragment, fold
+from quire.functions.tree import Fragment, fold, parsed
 from quire.functions.url import host_key, netloc, path
 from quire.operators.links import ITEM_SHARE, LIST_MIN, TEXT_MIN, TEXT_SHARE
 
@@ -46,9 +46,9 @@ def _kin(a: str, b: str) -> bool:
     return bool(a and b) and (a == b or a.endswith("." + b) or b.endswith("." + a))
 
 
-def list_targets(markup: str | None, page: str, index_paths: tuple[str, ...]) -> list[str]:
+def list_targets(markup: Fragment | str | None, page: str, index_paths: tuple[str, ...]) -> list[str]:
     """Posts of the page's own site, if its leaf list items lead to them and hold most of its text; else nothing."""
-    f, site = Fragment(markup), _host(page)
+    f, site = parsed(markup), _host(page)
     whole = len(f.line())
     leaves = [i for i in f.find("li") if not f.find("li", root=i)]
 

@@ -2,7 +2,9 @@
 
 import pytest
 
-from quire.operators import crawl
+from quire.functions import tree
+from quire.operators import article, crawl, snapshot
+from quire.sources import feeds
 from tests.test_crawl import PROSE, page, rss
 from tests.test_open_paragraphs import same
 
@@ -42,3 +44,19 @@ def test_snapshot_chapters(spark, sf):
 
 def test_collected_citations(spark, sf):
     same(spark, sf, "collected_citations")
+
+
+def test_a_page_and_its_article_are_parsed_once(monkeypatch):
+    posts = "".join(f"<li><a href='{A}/post/{i}'>A post with a long title, number {i}</a></li>" for i in range(6))
+    head = "<link rel='alternate' type='application/rss+xml' href='/feed'>"
+    texts = [page("A title"), page("A list").replace("</title>", f"</title>{head}").replace("<article>", f"<article><ul>{posts}</ul>"), f"<html><head><title>t &amp</title>{head}</head><body><p><b>{PROSE}<img src='a.png'></body></html>", "", None]
+    plain = []
+    for t in texts:
+        doc = article.extract(t, A)
+        h = doc["html"]
+        plain.append((doc["title"], h, tree.visible_length(h), tree.has_image(h), feeds.discover(t, A), snapshot.list_targets(h, A, crawl.U.INDEX_PATHS)))
+    made, init = [], tree.Fragment.__init__
+    monkeypatch.setattr(tree.Fragment, "__init__", lambda f, markup: (made.append(markup), init(f, markup))[1])
+    got = [crawl.read_page(t, A) for t in texts]
+    assert [(d["title"], d["html"], d["length"], d["image"], d["feeds"], d["targets"]) for d in got] == plain
+    assert len(made) == 2 * len(texts) and any(d["feeds"] for d in got) and any(d["image"] for d in got)
